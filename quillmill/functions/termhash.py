@@ -7,9 +7,12 @@ cost per character stays far below that of a regular expression per text.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -21,6 +24,26 @@ def _alnum_table() -> np.ndarray:
     return np.fromiter((chr(i).isalnum() for i in range(0x110000)), dtype=bool, count=0x110000)
 
 
+def runs_of(lengths: Iterable[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of items whose lengths sum up to `most` or that are one item."""
+    lo = total = hi = 0
+    for hi, n in enumerate(lengths, 1):
+        if total and total + n > most:
+            yield lo, hi - 1
+            lo, total = hi - 1, 0
+        total += n
+    if hi > lo:
+        yield lo, hi
+
+
+def small_batches(batches: Iterable[pa.RecordBatch], column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches with at most about `most` bytes in a string or binary column, so that memory stays flat."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        for lo, hi in runs_of(lengths, most):
+            yield batch.slice(lo, hi - lo)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: spreads weak low bits over the whole word."""
     with np.errstate(over="ignore"):

@@ -1,6 +1,6 @@
-"""Adding up fixed-size count vectors over all partitions of a DataFrame.
+"""Folding a DataFrame into one vector of fixed size.
 
-Every task folds its rows into one vector; the vectors are then added in two
+Every task folds its rows into one vector; the vectors are then merged in two
 more rounds, each task streaming over the vectors it gets and holding one.  The
 driver receives one vector, whose size does not depend on the data.
 """
@@ -20,36 +20,38 @@ def _packed(total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["vector"])
 
 
-def _adder(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, any_rows = np.zeros(size, dtype=np.int64), False
+def _merger(size: int, dtype: str, merge: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, any_rows = np.zeros(size, dtype=dtype), False
         for batch in batches:
             for row in batch.column(0):
-                total += np.frombuffer(zlib.decompress(row.as_py()), dtype=np.int64)
+                getattr(np, merge)(total, np.frombuffer(zlib.decompress(row.as_py()), dtype=dtype), out=total)
                 any_rows = True
         if any_rows:
             yield _packed(total)
 
-    return add
+    return run
 
 
-def sum_vectors(df: DataFrame, size: int, counts_of: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
-    """Sum of counts_of(batch), an int64 vector of `size`, over all batches of `df` (zeros for no rows)."""
+def fold_vectors(df: DataFrame, size: int, vector_of: Callable[[pa.RecordBatch], np.ndarray], *, dtype: str = "int64", merge: str = "add") -> np.ndarray:
+    """Merge vector_of(batch), of `size` and `dtype`, over all batches of `df`; zeros for no rows.
+
+    `merge` names a binary numpy function for which 0 is neutral, such as add or maximum.
+    """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, any_rows = np.zeros(size, dtype=np.int64), False
+        total, any_rows = np.zeros(size, dtype=dtype), False
         for batch in batches:
             if batch.num_rows:
-                total += counts_of(batch)
+                getattr(np, merge)(total, vector_of(batch).astype(dtype), out=total)
                 any_rows = True
         if any_rows:
             yield _packed(total)
 
-    parts = df.mapInArrow(fold, "vector binary")
     width = df.sparkSession.sparkContext.defaultParallelism
-    middle = parts.repartition(max(1, min(width, math.isqrt(max(1, width)) * 2))).mapInArrow(_adder(size), "vector binary")
-    rows = middle.repartition(1).mapInArrow(_adder(size), "vector binary").collect()
-    total = np.zeros(size, dtype=np.int64)
-    for row in rows:  # one row, or none for an empty input
-        total += np.frombuffer(zlib.decompress(bytes(row.vector)), dtype=np.int64)
+    parts = df.mapInArrow(fold, "vector binary")
+    middle = parts.repartition(max(1, min(width, math.isqrt(max(1, width)) * 2))).mapInArrow(_merger(size, dtype, merge), "vector binary")
+    total = np.zeros(size, dtype=dtype)
+    for row in middle.repartition(1).mapInArrow(_merger(size, dtype, merge), "vector binary").collect():  # one row, or none for an empty input
+        getattr(np, merge)(total, np.frombuffer(zlib.decompress(bytes(row.vector)), dtype=dtype), out=total)
     return total
