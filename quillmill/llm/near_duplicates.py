@@ -22,7 +22,6 @@ Exact copies (equal bit sets) are one class and are compared as one record.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,36 +30,43 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.functions.termhash import Terms, distinct_by_owner, shingle_hashes
+from quillmill.functions.termhash import Terms, distinct_by_owner, mix64, shingle_hashes, small_batches
 from quillmill.plans.components import connected_components
-from quillmill.plans.vectors import sum_vectors
+from quillmill.plans.vectors import fold_vectors
 
 #: Cells of the count sketch that orders bits; its size does not depend on the data.
 SKETCH_BITS = 20
-#: Bits of the folded fingerprint.
+#: Bits of the first folded fingerprint.
 FOLD = 256
+#: A class is addressed by so many bits of its digest; classes that share a slot are told apart at verification.
+SLOT_BITS = 40
 #: Sizes from here on are written as this value, and such pairs skip the size and position tests.
-BIG = (1 << 16) - 1
+BIG = (1 << 15) - 1
+#: Blocks that may hold more rows than this are split over several keys.
+HOT = 4096
+#: Cells of the filter that names the slots still wanted; its size does not depend on the data.
+WANTED_BITS = 23
 
-_CLASSES = "rec_id string, group_key string, slot bigint, digest binary, bits binary"
+_FOLDS = [f"fold{k}" for k in range(FOLD // 64)]
+_CLASSES = "rec_id string, group_hash bigint, slot bigint, digest binary, bits binary, " + ", ".join(f"{f} bigint" for f in _FOLDS)
 
 
-def _fold(bits: np.ndarray) -> bytes:
+def _fold(bits: np.ndarray) -> np.ndarray:
     """Parity of the bits in each of FOLD cells: distances of folds never exceed distances of the sets."""
-    return np.packbits(np.bincount(bits % FOLD, minlength=FOLD).astype(np.uint8) & 1).tobytes()
+    return np.packbits(np.bincount(bits % FOLD, minlength=FOLD).astype(np.uint8) & 1).view(np.int64)
 
 
 def _fingerprints(width: int, min_terms: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in small_batches(batches, 2):
             texts = [t.lower() for t in batch.column(2).to_pylist()]
             terms = Terms(texts)
             values, owner = shingle_hashes(terms, width)
             values = (values >> np.uint64(32)).astype(np.uint32)
             fits = (terms.count >= max(min_terms, width))[owner] if len(owner) else owner.astype(bool)
             values, _, at = distinct_by_owner(values[fits], owner[fits], len(texts))
-            keep, slots, digests, bits = [], [], [], []
+            keep, slots, digests, bits, folds = [], [], [], [], []
             for i in range(len(texts)):
                 own = values[at[i] : at[i + 1]]
                 if not len(own):
@@ -68,14 +74,16 @@ def _fingerprints(width: int, min_terms: int):
                 digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
                 keep.append(i)
                 digests.append(digest)
-                slots.append(int.from_bytes(digest[:8], "little", signed=True))
+                slots.append(int.from_bytes(digest[: SLOT_BITS // 8], "little"))
                 # Copies beyond the first of this task need no second set of bits.
-                bits.append(None if digest in seen else _fold(own) + own.tobytes())
+                bits.append(None if digest in seen else own.tobytes())
+                folds.append(_fold(own))
                 seen.add(digest)
             at_rows = pa.array(keep, pa.int64())
+            table = np.array(folds, dtype=np.int64).reshape(len(folds), len(_FOLDS))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at_rows), batch.column(1).take(at_rows), pa.array(slots, pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.binary())],
-                ["rec_id", "group_key", "slot", "digest", "bits"],
+                [batch.column(0).take(at_rows), batch.column(1).take(at_rows), pa.array(slots, pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.binary()), *(pa.array(table[:, k]) for k in range(len(_FOLDS)))],
+                ["rec_id", "group_hash", "slot", "digest", "bits", *_FOLDS],
             )
 
     return run
@@ -83,17 +91,27 @@ def _fingerprints(width: int, min_terms: int):
 
 def _addresses(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bit addresses of a column of bit sets, and how many each row has."""
-    raw = [x[FOLD // 8 :] for x in column.to_pylist()]
+    raw = column.to_pylist()
     sizes = np.fromiter((len(x) // 4 for x in raw), dtype=np.int64, count=len(raw))
     return np.frombuffer(b"".join(raw), dtype=np.uint32), sizes
 
 
 def _blocks(rank, threshold: float):
-    """The pigeonhole blocks of each class: (slot, packed), packed = address << 32 | position << 16 | size."""
+    """The pigeonhole blocks of each class: (packed, slot).
+
+    packed holds, from the top, the block's address (32 bits), the low bytes of position and size, whether the row may be
+    the larger and the smaller side of a pair (a bit each), and the high bits of position and size.  The bytes that are zero
+    in nearly all rows lie at the row's ends, where the shuffle's compression finds them.
+
+    The smaller text of a pair needs only its first n - ceil(2t / (1 + t) * n) + 1 bits, the larger one n - ceil(t * n) + 1.
+    A bit that the sketch counts more than HOT times is split: a row takes part as the smaller side under one key and as
+    the larger side under every key.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = rank.value
-        for batch in batches:
+        for batch in small_batches(batches, 1):
+            slots = batch.column(0).to_numpy()
             values, sizes = _addresses(batch.column(1))
             owner = np.repeat(np.arange(len(sizes)), sizes)
             weight = counts[values >> np.uint32(32 - SKETCH_BITS)]
@@ -101,12 +119,65 @@ def _blocks(rank, threshold: float):
             values, weight = values[order], weight[order]
             first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
             position = np.arange(len(values)) - first[owner]
-            least = np.ceil(threshold * sizes - 1e-9).astype(np.int64)
-            use = (position < (sizes - least + 1)[owner]) & (weight > 1)
-            pos = np.minimum(position[use], BIG).astype(np.int64)
-            size = np.minimum(sizes, BIG)[owner[use]].astype(np.int64)
-            packed = (values[use].astype(np.int64) << 32) | (pos << 16) | size
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[use])), pa.array(packed, pa.int64())], ["slot", "packed"])
+            wide = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
+            narrow = np.where(sizes < BIG, sizes - np.ceil(2 * threshold / (1 + threshold) * sizes - 1e-9).astype(np.int64) + 1, wide)
+            use = np.flatnonzero((position < wide[owner]) & (weight > 1))
+            address, own, pos, heavy = values[use].astype(np.int64), owner[use], position[use], weight[use]
+            small = pos < narrow[own]
+            parts = np.maximum(1, -(-heavy.astype(np.int64) // HOT))
+            hot = parts > 1
+            rows = [(address[~hot], own[~hot], pos[~hot], small[~hot], np.ones(int((~hot).sum()), dtype=bool))]
+            if hot.any():
+                address, own, pos, small, parts = address[hot], own[hot], pos[hot], small[hot], parts[hot]
+                salted = lambda a, k: (mix64((a.astype(np.uint64) << np.uint64(32)) | k.astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+                as_small = np.flatnonzero(small)
+                rows.append((salted(address[as_small], slots[own[as_small]] % parts[as_small]), own[as_small], pos[as_small], np.ones(len(as_small), dtype=bool), np.zeros(len(as_small), dtype=bool)))
+                every = np.repeat(np.arange(len(parts)), parts)
+                key = np.arange(len(every)) - np.repeat(np.concatenate([[0], np.cumsum(parts)])[:-1], parts)
+                rows.append((salted(address[every], key), own[every], pos[every], np.zeros(len(every), dtype=bool), np.ones(len(every), dtype=bool)))
+            address, own, pos, small, large = (np.concatenate(x) for x in zip(*rows))
+            pos, size = np.minimum(pos, BIG), np.minimum(sizes, BIG)[own]
+            low = ((pos & 255) << 24) | ((size & 255) << 16) | (large.astype(np.int64) << 15) | (small.astype(np.int64) << 7) | ((pos >> 8) << 8) | (size >> 8)
+            yield pa.RecordBatch.from_arrays([pa.array((address << 32) | low, pa.int64()), pa.array(slots[own], pa.int64())], ["packed", "slot"])
+
+    return run
+
+
+def _wanted(cells):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = cells.value[batch.column(0).to_numpy() & ((1 << WANTED_BITS) - 1)] > 0
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def _wide_fold(bits: np.ndarray, width: int) -> np.ndarray:
+    return np.bincount(bits & (width - 1), minlength=width) & 1
+
+
+def _wide_folds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A parity fingerprint with at least four cells for each bit of the set."""
+    for batch in batches:
+        folds, sizes = [], []
+        for x in batch.column(1).to_pylist():
+            bits = np.frombuffer(x, np.uint32)
+            sizes.append(len(bits))
+            folds.append(np.packbits(_wide_fold(bits, 1 << max(8, (4 * len(bits) - 1).bit_length())).astype(np.uint8)).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int32()), pa.array(folds, pa.binary())], ["slot_b", "digest_a", "n_a", "fold_a"])
+
+
+def _still_near(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        limit = (1 - threshold) / (1 + threshold)
+        for batch in batches:
+            keep = []
+            for n, fold, raw in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                bits = np.frombuffer(raw, np.uint32)
+                a = np.unpackbits(np.frombuffer(fold, np.uint8))
+                keep.append(int((a != _wide_fold(bits, len(a))).sum()) <= limit * (n + len(bits)) + 1e-6)
+            out = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([out.column(0), out.column(1)], ["digest_a", "digest_b"])
 
     return run
 
@@ -116,7 +187,7 @@ def _verified(threshold: float):
         for batch in batches:
             keep, sims = [], []
             for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                a, b = np.frombuffer(x, np.uint32, offset=FOLD // 8), np.frombuffer(y, np.uint32, offset=FOLD // 8)
+                a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
                 distance = len(np.setxor1d(a, b, assume_unique=True))
                 both = (len(a) + len(b) - distance) // 2
                 union = len(a) + len(b) - both
@@ -143,67 +214,95 @@ class NearDuplicates:
         if not 0 < threshold <= 1:
             raise ValueError("threshold must be in (0, 1]")
         self.threshold, self.spark = threshold, df.sparkSession
-        group = F.col(group_col).cast("string") if group_col else F.lit(None).cast("string")
-        rows = df.select(F.col(id_col).cast("string").alias("rec_id"), group.alias("group_key"), F.col(text_col).cast("string").alias("text")).where("rec_id is not null and text is not null")
+        # Groups are told apart by a 64-bit hash; a row without a group gets none.
+        group = F.when(F.col(group_col).isNotNull(), F.xxhash64(F.col(group_col))) if group_col else F.lit(None).cast("bigint")
+        rows = df.select(F.col(id_col).cast("string").alias("rec_id"), group.alias("group_hash"), F.col(text_col).cast("string").alias("text")).where("rec_id is not null and text is not null")
         self._rows = rows.mapInArrow(_fingerprints(width, min_terms), _CLASSES).persist(StorageLevel.MEMORY_AND_DISK)
-        self.members = self._rows.select("digest", "rec_id", "group_key").distinct()
-        self._classes = self._rows.where("bits is not null").repartition("slot").groupBy("slot", "digest").agg(F.first("bits").alias("bits")).persist(StorageLevel.MEMORY_AND_DISK)
+        # The first copy of a class in each task stands for it; what is left of repeats falls away with the pairs.
+        self._firsts = self._rows.where("bits is not null")
+
+    @property
+    def members(self) -> DataFrame:
+        """(digest, rec_id, group_hash), distinct."""
+        return self._rows.select("digest", "rec_id", "group_hash").distinct()
 
     def _order(self) -> np.ndarray:
         cells = 1 << SKETCH_BITS
 
         def counts(batch: pa.RecordBatch) -> np.ndarray:
             values, _ = _addresses(batch.column(0))
-            return np.bincount(values >> np.uint32(32 - SKETCH_BITS), minlength=cells).astype(np.int64)
+            return np.bincount(values >> np.uint32(32 - SKETCH_BITS), minlength=cells)
 
-        return np.minimum(sum_vectors(self._classes.select("bits"), cells, counts), (1 << 31) - 1).astype(np.int32)
+        return np.minimum(fold_vectors(self._firsts.select("bits"), cells, counts), (1 << 31) - 1).astype(np.int32)
 
     def candidates(self) -> DataFrame:
-        """Pairs of class slots that share a block and pass the size and position tests."""
+        """(slot_a, slot_b): pairs of class slots that share a block and pass the size and position tests."""
         t = self.threshold
         rank = self.spark.sparkContext.broadcast(self._order())
-        blocks = self._classes.select("slot", "bits").mapInArrow(_blocks(rank, t), "slot bigint, packed bigint")
-        a = blocks.select(F.col("slot").alias("slot_a"), F.col("packed").alias("pa"), F.shiftright("packed", 32).alias("block"))
-        b = blocks.select(F.col("slot").alias("slot_b"), F.col("packed").alias("pb"), F.shiftright("packed", 32).alias("block"))
-        size = lambda c: F.col(c).bitwiseAND(F.lit(BIG))
-        left = lambda c: size(c) - F.shiftright(c, 16).bitwiseAND(F.lit(BIG))
-        small = (size("pa") < BIG) & (size("pb") < BIG)
-        close = (size("pa") >= F.lit(t) * size("pb") - 1e-6) & (size("pb") >= F.lit(t) * size("pa") - 1e-6) & (F.least(left("pa"), left("pb")) >= F.lit(t / (1 + t)) * (size("pa") + size("pb")) - 1e-6)
-        # Slots are 64-bit addresses of classes: two classes in one slot are told apart at verification.
-        joined = a.join(b, "block").where((F.col("slot_a") < F.col("slot_b")) & (~small | close))
-        return joined.select("slot_a", "slot_b").distinct()
+        blocks = self._firsts.select("slot", "bits").mapInArrow(_blocks(rank, t), "packed bigint, slot bigint")
+        # Kept partitioned and sorted by address: both sides of the self-join read it as it is.
+        address = F.shiftright("packed", 32)
+        blocks = blocks.repartition(address).sortWithinPartitions(address).persist(StorageLevel.MEMORY_AND_DISK)
+        side = lambda x: blocks.select(address.alias("block"), F.col("packed").alias(f"p{x}"), F.col("slot").alias(f"slot_{x}"))
+        bits = lambda c, shift, mask: F.shiftright(c, shift).bitwiseAND(F.lit(mask))
+        size = lambda c: bits(c, 16, 255) + F.shiftleft(bits(c, 0, 127), 8)
+        left = lambda c: size(c) - bits(c, 24, 255) - F.shiftleft(bits(c, 8, 127), 8)
+        plain = (size("pa") < BIG) & (size("pb") < BIG)
+        close = (size("pa") >= F.lit(t) * size("pb") - 1e-6) & (F.least(left("pa"), left("pb")) >= F.lit(t / (1 + t)) * (size("pa") + size("pb")) - 1e-6)
+        ordered = (size("pa") < size("pb")) | ((size("pa") == size("pb")) & (F.col("slot_a") < F.col("slot_b")))
+        roles = (bits("pa", 7, 1) == 1) & (bits("pb", 15, 1) == 1)
+        joined = side("a").join(side("b"), "block").where(roles & F.when(plain, ordered & close).otherwise(F.col("slot_a") < F.col("slot_b")))
+        # Partitioned by one slot, which serves both the distinct and the next join.
+        return joined.select("slot_a", "slot_b").where("slot_a <> slot_b").repartition("slot_a").distinct()
+
+    def _near(self) -> DataFrame:
+        """(slot_a, slot_b) of the candidates whose folded fingerprints are close enough."""
+        t = self.threshold
+        folded = lambda x: self._firsts.select(F.col("slot").alias(f"slot_{x}"), (F.length("bits") / 4).cast("int").alias(f"n_{x}"), *(F.col(f).alias(f"{f}_{x}") for f in _FOLDS)).repartition(f"slot_{x}").distinct()
+        distance = sum((F.bit_count(F.col(f"{f}_a").bitwiseXOR(F.col(f"{f}_b"))) for f in _FOLDS), F.lit(0))
+        limit = (1 - t) / (1 + t)
+        near = self.candidates().join(folded("a"), "slot_a").join(folded("b"), "slot_b").where(distance <= F.lit(limit) * (F.col("n_a") + F.col("n_b")) + 1e-6)
+        return near.select("slot_a", "slot_b").distinct()
 
     def class_pairs(self) -> DataFrame:
         """(digest_a, digest_b, similarity): all pairs of different classes at or over the threshold."""
-        t, c = self.threshold, self._classes
-        head = lambda name: F.substring(name, 1, FOLD // 8)
-        words = lambda x, y: sum((F.bit_count(F.conv(F.hex(F.substring(x, 1 + 4 * k, 4)), 16, 10).cast("bigint").bitwiseXOR(F.conv(F.hex(F.substring(y, 1 + 4 * k, 4)), 16, 10).cast("bigint"))) for k in range(FOLD // 32)), F.lit(0))
-        bits = lambda name: (F.length(name) - FOLD // 8) / 4
-        limit = (1 - t) / (1 + t)
-        ca = c.select(F.col("slot").alias("slot_a"), F.col("digest").alias("digest_a"), F.col("bits").alias("bits_a"))
-        cb = c.select(F.col("slot").alias("slot_b"), F.col("digest").alias("digest_b"), F.col("bits").alias("bits_b"))
-        near = (
-            self.candidates()
-            .join(ca, "slot_a")
-            .select("slot_a", "slot_b", "digest_a", head("bits_a").alias("fold_a"), bits("bits_a").alias("n_a"))
-            .join(cb, "slot_b")
-            .where(words(F.col("fold_a"), F.col("bits_b")) <= F.lit(limit) * (F.col("n_a") + bits("bits_b")) + 1e-6)
-            .select("slot_a", "slot_b", "digest_a", "digest_b")
-        )
-        whole = near.join(ca, ["slot_a", "digest_a"]).join(cb, ["slot_b", "digest_b"])
+        t = self.threshold
+        near = self._near().persist(StorageLevel.MEMORY_AND_DISK)
+        size = 1 << WANTED_BITS
+
+        def cells(batch: pa.RecordBatch) -> np.ndarray:
+            out = np.zeros(size, dtype=np.uint8)
+            for k in range(2):
+                out[batch.column(k).to_numpy() & (size - 1)] = 1
+            return out
+
+        # Sets that no close pair needs stay where they are: the filter lets some too many through, never too few.
+        wanted = self.spark.sparkContext.broadcast(fold_vectors(near, size, cells, dtype="uint8", merge="maximum"))
+        sets = self._firsts.select("slot", "digest", "bits").mapInArrow(_wanted(wanted), "slot bigint, digest binary, bits binary")
+        sets = sets.repartition("slot").groupBy("slot", "digest").agg(F.first("bits").alias("bits")).persist(StorageLevel.MEMORY_AND_DISK)
+        side = lambda x: sets.select(F.col("slot").alias(f"slot_{x}"), F.col("digest").alias(f"digest_{x}"), F.col("bits").alias(f"bits_{x}"))
+        folds = near.join(side("a"), "slot_a").select("slot_b", "bits_a", "digest_a").mapInArrow(_wide_folds, "slot_b bigint, digest_a binary, n_a int, fold_a binary")
+        close = folds.join(side("b"), "slot_b").select("digest_a", "digest_b", "n_a", "fold_a", "bits_b").mapInArrow(_still_near(t), "digest_a binary, digest_b binary")
+        slot = lambda c: sum((F.shiftleft(F.conv(F.hex(F.substring(c, k + 1, 1)), 16, 10).cast("bigint"), 8 * k) for k in range(SLOT_BITS // 8)), F.lit(0).cast("bigint"))
+        named = close.select("digest_a", "digest_b", slot("digest_a").alias("slot_a"), slot("digest_b").alias("slot_b"))
+        # Joined on the slot alone, by which the sets lie already; the digest then picks the class.
+        named = named.withColumnsRenamed({"digest_a": "da", "digest_b": "db"})
+        whole = named.join(side("a"), "slot_a").where("digest_a = da").join(side("b"), "slot_b").where("digest_b = db")
         return whole.select("digest_a", "digest_b", "bits_a", "bits_b").mapInArrow(_verified(t), "digest_a binary, digest_b binary, similarity double")
 
     def pairs(self, per_copy: bool = True) -> DataFrame:
         """(id_a, id_b, similarity), id_a < id_b: all direct pairs of records, copies included."""
-        m = self.members
-        far = ~F.col("ga").eqNullSafe(F.col("gb")) | F.col("ga").isNull()
-        ma = m.select(F.col("digest").alias("digest_a"), F.col("rec_id").alias("ia"), F.col("group_key").alias("ga"))
-        mb = m.select(F.col("digest").alias("digest_b"), F.col("rec_id").alias("ib"), F.col("group_key").alias("gb"))
-        across = self.class_pairs().join(ma, "digest_a").join(mb, "digest_b").where(far).select("ia", "ib", "similarity")
+        # Every row of a class meets every other in the result; so its members may meet in one task.
+        m = self._rows.select("digest", "rec_id", "group_hash").repartition("digest").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+        far = F.coalesce(F.col("ga") != F.col("gb"), F.lit(True))
+        links = self.class_pairs()
         if per_copy:
-            same = ma.join(mb, F.col("digest_a") == F.col("digest_b")).where((F.col("ia") < F.col("ib")) & far).select("ia", "ib", F.lit(1.0).alias("similarity"))
-            across = across.unionByName(same)
-        return across.where("ia <> ib").select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), "similarity").groupBy("id_a", "id_b").agg(F.max("similarity").alias("similarity"))
+            copied = m.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+            links = links.unionByName(copied.select(F.col("digest").alias("digest_a"), F.col("digest").alias("digest_b"), F.lit(1.0).alias("similarity")))
+        ma = m.select(F.col("digest").alias("digest_a"), F.col("rec_id").alias("ia"), F.col("group_hash").alias("ga"))
+        mb = m.select(F.col("digest").alias("digest_b"), F.col("rec_id").alias("ib"), F.col("group_hash").alias("gb"))
+        across = links.join(ma, "digest_a").join(mb, "digest_b").where((F.col("ia") != F.col("ib")) & far)
+        return across.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), "similarity").groupBy("id_a", "id_b").agg(F.max("similarity").alias("similarity"))
 
     def groups(self) -> DataFrame:
         """One row per record: (rec_id, group_id, copies, links).
@@ -212,16 +311,15 @@ class NearDuplicates:
         of the same class (itself included), links the number of other classes at or over the
         threshold.  Groups take no notice of `group_col`.
         """
-        hexed = lambda c: F.hex(c)
-        edges = self.class_pairs().select(hexed("digest_a").alias("src"), hexed("digest_b").alias("dst")).persist(StorageLevel.MEMORY_AND_DISK)
+        edges = self.class_pairs().select(F.hex("digest_a").alias("src"), F.hex("digest_b").alias("dst")).persist(StorageLevel.MEMORY_AND_DISK)
         size = self.members.groupBy("digest").agg(F.countDistinct("rec_id").alias("copies"), F.min("rec_id").alias("least"))
-        nodes = size.select(hexed("digest").alias("node"), "copies", "least")
+        nodes = size.select(F.hex("digest").alias("node"), "copies", "least")
         degree = edges.select(F.col("src").alias("node")).unionAll(edges.select(F.col("dst").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
         component = connected_components(edges, "src", "dst")
         named = nodes.join(degree, "node", "left").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
         heads = named.groupBy("component").agg(F.min("least").alias("group_id"))
         out = named.join(heads, "component").select("node", "group_id", "copies", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
-        return self.members.select(hexed("digest").alias("node"), "rec_id").distinct().join(out, "node").select("rec_id", "group_id", "copies", "links")
+        return self.members.select(F.hex("digest").alias("node"), "rec_id").distinct().join(out, "node").select("rec_id", "group_id", "copies", "links")
 
 
 def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, group_col: str | None = None, **options) -> DataFrame:
