@@ -7,13 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmill.llm.conversations import Conversations
+from quillmill.llm.encoding_repair import wrongly_decoded
+from quillmill.llm.leakage import leaks, remove_leaks
 from quillmill.llm.near_duplicates import NearDuplicates
+from quillmill.llm.packing import pack_texts
+from quillmill.llm.quality import prose_shares, text_statistics
+from quillmill.llm.scan_repair import ScannedText
+from quillmill.llm.splitting import split_records
+from quillmill.plans.ordered import running_totals
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chunks and raw_documents as records (tab, rec_key, file_hash, chunk_index, doc_type, text)."""
+    c = _table(spark, sf_dir, "chunks").select(F.lit("chunks").alias("tab"), F.col("chunk_id").alias("rec_key"), "file_hash", "chunk_index", "doc_type", "text")
+    r = _table(spark, sf_dir, "raw_documents").select(F.lit("raw_documents").alias("tab"), F.col("file_hash").alias("rec_key"), "file_hash", F.lit(0).alias("chunk_index"), "doc_type", F.col("raw_text").alias("text"))
+    return c.unionByName(r)
+
+
 def _chunk_duplicates(spark: SparkSession, sf_dir: str) -> NearDuplicates:
     return NearDuplicates(_table(spark, sf_dir, "chunks"), "chunk_id", "text", "file_hash", width=3, threshold=0.6, min_terms=20)
 
@@ -26,8 +41,83 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunk_duplicates(spark, sf_dir).groups().withColumnRenamed("rec_id", "chunk_id")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prose_shares(_records(spark, sf_dir), ["tab", "rec_key"], "text").where("not is_prose").select("tab", "rec_key")
+
+
+def p2_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every record; rows delivered again are given once."""
+    # The table of function words is fixed (a few hundred rows).
+    common = [r[0] for r in _table(spark, sf_dir, "common_words").where("word is not null").select("word").distinct().collect()]
+    return _records(spark, sf_dir).select("tab", "rec_key", *(c.alias(n) for n, c in text_statistics(F.col("text"), common).items())).distinct()
+
+
+def _conversations(spark: SparkSession, sf_dir: str) -> Conversations:
+    return Conversations(_table(spark, sf_dir, "messages"), _table(spark, sf_dir, "sessions"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _conversations(spark, sf_dir).broken()
+
+
+def p3_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _conversations(spark, sf_dir).conversations()
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> ScannedText:
+    return ScannedText(_table(spark, sf_dir, "raw_documents"), "file_hash", "raw_text")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scanned(spark, sf_dir).found()
+
+
+def p4_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scanned(spark, sf_dir).text()
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = split_records(_records(spark, sf_dir), _table(spark, sf_dir, "chunk_profile"))
+    return pieces.where(F.size("pieces") > 1).select("tab", "rec_key").distinct()
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record in pieces within its limit, chunk_index counted anew over the file.
+
+    Re-deliveries of a record have the same text; they differ at most in doc_type and place, of which the least is used.
+    """
+    r = _records(spark, sf_dir).where("rec_key is not null and text is not null")
+    once = r.groupBy("tab", "rec_key").agg(F.min(F.struct("file_hash", "chunk_index", "doc_type")).alias("p"), F.min("text").alias("text")).select("tab", "rec_key", "p.*", "text")
+    cut = split_records(once, _table(spark, sf_dir, "chunk_profile")).select("tab", "rec_key", "file_hash", "chunk_index", "text", "pieces")
+    narrow = cut.select("tab", "rec_key", "file_hash", "chunk_index", F.size("pieces").cast("bigint").alias("_n"))
+    placed = running_totals(narrow, ["tab", "file_hash"], ["chunk_index", "rec_key"], {"_before": "_n"}).select("tab", "rec_key", "_before")
+    whole = cut.join(placed, ["tab", "rec_key"])
+    out = whole.select("tab", "rec_key", "file_hash", "text", "_before", F.inline("pieces"))
+    return out.select("tab", "rec_key", "file_hash", (F.col("_before") + F.col("piece_no")).alias("chunk_index"), "piece_no", "first_word", "words", F.expr("substring(text, char_from + 1, chars)").alias("text"))
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_texts(_table(spark, sf_dir, "documents"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrongly_decoded(_table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrongly_decoded(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_groups": p1_groups}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_statistics, p3_found, p3_conversations, p4_found, p4_text, p5_found, p5_pieces, p6_containers, p7_found, p7_removed, p8_found, p8_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
