@@ -12,7 +12,7 @@ _SYLLABLES = ("ba", "ren", "to", "mil", "ka", "sor", "den", "lu", "vi", "pa", "t
 
 # Patterns of sentences; N is a noun, A an adjective, V a verb, P a name, # a number.
 _SENTENCES = {
-    "en": ("The N of the N is A and has been V-ed by P.", "We have V-ed # N-s in the N, but none of them was A.", "Do not V the N until it is A again.", "If a N looks A, V it and tell P about it.", "P V-s A N-s, whereas Q V-s N-s.", "V the A N-s, wait # days, V them again.", "Why V A N-s at all?", "Never V a A N; V the N instead.", "Several N-s stayed A, several N-s broke.", "Teams V # N-s usually.", "P N-s gently V A N-s."),
+    "en": ("The N of the N is A and has been V-ed by P.", "We have V-ed # N-s in the N, but none of them was A.", "Do not V the N until it is A again.", "If a N looks A, V it and tell P about it.", "P V-s A N-s, whereas Q V-s N-s.", "V the A N-s, wait # days, V them again.", "Why V A N-s at all?", "Never V a A N; V the N instead.", "Several N-s stayed A, several N-s broke.", "Teams V # N-s usually.", "P N-s gently V A N-s.", "P crews V N-s weekly, then V N-s.", "Never V A N-s; V A N-s instead.", "P V-s A N-s monthly, whereas Q V-s A N-s.", "V A N-s, wait # metres, V N-s again.", "Several N-s stayed A, several N-s broke early."),
     "de": ("Der N ist A, weil P die N-en noch nicht V-t.", "Nach der N V-t das N seit # Tagen die N, und niemand hat es gemerkt.", "Über den N V-t die N den N mit dem Formular.", "Wir haben die N-en nicht ge-V-t."),
     "fr": ("Le N est A, parce que P n’a pas été V-é au même N.", "La N a déjà V-é les N-s depuis # jours.", "À la fin de l’été, l’N V-e le N avec soin.", "Nous avons V-é # N-s dans la N."),
     "es": ("El N V-ó la N hace # días, y la N está A.", "¿Por qué la N V-ó los N-s con P?", "La N todavía no está A durante la mañana.", "Hemos V-ado # N-s en el N."),
@@ -50,26 +50,38 @@ class Maker:
         else:
             some = _SENTENCES[lang]
         sentences = [self.fill(r.choice(some)) for _ in range(r.randint(2, 9))]
+        longer = r.random()
+        if longer < 0.5:  # long sentences: several clauses with one stop
+            merged: list[str] = []
+            for s in sentences:
+                if merged and r.random() < longer + 0.2:
+                    merged[-1] = merged[-1].rstrip(".?!") + r.choice((", and ", ", but ", " ", "; ", " – ")) + s
+                else:
+                    merged.append(s)
+            sentences = merged
         sentences = [s[:1].upper() + s[1:] for s in sentences]
         style = r.random()
         if style < 0.08:
             sentences = [s.upper() for s in sentences]
-        elif style < 0.14:
-            sentences = [s.rstrip(".?!") for s in sentences]  # no stops
         elif style < 0.2:
+            sentences = [s.rstrip(".?!") for s in sentences]  # no stops
+        elif style < 0.26:
             sentences = [s.replace(".", ";") for s in sentences]
-        elif style < 0.3:
+        elif style < 0.36:
             noise = str.maketrans({"l": "1", "o": "0", "e": "c", "a": "@"})
             sentences = [" ".join(w.translate(noise) if r.random() < 0.08 else w for w in s.split(" ")) for s in sentences]
         shape = r.random()
         if shape < 0.45:
             return [(" ".join(sentences), 0)]
-        if shape < 0.6:
+        if shape < 0.55:
+            return [x for s in sentences for x in ((s, 0), ("", -1))][:-1]
+        if shape < 0.65:
             lead = r.choice(("", "", "Q: ", "— ", "> "))
             return [(lead + s, 0) for s in sentences]
-        width, line, lines = r.randint(38, 90), "", []
+        width, line, lines = r.randint(38, 100), "", []
+        ragged = r.choice((0.0, 0.0, 0.02, 0.06))
         for word in " ".join(sentences).split(" "):
-            if len(line) + len(word) >= width:
+            if len(line) + len(word) >= width or line and r.random() < ragged:
                 lines.append((line, 0))
                 line = word
             else:
