@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillmill.functions.vectors import as_double, norm
 
@@ -39,6 +40,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str, v
     ids, group = base.schema["_id"].dataType.simpleString(), base.schema["_group"].dataType.simpleString()
     wanted = queries.select(F.col(query_id).alias("_q"), as_double(F.col(query_vector)).alias("_w")).where("_q is not null and size(_w) > 0")
     qtype = wanted.schema["_q"].dataType.simpleString()
+    arrow = to_arrow_type(wanted.schema["_q"].dataType)
 
     def scored(names: list, matrix: np.ndarray) -> DataFrame:
         shared = spark.sparkContext.broadcast((names, matrix))
@@ -68,7 +70,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str, v
                         which += [j] * len(best)
                         value += sims[best, j].tolist()
                 take = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([own[j] for j in which]), batch.column(0).take(take), batch.column(1).take(take), pa.array(value, pa.float64())], ["_q", "_id", "_group", "similarity"])
+                yield pa.RecordBatch.from_arrays([pa.array([own[j] for j in which], arrow), batch.column(0).take(take), batch.column(1).take(take), pa.array(value, pa.float64())], ["_q", "_id", "_group", "similarity"])
 
         return base.mapInArrow(run, f"_q {qtype}, _id {ids}, _group {group}, similarity double")
 

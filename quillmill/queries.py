@@ -116,11 +116,11 @@ def bm25_scores(spark, sf_dir):
     return retrieval.bm25(rows, asked, keys=["query_id", "collection"], doc_id="chunk_id", text_col="text").select("query_id", "collection", "chunk_id", F.round("sparse_score", 6).alias("sparse_score"))
 
 
-@_query(f"""select query_id, vec_id, similarity as score, model_score, round(0.25 * similarity + 0.75 * model_score, 6) as final_score,
-row_number() over (partition by query_id order by round(0.25 * similarity + 0.75 * model_score, 6) desc, vec_id)::int as rank from (select *, round(((vec_id * 37) % 101) / 101.0, 6)::double as model_score from ({_TOP3})) qualify rank <= 5""")
+@_query(f"""select query_id, vec_id, similarity as score, model_score, round(0.25 * similarity + 0.75 * model_score, 8) as final_score,
+row_number() over (partition by query_id order by round(0.25 * similarity + 0.75 * model_score, 8) desc, vec_id)::int as rank from (select *, round(((vec_id * 37) % 101) / 101.0, 6)::double as model_score from ({_TOP3})) qualify rank <= 5""")
 def rerank_blend(spark, sf_dir):
     hits = _label_hits(spark, sf_dir).select("query_id", "vec_id", F.col("vec_id").alias("chunk_id"), F.col("similarity").alias("score"))
-    return retrieval.rerank(hits, F.round(((F.col("vec_id") * 37) % 101) / 101.0, 6)).select("query_id", "vec_id", "score", "model_score", "final_score", "rank")
+    return retrieval.rerank(hits, F.round(((F.col("vec_id") * 37) % 101) / 101.0, 6), digits=8).select("query_id", "vec_id", "score", "model_score", "final_score", "rank")
 
 
 @_query("select doc_id, term, count(*) as n from (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+')) as term from documents) group by all")
