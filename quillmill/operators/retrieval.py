@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quillmill.functions.vectors import as_double, norm
+from quillmill.functions.vectors import as_double
 
 # BM25 constants, boosts and blend weights.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -205,8 +205,3 @@ def chosen_query(tool_calls: Column, query: Column) -> Column:
     """The query of the first call of the retrieve tool (array of name, query), else the own one."""
     calls = F.filter(tool_calls, lambda c: c["name"] == "retrieve")
     return F.coalesce(F.when(F.size(calls) > 0, F.get(calls, 0)["query"]), query)
-
-
-def unit(c: Column) -> Column:
-    n = norm(c)
-    return F.when(n > 0, F.transform(as_double(c), lambda x: x / n)).otherwise(as_double(c))

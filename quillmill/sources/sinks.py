@@ -104,3 +104,8 @@ def add_sessions(existing: DataFrame, new: DataFrame) -> DataFrame:
 def last_values(events: DataFrame, value: str) -> DataFrame:
     """The last title or summary of each session from events (session_id, value, at); an aggregate, ties to the larger value."""
     return events.where("session_id is not null").groupBy("session_id").agg(F.max_by(value, F.struct("at", value)).alias(value), F.max("at").alias("updated_at"))
+
+
+def with_columns(df: DataFrame, defaults: dict) -> DataFrame:
+    """Columns that are not there yet, added with a default; others stay."""
+    return df.withColumns({k: F.lit(v) for k, v in defaults.items() if k not in df.columns})
