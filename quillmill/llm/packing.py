@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.tokens import token_counts
+from quillmill.plans.lineage import cut
 from quillmill.plans.ordered import running_totals
 
 
@@ -108,4 +109,5 @@ def pack_texts(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     counted = rows.select(id_col, token_counts(F.col("_text"), tokenizer_file).alias("_n")).where("_n > 0")
     parts = counted.select(id_col, "_n", F.explode(F.sequence(F.lit(0), ((F.col("_n") - 1) / capacity).cast("int"))).alias("part_no"))
     narrow = parts.select(id_col, "part_no", (F.col("part_no") * capacity).alias("first_token"), F.least(F.lit(capacity), F.col("_n") - F.col("part_no") * capacity).cast("int").alias("tokens"))
-    return pack(narrow, [id_col, "part_no"], "tokens", capacity)
+    # Written once: sorting and placing would each count the tokens anew.
+    return pack(cut(narrow), [id_col, "part_no"], "tokens", capacity)
