@@ -15,6 +15,7 @@ from quillmill.llm.packing import pack_texts
 from quillmill.llm.quality import prose_shares, text_statistics
 from quillmill.llm.scan_repair import ScannedText
 from quillmill.llm.splitting import split_records
+from quillmill.plans.lineage import cut
 from quillmill.plans.ordered import running_totals
 
 
@@ -88,10 +89,10 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     r = _records(spark, sf_dir).where("rec_key is not null and text is not null")
     once = r.groupBy("tab", "rec_key").agg(F.min(F.struct("file_hash", "chunk_index", "doc_type")).alias("p"), F.min("text").alias("text")).select("tab", "rec_key", "p.*", "text")
-    cut = split_records(once, _table(spark, sf_dir, "chunk_profile")).select("tab", "rec_key", "file_hash", "chunk_index", "text", "pieces")
-    narrow = cut.select("tab", "rec_key", "file_hash", "chunk_index", F.size("pieces").cast("bigint").alias("_n"))
+    pieces = split_records(once, _table(spark, sf_dir, "chunk_profile")).select("tab", "rec_key", "file_hash", "chunk_index", "text", "pieces")
+    narrow = cut(pieces.select("tab", "rec_key", "file_hash", "chunk_index", F.size("pieces").cast("bigint").alias("_n")))
     placed = running_totals(narrow, ["tab", "file_hash"], ["chunk_index", "rec_key"], {"_before": "_n"}).select("tab", "rec_key", "_before")
-    whole = cut.join(placed, ["tab", "rec_key"])
+    whole = pieces.join(placed, ["tab", "rec_key"])
     out = whole.select("tab", "rec_key", "file_hash", "text", "_before", F.inline("pieces"))
     return out.select("tab", "rec_key", "file_hash", (F.col("_before") + F.col("piece_no")).alias("chunk_index"), "piece_no", "first_word", "words", F.expr("substring(text, char_from + 1, chars)").alias("text"))
 
@@ -116,9 +117,42 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrongly_decoded(_table(spark, sf_dir, "documents"))
 
 
+_TERMS = "list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+_WORDS = "[^\\s\\x1c-\\x1f\\x{85}\\p{Z}]+"
+_RECORDS = "select 'chunks' as tab, chunk_id as rec_key, doc_type, text from chunks union all select 'raw_documents', file_hash, doc_type, raw_text from raw_documents"
+
+_SQL = {
+    "p1_found": f"""with t as materialized (select chunk_id, file_hash, w from (select distinct chunk_id, file_hash, {_TERMS.format("text")} as w from chunks where text is not null) where len(w) >= 20),
+s as materialized (select distinct chunk_id, file_hash, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select *, unnest(range(1, len(w) - 1)) as i from t)),
+n as (select chunk_id, count(distinct g) as n from s group by chunk_id),
+both_ as (select a.chunk_id as a, b.chunk_id as b, count(distinct a.g) as k from s a join s b on a.g = b.g and a.chunk_id < b.chunk_id and a.file_hash <> b.file_hash group by all)
+select a as chunk_id_a, b as chunk_id_b from both_ join n x on x.chunk_id = a join n y on y.chunk_id = b where k >= 0.6 * (x.n + y.n - k) - 1e-9""",
+    "p2_statistics": f"""with c as (select list(distinct word) as words from common_words where word is not null),
+r as (select tab, rec_key, coalesce(text, '') as t, regexp_replace(coalesce(text, ''), '[\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+', '', 'g') as bare, regexp_extract_all(coalesce(text, ''), '{_WORDS}') as w from ({_RECORDS})),
+l as (select *, list_filter(string_split(t, chr(10)), lambda x: regexp_replace(x, '[\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+', '', 'g') <> '') as lines from r)
+select distinct tab, rec_key, len(w)::int as word_count, round(length(bare) / nullif(len(w), 0), 6) as mean_word_length, round(length(regexp_replace(bare, '[\\p{{L}}\\p{{N}}]', '', 'g')) / nullif(length(bare), 0), 6) as symbol_ratio,
+round(len(list_filter(lines, lambda x: regexp_matches(x, '[.!?:;…]["''”’»)]*[\\s\\p{{Z}}]*$'))) / nullif(len(lines), 0), 6) as ended_lines,
+round(len(list_filter(w, lambda x: list_contains((select words from c), regexp_replace(lower(x), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')))) / nullif(len(w), 0), 6) as common_words from l""",
+    "p3_found": """with m as (select *, case lower(regexp_replace(role, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) when 'human' then 'human' when 'user' then 'human' when 'ai' then 'ai' when 'assistant' then 'ai' when 'system' then 'system' when 'tool' then 'tool' end as kind from messages where session_id is not null),
+named as (select session_id from m union select session_id from sessions where session_id is not null),
+bad as (select distinct session_id from m where created_at is null or kind is null),
+kept as (select session_id, role, kind, content, created_at, min(id) as id from m where kind in ('human', 'ai') and created_at is not null and coalesce(regexp_replace(content, '[\\s\\x1c-\\x1f\\x{85}\\p{Z}]+', '', 'g'), '') <> '' group by all),
+seen as (select *, lag(kind) over w as before, lead(kind) over w as after from kept window w as (partition by session_id order by created_at, id, role, content)),
+wrong as (select distinct session_id from seen where (before is null and kind = 'ai') or (kind = 'human' and coalesce(after, 'human') = 'human'))
+select session_id from named where session_id in (select session_id from bad) or session_id in (select session_id from wrong) or session_id not in (select session_id from kept)""",
+    "p5_found": f"""select distinct tab, rec_key from (select tab, rec_key, len(regexp_extract_all(coalesce(text, ''), '{_WORDS}')) as n, case when lower(doc_type) in (select lower(doc_type) from chunk_profile) then lower(doc_type) else 'txt' end as kind from ({_RECORDS})) r
+join chunk_profile p on lower(p.doc_type) = kind where n > max_tokens""",
+    "p7_found": f"""with i as (select item_id, {_TERMS.format("passage")} as w from eval_items where passage is not null), d as (select doc_id, {_TERMS.format("text")} as w from documents where text is not null),
+gi as materialized (select distinct item_id, array_to_string(w[k : k + 11], ' ') as g from (select *, unnest(range(1, len(w) - 10)) as k from i where len(w) >= 12)),
+gd as (select doc_id, array_to_string(w[k : k + 11], ' ') as g from (select *, unnest(range(1, len(w) - 10)) as k from d where len(w) >= 12))
+select distinct doc_id, item_id from gd join gi using (g)""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_statistics, p3_found, p3_conversations, p4_found, p4_text, p5_found, p5_pieces, p6_containers, p7_found, p7_removed, p8_found, p8_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Statements for whole tables; the other queries are tested against brute force, round trips and labelled texts."""
+    return dict(_SQL)
