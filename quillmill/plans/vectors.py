@@ -16,6 +16,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
+class Shipped:
+    """A vector made small for shipping; each process opens it once."""
+
+    def __init__(self, vector: np.ndarray):
+        self._data, self._dtype = zlib.compress(vector.tobytes(), 6), vector.dtype.str
+        self._open: np.ndarray | None = None
+
+    def __getstate__(self) -> tuple[bytes, str]:
+        return self._data, self._dtype
+
+    def __setstate__(self, state: tuple[bytes, str]) -> None:
+        self._data, self._dtype = state
+        self._open = None
+
+    @property
+    def vector(self) -> np.ndarray:
+        if self._open is None:
+            self._open = np.frombuffer(zlib.decompress(self._data), dtype=self._dtype)
+        return self._open
+
+
 def _packed(total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["vector"])
 
