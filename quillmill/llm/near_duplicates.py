@@ -12,7 +12,7 @@ at most (1 - t) / (1 + t) * (n + m).
   from a count sketch of fixed size over all texts, and any order gives the same
   result; rare bits first only keeps blocks small.
 * A pair in a block goes on only if sizes and positions allow the distance.
-* Verification: the Hamming distance of folded 256-bit parity fingerprints never
+* Verification: the Hamming distance of folded 192-bit parity fingerprints never
   exceeds the true distance, so it drops pairs without loss; what remains is
   decided on the whole bit sets.
 
@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 
 from quillmill.functions.termhash import Terms, distinct_by_owner, mix64, shingle_hashes, small_batches
 from quillmill.plans.components import connected_components
-from quillmill.plans.vectors import fold_vectors
+from quillmill.plans.vectors import Shipped, fold_vectors
 
 #: Cells of the count sketch that orders bits; its size does not depend on the data.
 SKETCH_BITS = 20
 #: Bits of the first folded fingerprint.
-FOLD = 256
+FOLD = 192
 #: A class is addressed by so many bits of its digest; classes that share a slot are told apart at verification.
 SLOT_BITS = 40
 #: Sizes from here on are written as this value, and such pairs skip the size and position tests.
@@ -109,7 +109,7 @@ def _blocks(rank, threshold: float):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = rank.value
+        counts = rank.value.vector
         for batch in small_batches(batches, 1):
             slots = batch.column(0).to_numpy()
             values, sizes = _addresses(batch.column(1))
@@ -146,7 +146,7 @@ def _blocks(rank, threshold: float):
 def _wanted(cells):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = cells.value[batch.column(0).to_numpy() & ((1 << WANTED_BITS) - 1)] > 0
+            keep = cells.value.vector[batch.column(0).to_numpy() & ((1 << WANTED_BITS) - 1)] > 0
             yield batch.filter(pa.array(keep))
 
     return run
@@ -221,6 +221,11 @@ class NearDuplicates:
         # The first copy of a class in each task stands for it; what is left of repeats falls away with the pairs.
         self._firsts = self._rows.where("bits is not null")
 
+    @property
+    def _width(self) -> int:
+        """Partitions of what is kept; named as a number, they stay as they are and joins can rely on them."""
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
     @property
     def members(self) -> DataFrame:
         """(digest, rec_id, group_hash), distinct."""
@@ -238,11 +243,11 @@ class NearDuplicates:
     def candidates(self) -> DataFrame:
         """(slot_a, slot_b): pairs of class slots that share a block and pass the size and position tests."""
         t = self.threshold
-        rank = self.spark.sparkContext.broadcast(self._order())
+        rank = self.spark.sparkContext.broadcast(Shipped(self._order()))
         blocks = self._firsts.select("slot", "bits").mapInArrow(_blocks(rank, t), "packed bigint, slot bigint")
         # Kept partitioned and sorted by address: both sides of the self-join read it as it is.
         address = F.shiftright("packed", 32)
-        blocks = blocks.repartition(address).sortWithinPartitions(address).persist(StorageLevel.MEMORY_AND_DISK)
+        blocks = blocks.repartition(self._width, address).sortWithinPartitions(address).persist(StorageLevel.MEMORY_AND_DISK)
         side = lambda x: blocks.select(address.alias("block"), F.col("packed").alias(f"p{x}"), F.col("slot").alias(f"slot_{x}"))
         bits = lambda c, shift, mask: F.shiftright(c, shift).bitwiseAND(F.lit(mask))
         size = lambda c: bits(c, 16, 255) + F.shiftleft(bits(c, 0, 127), 8)
@@ -277,9 +282,9 @@ class NearDuplicates:
             return out
 
         # Sets that no close pair needs stay where they are: the filter lets some too many through, never too few.
-        wanted = self.spark.sparkContext.broadcast(fold_vectors(near, size, cells, dtype="uint8", merge="maximum"))
+        wanted = self.spark.sparkContext.broadcast(Shipped(fold_vectors(near, size, cells, dtype="uint8", merge="maximum")))
         sets = self._firsts.select("slot", "digest", "bits").mapInArrow(_wanted(wanted), "slot bigint, digest binary, bits binary")
-        sets = sets.repartition("slot").groupBy("slot", "digest").agg(F.first("bits").alias("bits")).persist(StorageLevel.MEMORY_AND_DISK)
+        sets = sets.repartition(self._width, "slot").groupBy("slot", "digest").agg(F.first("bits").alias("bits")).persist(StorageLevel.MEMORY_AND_DISK)
         side = lambda x: sets.select(F.col("slot").alias(f"slot_{x}"), F.col("digest").alias(f"digest_{x}"), F.col("bits").alias(f"bits_{x}"))
         folds = near.join(side("a"), "slot_a").select("slot_b", "bits_a", "digest_a").mapInArrow(_wide_folds, "slot_b bigint, digest_a binary, n_a int, fold_a binary")
         close = folds.join(side("b"), "slot_b").select("digest_a", "digest_b", "n_a", "fold_a", "bits_b").mapInArrow(_still_near(t), "digest_a binary, digest_b binary")
@@ -293,7 +298,7 @@ class NearDuplicates:
     def pairs(self, per_copy: bool = True) -> DataFrame:
         """(id_a, id_b, similarity), id_a < id_b: all direct pairs of records, copies included."""
         # Every row of a class meets every other in the result; so its members may meet in one task.
-        m = self._rows.select("digest", "rec_id", "group_hash").repartition("digest").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+        m = self._rows.select("digest", "rec_id", "group_hash").repartition(self._width, "digest").distinct().persist(StorageLevel.MEMORY_AND_DISK)
         far = F.coalesce(F.col("ga") != F.col("gb"), F.lit(True))
         links = self.class_pairs()
         if per_copy:
