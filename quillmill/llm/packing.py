@@ -40,7 +40,7 @@ class Plan:
 def plan_packing(histogram: np.ndarray, capacity: int) -> Plan:
     """Packing patterns for histogram[length] items of each length 1 .. capacity.
 
-    Each length makes at most two more patterns (one split, one new), and a pattern has fewer than
+    Each length makes at most three more patterns (one split, two new), and a pattern has fewer than
     sqrt(2 * capacity) different lengths, so the plan's size depends on the capacity alone.
     """
     tick = itertools.count()
@@ -55,8 +55,11 @@ def plan_packing(histogram: np.ndarray, capacity: int) -> Plan:
             left -= take
             grown = (*parts[:-1], (length, parts[-1][1] + 1)) if parts[-1][0] == length else (*parts, (length, 1))
             heapq.heappush(open_, (content + length, next(tick), take, grown))
-        if left:
-            heapq.heappush(open_, (length, next(tick), left, ((length, 1),)))
+        # What is left opens new containers, each with as many of this length as it holds: a hot length fills its own.
+        full, rest = divmod(left, capacity // length)
+        for times, many in ((capacity // length, full), (rest, 1)):
+            if times and many:
+                heapq.heappush(open_, (length * times, next(tick), many, ((length, times),)))
     done = [(many, parts) for _, _, many, parts in open_]
     base = np.concatenate([[0], np.cumsum(histogram)])[: len(histogram)].astype(np.int64)
     runs: dict[int, list[tuple[int, int, int]]] = {}

@@ -1,12 +1,14 @@
 """Text quality statistics, and telling natural prose from lists, tables, listings and junk.
 
-Statistics of lines are SQL expressions.  A rule list for lines that are no prose is induced by incremental reduced-error
-pruning on a bounded set of labelled texts and turned into a CASE expression; Spark evaluates it without Python.  A
-record is no prose if more than half of its words (headings left out) stand in such lines.
+Texts are cut into segments: at blank lines and before lines that open like a list item or a table row.  Statistics of
+segments are SQL expressions.  A rule list for segments that are no prose is induced by incremental reduced-error pruning on a
+bounded set of labelled texts and turned into a CASE expression; Spark evaluates it without Python.  A record is no prose if more than half of its
+words (headings left out) stand in such segments.
 """
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -28,74 +30,74 @@ _BLANK = r"\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 _STOP = r"""[.!?。！？…]["”»)’]*"""
 _SENTENCES = rf"(?<=[^.…{_BLANK}]){_STOP}(?=[{_BLANK}]*(?:\n|$)|[{_BLANK}]+[\"“«(¿¡—]*\p{{Lu}})"
 
-#: Of a line `l` (`low` is ' ' || lower(l) || ' ').  Names are those of the features of the rules.
-_LINE = {
-    "words": f"regexp_count(l, r'[^{_BLANK}]+')",
-    "ends": rf"cast(l rlike r'[^.…{_BLANK}]{_STOP}[{_BLANK}]*$' as int)",
-    "commas": "length(l) - length(translate(l, ',;', ''))",
-    "marker": rf"cast(l rlike r'^[{_BLANK}]*([-*•▪◦‣·+]|[(]?[0-9]{{1,3}}[.)]|[(]?[A-Za-z][.)]|[0-9]+([.][0-9]+)+)[{_BLANK}]' as int)",
-    "joints": r"regexp_count(l, r' [|│·/›>] |\t|[^ ] {3,}[^ ]|[|][ ]*$')",
-    "pairs": r"regexp_count(l, r'[\p{L}\p{N}_.-][:=] ?[^ ]')",
-    "digits": r"regexp_count(l, r'[0-9][^ ]*')",
-    "signs": r"length(regexp_replace(l, r'[\p{L}\p{N} .,;:!?’\x09-]+', ''))",
-    "letter_words": r"regexp_count(l, r'[\p{L}’-]{2,}')",
-    "long_words": r"regexp_count(l, r'[^ ]{26,}')",
-    "code": r"length(l) - length(translate(l, '{}[]=<>_', ''))",
-    "tree": r"cast(l rlike r'[├└│]|/\s*$|[.](csv|md|pdf|txt|html|docx|png|json|py)\s*$|([.…] ?){5,}' as int)",
-    "caps": r"regexp_count(l, r'(?:^| )\p{Lu}')",
+_MARKER = rf"[{_BLANK}]*(?:[-*•▪◦‣·+|├└│]|[(]?[0-9]{{1,3}}[.)][{_BLANK}]|[(]?[A-Za-z][.)][{_BLANK}])"
+_CUT = rf"\n[{_BLANK}]*\n|\n(?={_MARKER})"
+_LESS = lambda *parts: " + ".join(f"(length(block) - length(replace(block, {p}, ''))) / length({p})" for p in parts)
+
+#: Of a segment `block` (`low` is ' ' || lower(block) || ' ' on one line).  Plain counts use byte search; the last two are worked out only where they can matter.
+_COUNTS = {
+    "words": f"regexp_count(block, r'[^{_BLANK}]+')",
+    "sentences": f"regexp_count(block, r'{_SENTENCES}')",
     "glue": r"regexp_count(low, r' (?:" + "|".join(_GLUE.split()) + r")(?= )')",
+    "commas": _LESS("','", "';'"),
+    "joints": _LESS("'|'", "' / '", "' · '", "' > '", "'\t'", "'    '"),
+    "code": _LESS("'='", "'{'", "'}'", "'['", "'<'", "'_'"),
+    "pairs": _LESS("': '"),
+    "marker": f"cast(block rlike r'^{_MARKER}' as int)",
+    "digits": r"length(block) - length(regexp_replace(block, r'[0-9]+', ''))",
+    "letters": r"length(block) - length(regexp_replace(block, r'\p{L}+', ''))",
 }
-#: Of the whole block (lines between blank lines), counted once for all its lines; `low` as above.
-_BLOCK = {
-    "block_sentences": f"regexp_count(block, r'{_SENTENCES}')",
-    "block_words": _LINE["words"].replace("(l,", "(block,"),
-    "block_glue": _LINE["glue"].replace("(low,", "(translate(low, '\n', ' '),"),
-    "block_odd": r"regexp_count(block, r'[jqvxz][bcdfghjkmnpqrtvwxz]|[bcdfghjkpqtvwz]x|[bfghjklmpqvwx]z|[bcfghjkpqvwxz]j|[bcdfghkmpwy]q|[bcdfghjklmnpqrstvwxz]{5}')",
-    "block_marks": rf"regexp_count(block, r'(?:^|\n)[{_BLANK}]*(?:[-*•▪◦‣·+]|[(]?[0-9]{{1,3}}[.)]|[(]?[A-Za-z][.)])[{_BLANK}]')",
-}
+_RARE = r"regexp_count(block, r'[jqvxz][bcdfghjkmnpqrtvwxz]|[bcdfghjkpqtvwz]x|[bfghjklmpqvwx]z|[bcfghjkpqvwxz]j|[bcdfghkmpwy]q|[bcdfghjklmnpqrstvwxz]{5}')"
+_ROOM = r"aggregate(zip_with(slice(split(block, '\n'), 1, lines - 1), slice(split(block, '\n'), 2, lines), (x, y) -> if(length(x) + 1 + length(split_part(y, ' ', 1)) < array_max(transform(split(block, '\n'), z -> length(z))), 1, 0)), 0, (s, x) -> s + x)"
 
 _FEATURES = {
-    "words": "words", "ends": "ends", "marker": "marker", "joints": "joints", "pairs": "pairs", "tree": "tree", "long_words": "long_words", "code": "code", "next_low": "next_low", "room": "room",
-    "comma_share": "commas / greatest(words, 1)",
-    "digit_share": "digits / greatest(words, 1)",
-    "sign_share": "signs / greatest(length(l), 1)",
-    "letter_share": "letter_words / greatest(words, 1)",
-    "caps_share": "caps / greatest(words, 1)",
-    "glue_share": "glue / greatest(words, 1)",
-    "line_words": "block_words / block_lines",
-    "block_density": "block_sentences / greatest(block_words, 1)",
-    "block_glue": "block_glue / greatest(block_words, 1)",
-    "block_odd": "block_odd / greatest(block_words, 1)",
-    "block_marks": "block_marks / block_lines",
-    "block_room": "block_room / greatest(block_lines - 1, 1)",
+    "marker": "marker",
+    "words": "least(words, 60)",
+    "line_words": "words / lines",
+    "density": "sentences / greatest(words, 1)",
+    "glue": "glue / greatest(words, 1)",
+    "commas": "commas / greatest(words, 1)",
+    "joints": "joints / greatest(words, 1)",
+    "code": "code / greatest(words, 1)",
+    "pairs": "pairs / greatest(words, 1)",
+    "digits": "digits / greatest(length(block), 1)",
+    "letters": "letters / greatest(length(block), 1)",
+    "odd": f"case when glue * 25 <= words then {_RARE} / greatest(words, 1) else 0 end",
+    "room": f"case when lines > 1 and sentences * 10 < words then {_ROOM} / (lines - 1) else 0 end",
 }
 FEATURES = tuple(_FEATURES)
 
 
-def line_features(texts: DataFrame, text_col: str) -> DataFrame:
-    """One row per line that counts: the other columns of `texts`, block_no, line_no (in the block, from 0) and the features.
+def segment_features(texts: DataFrame, text_col: str) -> DataFrame:
+    """One row per segment that counts: the other columns of `texts`, segment_no (from 0) and the features.
 
-    Blank lines, opening `Document:` and `Section:` lines and headings do not count.  Neighbours come from shifted copies of the
-    array of a block's lines, so no row meets another text's rows and nothing is shuffled.
+    Blank segments, opening `Document:` and `Section:` lines and headings do not count.  Each text is worked on within its row and
+    nothing is shuffled.
     """
     keep = [c for c in texts.columns if c != text_col]
-    blocks = texts.select(*keep, F.posexplode(F.split(F.regexp_replace(F.col(text_col), r"^(Document: [^\n]*\n?)?(Section: [^\n]*\n?)?", ""), rf"\n[{_BLANK}]*\n")).alias("block_no", "block"))
-    blocks = blocks.where(f"block rlike r'[^{_BLANK}]'").select(*keep, "block_no", F.regexp_replace("block", r"^\n+|\n+$", "").alias("block"))
-    lines = F.split("block", "\n")
-    zipped = F.arrays_zip(lines.alias("l"), F.slice(lines, 2, F.size(lines)).alias("a"))
-    pad = lambda c: F.concat(F.lit(" "), F.lower(c), F.lit(" "))
-    told = blocks.select(*keep, "block_no", "block", pad(F.col("block")).alias("low"), F.size(lines).alias("block_lines"), F.array_max(F.transform(lines, F.length)).alias("block_width"))
-    # Breaks before a word that would have fitted are deliberate; wrapped text has few.
-    room = F.expr(r"aggregate(zip_with(slice(split(block, '\n'), 1, greatest(block_lines - 1, 0)), slice(split(block, '\n'), 2, block_lines), (x, y) -> if(length(x) + 1 + length(split_part(y, ' ', 1)) < block_width, 1, 0)), 0, (s, x) -> s + x)").alias("block_room")
-    own = ["block_no", "block_lines", "block_width", "block_room", *_BLOCK]
-    counted = told.select(*keep, "block", "block_no", "block_lines", "block_width", room, *(F.expr(e).alias(n) for n, e in _BLOCK.items()))
-    rows = counted.select(*keep, *own, F.posexplode(zipped).alias("line_no", "_s")).where("_s.l is not null").select(*keep, *own, "line_no", "_s.*")
-    heading = F.expr(r"""l rlike r'^\s*#{1,6}\s' or l rlike r'^\s*=+ .* =+\s*$' or (block_lines = 1 and block_words <= 9
-        and l rlike r'^(\p{Lu}|[\p{L}\p{N}_]+ the )' and l not rlike r'[.!?:;|•·/=]\s*$|^\s*[-*•▪◦‣·+]\s|\s[|/·]\s|[^ ] {3,}[^ ]|[:=]\s?[^ ]|[├└│_]|[0-9]$')""")
-    texts_ = rows.where(F.expr(f"l rlike r'[^{_BLANK}]'")).where(~F.coalesce(heading, F.lit(False)))
-    wide = texts_.select(*keep, "line_no", *own, "l", pad(F.col("l")).alias("low"), F.expr(r"cast(coalesce(a rlike r'^\s*[\p{Ll}0-9(]', false) as int)").alias("next_low"), F.expr("cast(coalesce(length(l) + 1 + length(split_part(a, ' ', 1)) < block_width, false) as int)").alias("room"))
-    counts = wide.select(*keep, "line_no", *own, "l", "next_low", "room", *(F.expr(e).alias(n) for n, e in _LINE.items()))
-    return counts.select(*keep, "block_no", "line_no", *(F.expr(e).cast("double").alias(f"f_{n}") for n, e in _FEATURES.items()))
+    opened = F.regexp_replace(F.col(text_col), r"^(Document: [^\n]*\n?)?(Section: [^\n]*\n?)?", "")
+    cut = texts.select(*keep, F.posexplode(F.split(opened, _CUT)).alias("segment_no", "block")).select(*keep, "segment_no", F.regexp_replace("block", r"^\n+|\n+$", "").alias("block"))
+    lines = F.expr("1 + length(block) - length(replace(block, '\n', ''))").alias("lines")
+    wide = cut.where("block <> ''").select(*keep, "segment_no", "block", F.expr("' ' || lower(translate(block, '\n', ' ')) || ' '").alias("low"), lines)
+    counts = wide.select(*keep, "segment_no", "block", "lines", *(F.expr(e).alias(n) for n, e in _COUNTS.items())).where("words > 0")
+    heading = F.expr(r"""lines = 1 and words <= 20 and (block rlike r'^\s*#{1,6}\s' or block rlike r'^\s*=+ .* =+\s*$' or (words <= 9 and marker = 0 and joints = 0 and pairs = 0 and code = 0
+        and block rlike r'^(\p{Lu}|[\p{L}\p{N}_]+ the )' and block not rlike r'[.!?:;•·/=]\s*$|[:=]\s?[^ ]|[0-9]$|   '))""")
+    return counts.where(~heading).select(*keep, "segment_no", F.col("words").cast("bigint").alias("word_count"), *(F.expr(e).cast("double").alias(f"f_{n}") for n, e in _FEATURES.items()))
+
+
+def segments_of(lines: list[str]) -> list[int]:
+    """The segment number of each line of a text, counted as segment_features does; -1 for blank lines."""
+    out, number, fresh = [], -1, True
+    for line in lines:
+        if not line.strip():
+            out.append(-1)
+            fresh = True
+            continue
+        if fresh or re.match(_MARKER, line):
+            number += 1
+        fresh = False
+        out.append(number)
+    return out
 
 
 @lru_cache(maxsize=4)
@@ -103,32 +105,26 @@ def _rules(texts: int, seed: int) -> tuple[Rule, ...]:
     spark = SparkSession.getActiveSession()
     samples = labelled_texts(texts, seed)
     df = spark.createDataFrame([(i, t) for i, t, _ in samples], "rid int, text string")
-    rows = line_features(df, "text").toPandas()  # bounded by `texts`
-    # Labelled texts have one blank line between blocks and none inside.
+    rows = segment_features(df, "text").toPandas()  # bounded by `texts`
     labels = {}
-    for i, _, ys in samples:
-        block = line = 0
-        for y in ys:
-            if y < 0:
-                block, line = block + 1, 0
-            else:
-                labels[i, block, line] = y
-                line += 1
-    y = np.array([labels[k] == 1 for k in zip(rows["rid"].tolist(), rows["block_no"].tolist(), rows["line_no"].tolist())])
+    for i, text, ys in samples:
+        for number, y in zip(segments_of(text.split("\n")), ys):
+            labels.setdefault((i, number), y)
+    y = np.array([labels[k] == 1 for k in zip(rows["rid"].tolist(), rows["segment_no"].tolist())])
     table = {f"f_{n}": rows[f"f_{n}"].to_numpy() for n in FEATURES}
-    order = np.lexsort((rows["line_no"], rows["block_no"], rows["rid"]))
-    return tuple(induce({k: v[order] for k, v in table.items()}, y[order], np.sqrt(table["f_words"][order]), seed=seed))
+    order = np.lexsort((rows["segment_no"], rows["rid"]))
+    return tuple(induce({k: v[order] for k, v in table.items()}, y[order], np.sqrt(rows["word_count"].to_numpy(dtype=float)[order]), seed=seed))
 
 
 def prose_rules(texts: int = TRAINING_TEXTS, seed: int = TRAINING_SEED) -> list[Rule]:
-    """The rules for lines that are no prose, induced once in a process."""
+    """The rules for segments that are no prose, induced once in a process."""
     return list(_rules(texts, seed))
 
 
-def line_labels(texts: DataFrame, text_col: str, rules: list[Rule] | None = None) -> DataFrame:
-    """line_features with a column `other`, true for lines that are no prose."""
+def segment_labels(texts: DataFrame, text_col: str, rules: list[Rule] | None = None) -> DataFrame:
+    """segment_features with a column `other`, true for segments that are no prose."""
     rules = prose_rules() if rules is None else rules
-    return line_features(texts, text_col).withColumn("other", F.expr(to_case(rules)))
+    return segment_features(texts, text_col).withColumn("other", F.expr(to_case(rules)))
 
 
 def prose_shares(records: DataFrame, keys: list[str], text_col: str, rules: list[Rule] | None = None) -> DataFrame:
@@ -138,8 +134,8 @@ def prose_shares(records: DataFrame, keys: list[str], text_col: str, rules: list
     and texts of headings only are in no row.
     """
     rows = records.select(*keys, F.col(text_col).alias("_text")).where("_text is not null")
-    lines = line_labels(rows, "_text", rules)
-    sums = lines.groupBy(*keys).agg(F.sum("f_words").cast("bigint").alias("counted_words"), F.sum(F.when(F.col("other"), F.col("f_words")).otherwise(0.0)).cast("bigint").alias("other_words"))
+    told = segment_labels(rows, "_text", rules)
+    sums = told.groupBy(*keys).agg(F.sum("word_count").alias("counted_words"), F.sum(F.when(F.col("other"), F.col("word_count")).otherwise(0)).alias("other_words"))
     return sums.withColumn("is_prose", F.col("other_words") * 2 <= F.col("counted_words"))
 
 

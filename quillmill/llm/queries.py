@@ -132,7 +132,7 @@ r as (select tab, rec_key, coalesce(text, '') as t, regexp_replace(coalesce(text
 l as (select *, list_filter(string_split(t, chr(10)), lambda x: regexp_replace(x, '[\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+', '', 'g') <> '') as lines from r)
 select distinct tab, rec_key, len(w)::int as word_count, round(length(bare) / nullif(len(w), 0), 6) as mean_word_length, round(length(regexp_replace(bare, '[\\p{{L}}\\p{{N}}]', '', 'g')) / nullif(length(bare), 0), 6) as symbol_ratio,
 round(len(list_filter(lines, lambda x: regexp_matches(x, '[.!?:;…]["''”’»)]*[\\s\\p{{Z}}]*$'))) / nullif(len(lines), 0), 6) as ended_lines,
-round(len(list_filter(w, lambda x: list_contains((select words from c), regexp_replace(lower(x), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')))) / nullif(len(w), 0), 6) as common_words from l""",
+round(len(list_filter(w, lambda x: list_contains(words, regexp_replace(lower(x), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')))) / nullif(len(w), 0), 6) as common_words from l, c""",
     "p3_found": """with m as (select *, case lower(regexp_replace(role, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) when 'human' then 'human' when 'user' then 'human' when 'ai' then 'ai' when 'assistant' then 'ai' when 'system' then 'system' when 'tool' then 'tool' end as kind from messages where session_id is not null),
 named as (select session_id from m union select session_id from sessions where session_id is not null),
 bad as (select distinct session_id from m where created_at is null or kind is null),
