@@ -12,7 +12,7 @@ at most (1 - t) / (1 + t) * (n + m).
   from a count sketch of fixed size over all texts, and any order gives the same
   result; rare bits first only keeps blocks small.
 * A pair in a block goes on only if sizes and positions allow the distance.
-* Verification: the Hamming distance of folded 192-bit parity fingerprints never
+* Verification: the Hamming distance of folded 256-bit parity fingerprints never
   exceeds the true distance, so it drops pairs without loss; what remains is
   decided on the whole bit sets.
 
@@ -37,7 +37,7 @@ from quillmill.plans.vectors import Shipped, fold_vectors
 #: Cells of the count sketch that orders bits; its size does not depend on the data.
 SKETCH_BITS = 20
 #: Bits of the first folded fingerprint.
-FOLD = 192
+FOLD = 256
 #: A class is addressed by so many bits of its digest; classes that share a slot are told apart at verification.
 SLOT_BITS = 40
 #: Sizes from here on are written as this value, and such pairs skip the size and position tests.
@@ -290,9 +290,11 @@ class NearDuplicates:
         close = folds.join(side("b"), "slot_b").select("digest_a", "digest_b", "n_a", "fold_a", "bits_b").mapInArrow(_still_near(t), "digest_a binary, digest_b binary")
         slot = lambda c: sum((F.shiftleft(F.conv(F.hex(F.substring(c, k + 1, 1)), 16, 10).cast("bigint"), 8 * k) for k in range(SLOT_BITS // 8)), F.lit(0).cast("bigint"))
         named = close.select("digest_a", "digest_b", slot("digest_a").alias("slot_a"), slot("digest_b").alias("slot_b"))
-        # Joined on the slot alone, by which the sets lie already; the digest then picks the class.
+        # Joined on the slot alone, by which the sets lie already; as a second key the digest would move them all, so equality is
+        # written as two comparisons.
         named = named.withColumnsRenamed({"digest_a": "da", "digest_b": "db"})
-        whole = named.join(side("a"), "slot_a").where("digest_a = da").join(side("b"), "slot_b").where("digest_b = db")
+        equal = lambda x, y: (F.col(x) >= F.col(y)) & (F.col(x) <= F.col(y))
+        whole = named.join(side("a"), "slot_a").where(equal("digest_a", "da")).join(side("b"), "slot_b").where(equal("digest_b", "db"))
         return whole.select("digest_a", "digest_b", "bits_a", "bits_b").mapInArrow(_verified(t), "digest_a binary, digest_b binary, similarity double")
 
     def pairs(self, per_copy: bool = True) -> DataFrame:
