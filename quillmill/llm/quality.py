@@ -28,16 +28,20 @@ _GLUE = "the of and to in is a for that with on be has have been was it not if a
 # Classes are spelt out: Java's Unicode flag would look every character up.
 _BLANK = r"\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _STOP = r"""[.!?。！？…]["”»)’]*"""
-_SENTENCES = rf"(?<=[^.…{_BLANK}]){_STOP}(?=[{_BLANK}]*(?:\n|$)|[{_BLANK}]+[\"“«(¿¡—]*\p{{Lu}})"
+# The stop comes first, so that nearly every character fails at once.
+_SENTENCES = rf"[.!?…。！？](?<=[\p{{L}}\p{{N}})%”»’\"].)[\"”»)’]*(?=[{_BLANK}]*(?:\n|$)|[{_BLANK}]+[\"“«(¿¡—]*\p{{Lu}})"
 
 _MARKER = rf"[{_BLANK}]*(?:[-*•▪◦‣·+|├└│]|[(]?[0-9]{{1,3}}[.)][{_BLANK}]|[(]?[A-Za-z][.)][{_BLANK}])"
 _CUT = rf"\n[{_BLANK}]*\n|\n(?={_MARKER})"
 _LESS = lambda *parts: " + ".join(f"(length(block) - length(replace(block, {p}, ''))) / length({p})" for p in parts)
 
-#: Of a segment `block` (`low` is ' ' || lower(block) || ' ' on one line).  Plain counts use byte search; the last two are worked out only where they can matter.
+#: White space beyond the line feed, for translate().
+_SPACES = "\n\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+#: Of a segment `block` (`flat` is the block with a single blank before each word, `low` is ' ' || lower(block) || ' ' on one line).  Plain counts use byte search; the last two are worked out only where they can matter.
 _COUNTS = {
-    "words": f"regexp_count(block, r'[^{_BLANK}]+')",
-    "sentences": f"regexp_count(block, r'{_SENTENCES}')",
+    "words": "length(flat) - length(replace(flat, ' ', ''))",
+    "sentences": f"length(_marked) - length(replace(_marked, '\\u0001', ''))".replace("_marked", f"regexp_replace(block, r'{_SENTENCES}', '\\u0001')"),
     "glue": r"regexp_count(low, r' (?:" + "|".join(_GLUE.split()) + r")(?= )')",
     "commas": _LESS("','", "';'"),
     "joints": _LESS("'|'", "' / '", "' · '", "' > '", "'\t'", "'    '"),
@@ -78,7 +82,9 @@ def segment_features(texts: DataFrame, text_col: str) -> DataFrame:
     opened = F.regexp_replace(F.col(text_col), r"^(Document: [^\n]*\n?)?(Section: [^\n]*\n?)?", "")
     cut = texts.select(*keep, F.posexplode(F.split(opened, _CUT)).alias("segment_no", "block")).select(*keep, "segment_no", F.regexp_replace("block", r"^\n+|\n+$", "").alias("block"))
     lines = F.expr("1 + length(block) - length(replace(block, '\n', ''))").alias("lines")
-    wide = cut.where("block <> ''").select(*keep, "segment_no", "block", F.expr("' ' || lower(translate(block, '\n', ' ')) || ' '").alias("low"), lines)
+    flat = F.rtrim(F.regexp_replace(F.concat(F.lit(" "), F.translate("block", _SPACES, " " * len(_SPACES))), " {2,}", " "))
+    wide = cut.where("block <> ''").select(*keep, "segment_no", "block", flat.alias("flat"), lines)
+    wide = wide.select("*", F.concat(F.lower("flat"), F.lit(" ")).alias("low"))
     counts = wide.select(*keep, "segment_no", "block", "lines", *(F.expr(e).alias(n) for n, e in _COUNTS.items())).where("words > 0")
     heading = F.expr(r"""lines = 1 and words <= 20 and (block rlike r'^\s*#{1,6}\s' or block rlike r'^\s*=+ .* =+\s*$' or (words <= 9 and marker = 0 and joints = 0 and pairs = 0 and code = 0
         and block rlike r'^(\p{Lu}|[\p{L}\p{N}_]+ the )' and block not rlike r'[.!?:;•·/=]\s*$|[:=]\s?[^ ]|[0-9]$|   '))""")
