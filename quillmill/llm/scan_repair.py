@@ -289,6 +289,8 @@ def word_counts(texts: DataFrame, text_col: str) -> np.ndarray:
 
 _TOKEN = re.compile(r"[^\s,.;:()\"“”„«»¿?/]+(?:[^\s]*[^\s,.;:()\"“”„«»?/])?")
 _CODE = re.compile(r"[A-Z]{1,4}-?\d[\dA-Z-]*|[\d.,%:/+-]+|\d+(?:st|nd|rd|th|x|h|s|m|kg|km|cm|mm|%|°)?|x\d+|[A-Za-z]?\d{1,2}")
+#: A word that may go on in the next line of text.
+_CUT = re.compile(rf"[^\W_][{_HYPHENS}][^\S\n]*\n\s*[^\s,.;:()\"“”„«»?!/]")
 _ODD = re.compile(r"[^\W\d_][0-9@+!|$]|[0-9@+!|$][^\W\d_]")
 
 
@@ -317,22 +319,35 @@ def _readings(word: str) -> list[str]:
     return sorted(out)
 
 
+def _cut_words(lines: list[str], labels: list[int]) -> dict[int, tuple[str, str]]:
+    """Line -> its last word and the word that goes on, where a line ends in a hyphen."""
+    out: dict[int, tuple[str, str]] = {}
+    for i, j in itertools.pairwise(i for i, x in enumerate(labels) if x == BODY):
+        line = lines[i].rstrip()
+        if len(line) > 1 and line[-1] in _HYPHENS and line[-2].isalnum():
+            last = re.search(r"[^\s\"“”„«»()¿?/]*$", line[:-1])[0]
+            first = re.match(r"\s*([^\s,.;:()\"“”„«»?!/]*)", lines[j])[1]
+            if last and first and not first[0].isupper():
+                out[i] = (last, first)
+    return out
+
+
+def _surely_cut(a: str, b: str, count) -> bool:
+    """Whether a word cut by a plain hyphen is one word: known when joined, not with the hyphen, and more than one of its parts is."""
+    a, b = a.lower(), b.lower()
+    whole = count(a + b)
+    return whole >= 2 and whole > 10 * count(f"{a}-{b}") and whole > min(count(a), count(b))
+
+
 class Scan:
     """Labels, cut words and misread words of one file."""
 
     def __init__(self, lines: list[str], labels: list[int]):
         self.lines, self.labels = lines, labels
         self.body = [i for i, x in enumerate(labels) if x == BODY]
-        self.cut: dict[int, tuple[str, str]] = {}  # line -> its last word and the word that goes on
+        self.cut = _cut_words(lines, labels)
         self.tokens: list[tuple[int, str]] = []
         follow = dict(itertools.pairwise(self.body))
-        for i in self.body:
-            line = lines[i].rstrip()
-            if len(line) > 1 and line[-1] in _HYPHENS and line[-2].isalnum() and i in follow:
-                last = re.search(r"[^\s\"“”„«»()¿?/]*$", line[:-1])[0]
-                first = re.match(r"\s*([^\s,.;:()\"“”„«»?!/]*)", lines[follow[i]])[1]
-                if last and first and not first[0].isupper():
-                    self.cut[i] = (last, first)
         heads = {follow[i] for i in self.cut}
         for i in self.body:
             found = _TOKEN.findall(lines[i])
@@ -402,7 +417,8 @@ def _quick(lines: list[str], text: str) -> bool:
 def examine(texts: list[str], model: LineModel, counts: WordCounts) -> list[tuple[Scan, dict, dict] | None]:
     """For each text that comes from a scanner: (scan, cut lines -> joined word, (line, token) -> right token)."""
     scans: list[Scan | None] = []
-    for text in texts:
+    asked: dict[int, tuple[list[str], list[int], list[tuple[str, str]]]] = {}  # texts whose cut words decide
+    for row, text in enumerate(texts):
         lines = text.split("\n") if text else []
         scans.append(None)
         if not text or not _quick(lines, text):
@@ -411,6 +427,15 @@ def examine(texts: list[str], model: LineModel, counts: WordCounts) -> list[tupl
         # A file is worth reading word by word only with some sign of a scanner.
         if FURNITURE in labels or "¬" in text or "\xad" in text or len(_INNER.findall(text)) > 1:
             scans[-1] = Scan(lines, labels)
+        elif _CUT.search(text) and (pairs := list(_cut_words(lines, labels).values())):
+            if len(pairs) > 1 and _ODD.search(text):
+                scans[-1] = Scan(lines, labels)
+            else:
+                asked[row] = (lines, labels, pairs)
+    first = counts.of(list({x for _, _, pairs in asked.values() for a, b in pairs for x in ((a + b).lower(), a.lower(), b.lower(), f"{a}-{b}".lower())}))
+    for row, (lines, labels, pairs) in asked.items():
+        if any(_surely_cut(a, b, lambda w: first.get(w, 0)) for a, b in pairs):
+            scans[row] = Scan(lines, labels)
     wanted: set[str] = set()
     for s in scans:
         if s:
@@ -457,7 +482,9 @@ def examine(texts: list[str], model: LineModel, counts: WordCounts) -> list[tupl
         furniture = sum(x == FURNITURE for x in s.labels)
         signs = sum(1 for _, t in wrong if any(c in _SIGNS for c in t) and _ODD.search(t))
         soft = sum(s.lines[i].rstrip()[-1] != "-" for i in cut)
-        if furniture >= 2 or furniture + signs + soft >= 2 and (signs or soft) or len(cut) + signs >= 3 and signs + furniture:
+        # So is a word that is surely cut, whatever else the file has.
+        sure = any(s.lines[i].rstrip()[-1] in "-‐" and _surely_cut(*s.cut[i], count) for i in cut)
+        if sure or furniture >= 2 or furniture + signs + soft >= 2 and (signs or soft) or len(cut) + signs >= 3 and signs + furniture:
             out.append((s, cut, wrong))
         else:
             out.append(None)

@@ -60,3 +60,12 @@ def test_found_and_restored(spark):
     assert len(text) == 1 and "Page" not in text[0].text and "Manual" not in text[0].text and "otherwise" in text[0].text and "br1dge" not in text[0].text and "\n" not in text[0].text
     empty = ScannedText(df.limit(0), "file_hash", "raw_text", line_model(20))
     assert empty.found().count() == 0 and empty.text().count() == 0
+
+
+def test_cut_words_are_a_trace_by_themselves(spark):
+    cut = "the pump under every old bridge must always be cle-\naned before winter because other-\nwise water enters the panels inside"
+    compound = "the pump under every old bridge has a water-\ntight panel and no water-tight door"
+    df = spark.createDataFrame([("cut", cut), ("compound", compound), *((f"x{i}", " ".join(WORDS) + ".") for i in range(30))], "file_hash string, raw_text string")
+    kit = ScannedText(df, "file_hash", "raw_text", line_model(20))
+    assert {tuple(r) for r in kit.found().collect()} == {("cut", 1, "hyphen"), ("cut", 2, "hyphen")}
+    assert [tuple(r) for r in kit.text().collect()] == [("cut", cut.replace("-\n", "").replace("\n", " "))]
