@@ -87,6 +87,11 @@ def _symbols_and_keys(lines: list[str]) -> tuple[list[tuple[int, ...] | None], d
         if len(x) < 90:
             form[i] = 1 if _EXPLICIT.fullmatch(x) else 2 if _BARE.fullmatch(x) else 3 if _TITLED.fullmatch(x) else 0
     keys: dict[int, str] = {i: ("##" if form[i] == 2 else _folded(bare[i])) for i in known if len(bare[i]) < 110}
+    # Bare numbers that are counted on from page to page are no copies of those in lists.
+    bare_at = [i for i, k in keys.items() if k == "##"]
+    counted = _page_apart(bare_at, [_page_number(bare[i], 2) for i in bare_at], False)
+    if sum(all(keys.get(j) != "##" for j in range(i - 3, i + 4) if j != i) for i in counted) > 2:
+        keys |= {i: "#" for i in bare_at if i not in counted}
     # Furniture is repeated or is a page number; a lone damaged copy joins the key that differs from it least.
     places: dict[str, list[int]] = defaultdict(list)
     for i, k in keys.items():
@@ -184,8 +189,9 @@ class LineModel:
     def labels(self, lines: list[str]) -> list[int]:
         """The state of each line, as far as it fits the way pages are made.
 
-        Copies of a running header or of a page number lie a page apart and about evenly; what stands closer together is a list or a
-        menu.  A line that has no copy counts only as an explicit page number or in a file that has other furniture.
+        Copies of a running header or of a page number lie a page apart; what stands closer together is a list or a menu.  Where they do
+        not lie evenly each copy is judged by itself (_page_apart).  A line that has no copy counts only as an explicit page number or in
+        a file that has other furniture.
         """
         symbols, keys = _symbols_and_keys(lines)
         out = self.label(symbols)
@@ -197,7 +203,7 @@ class LineModel:
                 out[i] = BODY
         text = [x.strip() for x in lines]
         width = median([len(x) for x in text if x] or [0])
-        numbers, titles, alone = set(), [], []
+        numbers, titles, alone, uneven = set(), [], [], []
         for at in places.values():
             gaps = [b - a for a, b in itertools.pairwise(at)]
             if not gaps:
@@ -210,6 +216,17 @@ class LineModel:
                     numbers.update(at)
                 else:
                     titles.append(at)
+            else:
+                form = symbols[at[0]][0] % 4
+                good = _page_apart(at, [_page_number(text[i], form) for i in at] if form else None, form == 1)
+                if form:
+                    numbers.update(good)
+                else:
+                    uneven.append((at, good))
+        # A copy beside a page number is a header, however near the next one is.
+        for at, good in uneven:
+            if good := [i for i in at if i in good or any(j in numbers for j in range(i - 3, i + 4))]:
+                titles.append(good)
         kept = set(numbers)
         if len(titles) <= 3:  # more than that is text that repeats itself
             for at in titles:
@@ -229,6 +246,40 @@ class LineModel:
         return out
 
 
+def _page_apart(at: list[int], values: list[int | None] | None, explicit: bool) -> set[int]:
+    """Those copies of one line, at uneven distances, that lie a page from the next ones; of bare numbers those that are counted on."""
+    gaps = [b - a for a, b in itertools.pairwise(at)]
+    if not (wide := [g for g in gaps if g >= 6]):
+        return set()
+    page = median(wide)
+    # A number is counted on if it fits one that is so many pages before or after it.
+    follow = [False] * len(at)
+    if values:
+        where: dict[int, list[int]] = defaultdict(list)
+        for n, v in enumerate(values):
+            for k in (1, 2, 3):
+                for m in reversed(where.get(v - k, ()) if v is not None else ()):
+                    if at[n] - at[m] > 1.5 * k * page:
+                        break
+                    # The last page may be short.
+                    if at[n] - at[m] >= 0.5 * k * page or n == len(at) - 1 and k == 1:
+                        follow[m] = follow[n] = True
+            if v is not None:
+                where[v].append(n)
+    out, n = set(), 0
+    while n < len(at):
+        end = n + 1
+        while end < len(at) and gaps[end - 1] < 6:
+            end += 1
+        group = range(n, end)  # copies closer than a page
+        if values and (not explicit or len(group) > 1):
+            out.update(at[m] for m in group if follow[m])
+        elif len(group) == 1:
+            out.add(at[n])
+        n = end
+    return out
+
+
 def line_model(pages: int = TRAINING_PAGES, seed: int = TRAINING_SEED) -> LineModel:
     return LineModel(labelled_pages(pages, seed))
 

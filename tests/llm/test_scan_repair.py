@@ -69,3 +69,33 @@ def test_cut_words_are_a_trace_by_themselves(spark):
     kit = ScannedText(df, "file_hash", "raw_text", line_model(20))
     assert {tuple(r) for r in kit.found().collect()} == {("cut", 1, "hyphen"), ("cut", 2, "hyphen")}
     assert [tuple(r) for r in kit.text().collect()] == [("cut", cut.replace("-\n", "").replace("\n", " "))]
+
+
+def found_and_made(model, sizes, head=None, foot=None, stray=None):
+    """Lines labelled furniture, and lines made as furniture, of pages of so many lines."""
+    r, lines, made = random.Random(1), [], []
+    for page, size in enumerate(sizes, 1):
+        if head:
+            made.append(len(lines))
+            lines.append(head(page))
+        lines += [(stray or {}).get((page, k)) or " ".join(r.choice(WORDS) for _ in range(9)) for k in range(size)]
+        if foot:
+            made.append(len(lines))
+            lines.append(foot(page))
+    return [i for i, x in enumerate(model.labels(lines)) if x == FURNITURE], made
+
+
+def test_copies_are_judged_one_by_one():
+    model, title = line_model(150), "Bridge Maintenance Manual"
+    for pages in (
+        dict(sizes=[30, 30, 30, 7, 30, 30], head=lambda p: title),
+        dict(sizes=[30, 30, 30, 2, 30, 30], head=lambda p: title, foot=lambda p: f"Page {p}"),
+        dict(sizes=[30] * 6, foot=str, stray={(3, 2): "212"}),
+        dict(sizes=[30] * 6, head=lambda p: title, foot=str, stray={(3, 8): "212"}),
+        dict(sizes=[30] * 6, foot=str, stray={(3, k): str(100 + k * 7) for k in range(5, 15)}),
+    ):
+        found, made = found_and_made(model, **pages)
+        assert found == made
+    # A variant in the middle leaves a gap of more than three pages between the others.
+    found, made = found_and_made(model, [26, 26, 8, 26, 26, 26, 26, 26], lambda p: title + " draft" * (p in (4, 5, 6, 7)), lambda p: f"— {p} —")
+    assert found == made
