@@ -40,6 +40,7 @@ _EXPLICIT = re.compile(rf"{_EDGE}{_PAGE_WORDS}\.?\s*[\divxlc]+(?:\s*(?:/|of|von|
 _BARE = re.compile(rf"{_EDGE}(?:\d{{1,4}}|[ivxlc]{{1,7}}){_EDGE}", re.I)
 _NUMBER = re.compile(r"\d+")
 _TITLED = re.compile(r"(?:\d{1,4}\s{2,}\S.*\S|\S.*\S\s{2,}\d{1,4})")
+_INSIDE = re.compile(r"[^\W\d_]{4}[.!?;] +\w\w")
 _END = re.compile(r"[.!?:;…][\"”»)’]*$")
 
 
@@ -70,6 +71,36 @@ def _page_number(text: str, form: int) -> int | None:
     return _roman(bare) if re.fullmatch(r"[ivxlc]+", bare, re.I) else None
 
 
+def _joined(lone: list[str], frequent: list[str]) -> dict[str, str]:
+    """For lone keys, the first frequent key of the same first letter and nearly the same length that lacks few of their letters."""
+    by: dict[tuple[str, int], list[int]] = defaultdict(list)
+    for n, x in enumerate(frequent):
+        by[x[0], len(x)].append(n)
+    bags: dict[str, np.ndarray] = {}
+
+    def bag(key: str) -> np.ndarray:
+        # Letters share 64 places, so that a difference of bags never exceeds that of the letters.
+        if key not in bags:
+            bags[key] = np.bincount([ord(c) % 64 for c in key], minlength=64)
+        return bags[key]
+
+    tables: dict[tuple[str, int], tuple[list[int], np.ndarray]] = {}
+    out: dict[str, str] = {}
+    for k in lone:
+        near = (k[0], len(k))
+        if near not in tables:
+            at = sorted(n for m in range(len(k) - 2, len(k) + 3) for n in by.get((k[0], m), ()))
+            tables[near] = at, np.array([bag(frequent[n]) for n in at])
+        at, table = tables[near]
+        if at:
+            most, own = max(2, len(k) // 8), Counter(k)
+            for n in np.flatnonzero(np.maximum(bag(k) - table, 0).sum(axis=1) <= most).tolist():
+                if sum((own - Counter(frequent[at[n]])).values()) <= most:
+                    out[k] = frequent[at[n]]
+                    break
+    return out
+
+
 def line_symbols(lines: list[str]) -> list[tuple[int, ...] | None]:
     """Layout features of each line, each from a few values; None for a blank line."""
     return _symbols_and_keys(lines)[0]
@@ -97,14 +128,11 @@ def _symbols_and_keys(lines: list[str]) -> tuple[list[tuple[int, ...] | None], d
     for i, k in keys.items():
         places[k].append(i)
     frequent = [k for k, v in places.items() if len(v) >= 2 and 5 < len(k) < 100]
-    if frequent and len(frequent) < 60:
-        for k in [k for k, v in places.items() if len(v) == 1 and 5 < len(k) < 100]:
-            for other in frequent:
-                if abs(len(k) - len(other)) <= 2 and sum((Counter(k) - Counter(other)).values()) <= max(2, len(k) // 8) and k[:1] == other[:1]:
-                    i = places.pop(k)[0]
-                    places[other].append(i)
-                    keys[i] = other
-                    break
+    if frequent:
+        for k, other in _joined([k for k, v in places.items() if len(v) == 1 and 5 < len(k) < 100], frequent).items():
+            i = places.pop(k)[0]
+            places[other].append(i)
+            keys[i] = other
     widths = [len(bare[i]) for i in known]
     width = median(widths)
     loose = {i for i in known if form[i] or len(places[keys[i]] if i in keys else ()) >= 2}
@@ -228,13 +256,13 @@ class LineModel:
             if good := [i for i in at if i in good or any(j in numbers for j in range(i - 3, i + 4))]:
                 titles.append(good)
         kept = set(numbers)
-        if len(titles) <= 3:  # more than that is text that repeats itself
-            for at in titles:
-                # A header breaks into a sentence, or stands by a page number.
-                before = [next((text[j] for j in range(i - 1, max(-1, i - 5), -1) if text[j] and j not in numbers), "") for i in at]
-                cut = sum(bool(b) and not _END.search(b) and len(b) > max(25, 0.55 * width) for b in before)
-                if cut >= 0.3 * len(at) or any(abs(i - j) <= 3 for i in at for j in numbers):
-                    kept.update(at)
+        for at in titles:
+            # A header breaks into a sentence, or stands by a page number.
+            before = [next((text[j] for j in range(i - 1, max(-1, i - 5), -1) if text[j] and j not in numbers), "") for i in at]
+            after = [next((text[j] for j in range(i + 1, min(len(text), i + 5)) if text[j] and j not in numbers), "") for i in at]
+            cut = sum(bool(b) and not _END.search(b) and len(b) > max(25, 0.55 * width) and (a[:1].islower() or len(a) > max(25, 0.55 * width)) for b, a in zip(before, after))
+            if cut >= 0.3 * len(at) and not _is_passage(text, at, width) or any(j in numbers for i in at for j in range(i - 3, i + 4)):
+                kept.update(at)
         # Once a file has pages, a lone line (a damaged copy, say) fits beside other furniture or a page's length from it.
         paged = set(kept)
         for i in alone:
@@ -246,6 +274,25 @@ class LineModel:
         return out
 
 
+def _is_passage(text: list[str], at: list[int], width: float) -> bool:
+    """Whether repeated lines hold the end of a sentence or, as wide as the text, go on in one or are repeated with the lines around them."""
+    if 2 * sum(bool(_INSIDE.search(text[i])) for i in at) > len(at):
+        return True
+    wide = [i for i in at if len(text[i]) >= 0.7 * width]
+    if 2 * len(wide) <= len(at):
+        return False
+    if 2 * sum(text[i][0].islower() for i in wide) > len(wide):
+        return True
+
+    def same(i: int, j: int, step: int) -> int:
+        n = 0
+        while n < 3 and 0 <= (a := i + step * (n + 1)) < len(text) and 0 <= (b := j + step * (n + 1)) < len(text) and text[a] and _folded(text[a]) == _folded(text[b]):
+            n += 1
+        return n
+
+    return 2 * sum(same(i, j, -1) + same(i, j, 1) >= 3 for i, j in itertools.pairwise(at)) >= len(at) - 1
+
+
 def _page_apart(at: list[int], values: list[int | None] | None, explicit: bool) -> set[int]:
     """Those copies of one line, at uneven distances, that lie a page from the next ones; of bare numbers those that are counted on."""
     gaps = [b - a for a, b in itertools.pairwise(at)]

@@ -1,6 +1,6 @@
 import random
 
-from quillmill.llm.scan_repair import ScannedText, line_model
+from quillmill.llm.scan_repair import ScannedText, _symbols_and_keys, line_model
 from quillmill.llm.scan_samples import FURNITURE, labelled_pages
 
 WORDS = "the pump under every old bridge must always be cleaned before winter because otherwise water enters through small openings and damages several wooden panels inside".split()
@@ -99,3 +99,19 @@ def test_copies_are_judged_one_by_one():
     # A variant in the middle leaves a gap of more than three pages between the others.
     found, made = found_and_made(model, [26, 26, 8, 26, 26, 26, 26, 26], lambda p: title + " draft" * (p in (4, 5, 6, 7)), lambda p: f"— {p} —")
     assert found == made
+
+
+def test_no_limit_to_titles_and_repeated_lines():
+    model = line_model(150)
+    titles = ["Bridge Maintenance Manual", "Harbour Inspection Guide", "Winter Storage Handbook", "Pump Replacement Notes", "Valve Calibration Primer"]
+    found, made = found_and_made(model, [30] * 25, lambda p: titles[(p - 1) // 5])
+    assert found == made
+    # A passage delivered twice is no header, whatever its lines.
+    r = random.Random(4)
+    lines = [" ".join(r.choice(WORDS) for _ in range(9)) for _ in range(30)]
+    assert FURNITURE not in model.labels([*lines, *lines[5:25], *lines[8:20]])
+    # A damaged lone copy joins its header among any number of repeated lines.
+    rows = [f"{a}{b} {WORDS[a]} {WORDS[b]} of the list" for a in range(10) for b in range(10)]
+    lines = [titles[0], *rows, titles[0], *rows, "Bridqe Maintenance Manual"]
+    keys = _symbols_and_keys(lines)[1]
+    assert keys[len(lines) - 1] == keys[0]
