@@ -370,6 +370,12 @@ def payload_texts(spark, sf_dir):
     return m.select("id", F.explode(payload.payload_texts(wrapped)).alias("text"))
 
 
+@_query()
+def payload_texts_all(spark, sf_dir):
+    """The texts of every message, of any role, its content taken as it is: SQL cannot state the decoding."""
+    return _t(spark, sf_dir, "messages").select("id", F.posexplode(payload.payload_texts(F.col("content"))).alias("pos", "text"))
+
+
 @_query()
 def html_text(spark, sf_dir):
     return _t(spark, sf_dir, "raw_documents").where("lower(doc_type) = 'html'").select("file_path", "file_hash", files.html_text(F.col("raw_text")).alias("text"))
