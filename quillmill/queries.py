@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions import chunking, cleaning, payload
-from quillmill.functions.embedding import plan_batches
+from quillmill.functions.embedding import embed_texts, plan_batches
 from quillmill.functions.vectors import l2_normalize
 from quillmill.operators import retrieval, sessions, state
+from quillmill.plans.lineage import cut
 from quillmill.sources import files
 from quillmill.streaming.windows import windowed_counts
 
@@ -94,8 +95,13 @@ scored as (select d.*, round(coalesce(s, 0.0), 6) as sparse_score,
   from dense d left join sparse using (query_id, collection, chunk_id))"""
 
 
-def _hybrid_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _hybrid_inputs(spark: SparkSession, sf_dir: str, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Documents that have a vector or, with `every`, all: those without one get the stand-in's."""
     d, e = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "embeddings")
+    if every:
+        e = e.where("size(embedding) > 0").select("vec_id", "embedding")
+        missing = d.join(e, d.doc_id == e.vec_id, "left_anti").select(F.col("doc_id").alias("vec_id"), "text")
+        e = cut(e.unionByName(embed_texts(missing, "text", batch_size=64).select("vec_id", "embedding")))
     both = d.join(e, d.doc_id == e.vec_id)
     corpus = both.where("collection is not null").select(F.col("doc_id").cast("string").alias("chunk_id"), "collection", "text", F.col("source").alias("section_path"), F.expr("source || '/' || doc_id || '.' || doc_type").alias("filename"), "embedding")
     asked = both.where("doc_id % 50 = 0 and trim(text) <> ''").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"), F.col("embedding").alias("query_vector"))
@@ -110,7 +116,22 @@ def hybrid_retrieve(spark, sf_dir):
 
 @_query(f"with {_HYBRID} select query_id, collection, chunk_id, sparse_score from scored")
 def bm25_scores(spark, sf_dir):
-    corpus, asked = _hybrid_inputs(spark, sf_dir)
+    return _bm25_scores(*_hybrid_inputs(spark, sf_dir))
+
+
+@_query()
+def hybrid_retrieve_all(spark, sf_dir):
+    """hybrid_retrieve over every document, whether or not it has a vector."""
+    return retrieval.hybrid_retrieve(*_hybrid_inputs(spark, sf_dir, every=True))
+
+
+@_query()
+def bm25_scores_all(spark, sf_dir):
+    """bm25_scores over every document, whether or not it has a vector."""
+    return _bm25_scores(*_hybrid_inputs(spark, sf_dir, every=True))
+
+
+def _bm25_scores(corpus: DataFrame, asked: DataFrame) -> DataFrame:
     dense = retrieval.dense_topk(corpus, asked, 30, id_col="chunk_id", vector_col="embedding", collection="collection")
     rows = dense.join(corpus.select("chunk_id", "collection", "text"), ["chunk_id", "collection"])
     return retrieval.bm25(rows, asked, keys=["query_id", "collection"], doc_id="chunk_id", text_col="text").select("query_id", "collection", "chunk_id", F.round("sparse_score", 6).alias("sparse_score"))
