@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import html
+import itertools
 import re
 import unicodedata
 from functools import lru_cache
@@ -207,9 +208,14 @@ def _next_steps(path: tuple[int, ...]) -> list[int]:
     return [s for s in range(len(STEPS)) if _charge(s) != STEP_SINGLE and not (single and STEPS[s][1] == "utf-8")]
 
 
+def _strangest(word: str) -> tuple[float, float, str]:
+    total, worst = word_cost(word)[:2]
+    return -worst, -total, word
+
+
 def search(words: list[str]) -> tuple[list[int], float]:
     """The steps that lead to the cheapest reachable reading, and how much they lower the cost."""
-    start = tuple(sorted(words, key=lambda w: (-word_cost(w)[1], -word_cost(w)[0], w))[:PROBE])
+    start = tuple(sorted(words, key=_strangest)[:PROBE])
     origin = _cost(start)
     heap = [(origin, 0, start, ())]
     seen, tick, idle = {hash(start)}, 0, 0
@@ -240,7 +246,8 @@ def search(words: list[str]) -> tuple[list[int], float]:
 def repair(text: str | None) -> tuple[str, list[str], bool] | None:
     """(restored text, steps, whole) of a wrongly decoded text, or None for any other.
 
-    whole is false where characters were lost (replacement or control characters stay, or a word did not turn).
+    whole is false where characters were lost (replacement or control characters stay, or a word did not turn) or where words
+    have a cheaper reading that was not taken.
     """
     if not text or (text.isascii() and "&" not in text and "\\u" not in text):
         return None
@@ -249,15 +256,11 @@ def repair(text: str | None) -> tuple[str, list[str], bool] | None:
         return None
     turned = {w: w for w in words}
     steps: list[str] = []
-    for again in range(3):  # parts of a text may have gone wrong in different ways
-        strange = [w for w in turned.values() if word_cost(w)[1] >= STRANGE]
-        if not strange:
-            break
-        path, gain = search(list(dict.fromkeys(strange + list(turned.values()))))
-        if not path or gain < LEAST_GAIN * (1 + again):
+    refused = False
+    for again in itertools.count():  # parts of a text may have gone wrong in different ways
+        path, refused = _gaining(turned, again)
+        if not path:
             break
-        if again and any(_charge(s) == STEP_SINGLE for s in path):
-            break  # what is left of lost characters can be read in many ways
         for w, now in turned.items():
             for step in path:
                 now = _better(now, step)
@@ -267,7 +270,20 @@ def repair(text: str | None) -> tuple[str, list[str], bool] | None:
     if not steps and not lost:
         return None
     fixed = _WORD.sub(lambda m: turned.get(m[0], m[0]), text) if steps else text
-    return fixed, steps, not lost
+    return fixed, steps, not lost and not refused
+
+
+def _gaining(turned: dict[str, str], again: int) -> tuple[list[int], bool]:
+    """Steps that make a text cheaper, sought among its strangest words and then the next ones until none is left; whether any were refused."""
+    words = sorted(set(turned.values()), key=_strangest)
+    strange, refused = sum(word_cost(w)[1] >= STRANGE for w in words), False
+    for at in range(0, strange, PROBE):
+        path, gain = search(words[at:])
+        if path and gain >= LEAST_GAIN * (1 + again):
+            if not again or all(_charge(s) != STEP_SINGLE for s in path):
+                return path, False
+            refused = True  # what is left of lost characters can be read in many ways
+    return [], refused
 
 
 def _lost(word: str) -> bool:

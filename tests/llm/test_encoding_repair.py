@@ -54,3 +54,17 @@ def test_frame(spark):
     got = wrongly_decoded(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as steps", "2 as restored")).collect()
     assert sorted(r.doc_id for r in got) == [1, 5] and all(r.whole for r in got)
     assert wrongly_decoded(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_garbled_words_behind_stranger_ones():
+    odd = " ".join(f"б{chr(97 + i % 26)}ж{chr(97 + i // 26)}ǂбaжbж" for i in range(45))
+    good = "größer schließt Prüfung über Tür"
+    got = repair(f"{odd} {good.encode().decode('cp1252')}")
+    assert got == (f"{odd} {good}", ["cp1252>utf-8"], True)
+
+
+def test_a_stretch_left_garbled_is_not_whole():
+    good = "Die Prüfung schließt über der Tür"
+    text = good.encode().decode("cp1252") + " GemÃ¤Ã GrÃ¶Ãe schlieÃt"
+    fixed, _, whole = repair(text)
+    assert fixed.startswith(good) and "GrÃ¶Ãe" in fixed and not whole
