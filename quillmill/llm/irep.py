@@ -34,30 +34,30 @@ def _cuts(values: np.ndarray, most: int) -> np.ndarray:
     return middle if len(middle) <= most else middle[np.linspace(0, len(middle) - 1, most).astype(int)]
 
 
-def _grow(table: dict[str, np.ndarray], label: np.ndarray, weight: np.ndarray, cuts: dict[str, np.ndarray], longest: int) -> list[Condition]:
+def _grow(places: dict[str, np.ndarray], label: np.ndarray, weight: np.ndarray, cuts: dict[str, np.ndarray], longest: int) -> list[Condition]:
+    """A rule grown by information gain; `places` holds, by feature, the number of the first cut that is not less than the value."""
     inside = np.ones(len(label), dtype=bool)
     rule: list[Condition] = []
     while len(rule) < longest:
-        p0, n0 = weight[inside & label].sum(), weight[inside & ~label].sum()
+        own, mine = label[inside], weight[inside]
+        p0, n0 = mine[own].sum(), mine[~own].sum()
         if n0 <= 0 or p0 <= 0:
             break
-        base, best, chosen = np.log2(p0 / (p0 + n0)), 1e-9, None
+        base, best, chosen, at = np.log2(p0 / (p0 + n0)), 1e-9, None, 0
         for name, points in cuts.items():
-            values = table[name][inside]
-            own_p, own_n = weight[inside] * label[inside], weight[inside] * ~label[inside]
-            order = np.argsort(values, kind="stable")
-            cp, cn = np.cumsum(own_p[order]), np.cumsum(own_n[order])
-            at = np.searchsorted(values[order], points, side="right") - 1
-            low_p, low_n = np.where(at >= 0, cp[np.maximum(at, 0)], 0), np.where(at >= 0, cn[np.maximum(at, 0)], 0)
+            if not len(points):
+                continue
+            place = places[name][inside]
+            low_p, low_n = (np.cumsum(np.bincount(place, w, len(points) + 1))[:-1] for w in (mine * own, mine * ~own))
             for sign, p, n in (("<=", low_p, low_n), (">=", p0 - low_p, n0 - low_n)):
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    gain = np.where(p > 0, p * (np.log2(p / (p + n)) - base), 0)
-                if len(gain) and (k := int(np.argmax(gain))) >= 0 and gain[k] > best:
-                    best, chosen = gain[k], (name, sign, float(points[k]))
+                    gain = np.where(p > 1e-9, p * (np.log2(p / (p + n)) - base), 0)
+                if gain[k := int(np.argmax(gain))] > best:
+                    best, chosen, at = gain[k], (name, sign, float(points[k])), k
         if chosen is None:
             break
         rule.append(chosen)
-        inside &= table[chosen[0]] <= chosen[2] if chosen[1] == "<=" else table[chosen[0]] >= chosen[2]
+        inside &= places[chosen[0]] <= at if chosen[1] == "<=" else places[chosen[0]] > at
     return rule
 
 
@@ -81,13 +81,14 @@ def induce(table: dict[str, np.ndarray], label: np.ndarray, weight: np.ndarray |
     label = np.asarray(label, dtype=bool)
     weight = np.ones(len(label)) if weight is None else np.asarray(weight, dtype=float)
     table = {k: np.asarray(v, dtype=float) for k, v in table.items()}
-    cuts = {k: np.round(_cuts(v, points), 6) for k, v in table.items()}
+    cuts = {k: np.unique(np.round(_cuts(v, points), 6)) for k, v in table.items()}
+    places = {k: np.searchsorted(cuts[k], v) for k, v in table.items()}
     rng, left, rules, failed = np.random.default_rng(seed), np.arange(len(label)), [], 0
     while len(rules) < most_rules and failed < 5 and label[left].any():
         mixed = rng.permutation(left)
         grow, prune = mixed[: -(-2 * len(mixed) // 3)], mixed[-(-2 * len(mixed) // 3) :]
         part = lambda rows: ({k: v[rows] for k, v in table.items()}, label[rows], weight[rows])
-        found = _grow(*part(grow), cuts, longest)
+        found = _grow({k: v[grow] for k, v in places.items()}, label[grow], weight[grow], cuts, longest)
         if not found:
             failed += 1
             continue

@@ -1,169 +1,121 @@
 """Text quality statistics, and telling natural prose from lists, tables, listings and junk.
 
-Texts are cut into segments: at blank lines and before lines that open like a list item or a table row.  Statistics of
-segments are SQL expressions.  A rule list for segments that are no prose is induced by incremental reduced-error pruning on a
-bounded set of labelled texts and turned into a CASE expression; Spark evaluates it without Python.  A record is no prose if more than half of its
-words (headings left out) stand in such segments.
+Every line gets features of its own and of its block, worked out for a whole Arrow batch at once (line_features.py).  Two rule lists, one for
+headings and one for lines that are no prose, are induced by incremental reduced-error pruning on a bounded set of labelled texts
+and turned into CASE expressions, which Spark evaluates without Python.  A record is no prose if more than half of its words
+(headings left out) stand in lines that are no prose.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.functions.termhash import small_batches
 from quillmill.llm.irep import Rule, induce, to_case
+from quillmill.llm.line_features import line_table, statistics, word_hashes
 from quillmill.llm.quality_samples import labelled_texts
 
 #: Labelled texts that the rules are induced from, and their seed.
 TRAINING_TEXTS, TRAINING_SEED = 2500, 11
 
-_WORD = r"(?U)[^\s\x1c-\x1f]+"
-# Short words that sentences of several languages are held together by.
-_GLUE = "the of and to in is a for that with on be has have been was it not if are we by an as at der die das und den ist von mit seit für nach le la les de des et en est pas que el los y con por no se una o os as um não em já do da i w z na od się и в на не с по из за а"
-
-# Classes are spelt out: Java's Unicode flag would look every character up.
-_BLANK = r"\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_STOP = r"""[.!?。！？…]["”»)’]*"""
-# The stop comes first, so that nearly every character fails at once.
-_SENTENCES = rf"[.!?…。！？](?<=[\p{{L}}\p{{N}})%”»’\"].)[\"”»)’]*(?=[{_BLANK}]*(?:\n|$)|[{_BLANK}]+[\"“«(¿¡—]*\p{{Lu}})"
-
-_MARKER = rf"[{_BLANK}]*(?:[-*•▪◦‣·+|├└│]|[(]?[0-9]{{1,3}}[.)][{_BLANK}]|[(]?[A-Za-z][.)][{_BLANK}])"
-_CUT = rf"\n[{_BLANK}]*\n|\n(?={_MARKER})"
-_LESS = lambda *parts: " + ".join(f"(length(block) - length(replace(block, {p}, ''))) / length({p})" for p in parts)
-
-#: White space beyond the line feed, for translate().
-_SPACES = "\n\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-
-#: Of a segment `block` (`flat` is the block with a single blank before each word, `low` is ' ' || lower(block) || ' ' on one line).  Plain counts use byte search; the last two are worked out only where they can matter.
-_COUNTS = {
-    "words": "length(flat) - length(replace(flat, ' ', ''))",
-    "sentences": f"length(_marked) - length(replace(_marked, '\\u0001', ''))".replace("_marked", f"regexp_replace(block, r'{_SENTENCES}', '\\u0001')"),
-    "glue": r"regexp_count(low, r' (?:" + "|".join(_GLUE.split()) + r")(?= )')",
-    "commas": _LESS("','", "';'"),
-    "joints": _LESS("'|'", "' / '", "' · '", "' > '", "'\t'", "'    '"),
-    "code": _LESS("'='", "'{'", "'}'", "'['", "'<'", "'_'"),
-    "pairs": _LESS("': '"),
-    "marker": f"cast(block rlike r'^{_MARKER}' as int)",
-    "digits": r"length(block) - length(regexp_replace(block, r'[0-9]+', ''))",
-    "letters": r"length(block) - length(regexp_replace(block, r'\p{L}+', ''))",
-}
-_RARE = r"regexp_count(block, r'[jqvxz][bcdfghjkmnpqrtvwxz]|[bcdfghjkpqtvwz]x|[bfghjklmpqvwx]z|[bcfghjkpqvwxz]j|[bcdfghkmpwy]q|[bcdfghjklmnpqrstvwxz]{5}')"
-_ROOM = r"aggregate(zip_with(slice(split(block, '\n'), 1, lines - 1), slice(split(block, '\n'), 2, lines), (x, y) -> if(length(x) + 1 + length(split_part(y, ' ', 1)) < array_max(transform(split(block, '\n'), z -> length(z))), 1, 0)), 0, (s, x) -> s + x)"
-
-_FEATURES = {
-    "marker": "marker",
-    "words": "least(words, 60)",
-    "line_words": "words / lines",
-    "density": "sentences / greatest(words, 1)",
-    "glue": "glue / greatest(words, 1)",
-    "commas": "commas / greatest(words, 1)",
-    "joints": "joints / greatest(words, 1)",
-    "code": "code / greatest(words, 1)",
-    "pairs": "pairs / greatest(words, 1)",
-    "digits": "digits / greatest(length(block), 1)",
-    "letters": "letters / greatest(length(block), 1)",
-    "odd": f"case when glue * 25 <= words then {_RARE} / greatest(words, 1) else 0 end",
-    "room": f"case when lines > 1 and sentences * 10 < words then {_ROOM} / (lines - 1) else 0 end",
-}
-FEATURES = tuple(_FEATURES)
-
-
-def segment_features(texts: DataFrame, text_col: str) -> DataFrame:
-    """One row per segment that counts: the other columns of `texts`, segment_no (from 0) and the features.
-
-    Blank segments, opening `Document:` and `Section:` lines and headings do not count.  Each text is worked on within its row and
-    nothing is shuffled.
+#: Features that headings are told by; all f_* features tell prose.
+_HEADING = ("f_alone", "f_frame", "f_upper", "f_closed", "f_words", "f_sentences", "f_commas", "f_joints", "f_code", "f_pairs", "f_digits", "f_bmarker")
+_FRAMES = ("f_alone", "f_frame")
+_NAMES = tuple(k for k in line_table([], np.zeros(0, dtype=np.uint64)) if k.startswith("f_"))
+
+
+def _body(text: str) -> str:
+    """The text without its opening `Document:` and `Section:` lines."""
+    for opening in ("Document: ", "Section: "):
+        if text.startswith(opening):
+            text = text.partition("\n")[2]
+    return text
+
+
+def line_features(texts: DataFrame, text_col: str, common: list[str]) -> DataFrame:
+    """One row per line that is not blank: the other columns of `texts`, word_count and the features f_*.
+
+    Opening `Document:` and `Section:` lines do not count; null texts have no lines.  Each text is worked on within its row and nothing is shuffled.
+    Columns of `texts` must not be named word_count or f_*.
     """
     keep = [c for c in texts.columns if c != text_col]
-    opened = F.regexp_replace(F.col(text_col), r"^(Document: [^\n]*\n?)?(Section: [^\n]*\n?)?", "")
-    cut = texts.select(*keep, F.posexplode(F.split(opened, _CUT)).alias("segment_no", "block")).select(*keep, "segment_no", F.regexp_replace("block", r"^\n+|\n+$", "").alias("block"))
-    lines = F.expr("1 + length(block) - length(replace(block, '\n', ''))").alias("lines")
-    flat = F.rtrim(F.regexp_replace(F.concat(F.lit(" "), F.translate("block", _SPACES, " " * len(_SPACES))), " {2,}", " "))
-    wide = cut.where("block <> ''").select(*keep, "segment_no", "block", flat.alias("flat"), lines)
-    wide = wide.select("*", F.concat(F.lower("flat"), F.lit(" ")).alias("low"))
-    counts = wide.select(*keep, "segment_no", "block", "lines", *(F.expr(e).alias(n) for n, e in _COUNTS.items())).where("words > 0")
-    heading = F.expr(r"""lines = 1 and words <= 20 and (block rlike r'^\s*#{1,6}\s' or block rlike r'^\s*=+ .* =+\s*$' or (words <= 9 and marker = 0 and joints = 0 and pairs = 0 and code = 0
-        and block rlike r'^(\p{Lu}|[\p{L}\p{N}_]+ the )' and block not rlike r'[.!?:;•·/=]\s*$|[:=]\s?[^ ]|[0-9]$|   '))""")
-    return counts.where(~heading).select(*keep, "segment_no", F.col("words").cast("bigint").alias("word_count"), *(F.expr(e).cast("double").alias(f"f_{n}") for n, e in _FEATURES.items()))
-
-
-def segments_of(lines: list[str]) -> list[int]:
-    """The segment number of each line of a text, counted as segment_features does; -1 for blank lines."""
-    out, number, fresh = [], -1, True
-    for line in lines:
-        if not line.strip():
-            out.append(-1)
-            fresh = True
-            continue
-        if fresh or re.match(_MARKER, line):
-            number += 1
-        fresh = False
-        out.append(number)
-    return out
+    hashes = word_hashes(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, len(keep), 1 << 20):
+            table = line_table([_body(t) if t else "" for t in batch.column(len(keep)).to_pylist()], hashes)
+            row = pa.array(table["text"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(row) for k in range(len(keep))), pa.array(table["words"]), *(pa.array(table[n]) for n in _NAMES)], [*keep, "word_count", *_NAMES])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.select(*keep).schema.fields), "word_count bigint", *(f"{n} double" for n in _NAMES)])
+    return texts.select(*keep, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
 
 
 @lru_cache(maxsize=4)
-def _rules(texts: int, seed: int) -> tuple[Rule, ...]:
-    spark = SparkSession.getActiveSession()
+def _rules(common: tuple[str, ...], texts: int, seed: int) -> tuple[tuple[Rule, ...], tuple[Rule, ...]]:
     samples = labelled_texts(texts, seed)
-    df = spark.createDataFrame([(i, t) for i, t, _ in samples], "rid int, text string")
-    rows = segment_features(df, "text").toPandas()  # bounded by `texts`
-    labels = {}
-    for i, text, ys in samples:
-        for number, y in zip(segments_of(text.split("\n")), ys):
-            labels.setdefault((i, number), y)
-    y = np.array([labels[k] == 1 for k in zip(rows["rid"].tolist(), rows["segment_no"].tolist())])
-    table = {f"f_{n}": rows[f"f_{n}"].to_numpy() for n in FEATURES}
-    order = np.lexsort((rows["segment_no"], rows["rid"]))
-    return tuple(induce({k: v[order] for k, v in table.items()}, y[order], np.sqrt(rows["word_count"].to_numpy(dtype=float)[order]), seed=seed))
+    table = line_table([t for _, t, _ in samples], word_hashes(list(common)))
+    first = np.concatenate([[0], np.cumsum([len(ys) for _, _, ys in samples])])
+    y = np.array([y for _, _, ys in samples for y in ys])[first[table["text"]] + table["line"]]
+    weight = np.sqrt(table["words"].astype(float))
+    heads = induce({n: table[n] for n in _HEADING}, y == 2, weight, seed=seed, longest=8)
+    rest = y != 2
+    other = induce({n: table[n][rest] for n in _NAMES if n not in _FRAMES}, y[rest] == 1, weight[rest], seed=seed)
+    return tuple(heads), tuple(other)
 
 
-def prose_rules(texts: int = TRAINING_TEXTS, seed: int = TRAINING_SEED) -> list[Rule]:
-    """The rules for segments that are no prose, induced once in a process."""
-    return list(_rules(texts, seed))
+def prose_rules(common: list[str], texts: int = TRAINING_TEXTS, seed: int = TRAINING_SEED) -> tuple[tuple[Rule, ...], tuple[Rule, ...]]:
+    """The rules for headings and for lines that are no prose, induced once in a process for each list of common words."""
+    return _rules(tuple(sorted(set(common))), texts, seed)
 
 
-def segment_labels(texts: DataFrame, text_col: str, rules: list[Rule] | None = None) -> DataFrame:
-    """segment_features with a column `other`, true for segments that are no prose."""
-    rules = prose_rules() if rules is None else rules
-    return segment_features(texts, text_col).withColumn("other", F.expr(to_case(rules)))
+def line_labels(texts: DataFrame, text_col: str, common: list[str], rules: tuple[tuple[Rule, ...], tuple[Rule, ...]] | None = None) -> DataFrame:
+    """line_features with columns `heading` and `other`, true for headings and for lines that are no prose."""
+    heads, other = prose_rules(common) if rules is None else rules
+    return line_features(texts, text_col, common).withColumns({"heading": F.expr(to_case(list(heads))), "other": F.expr(to_case(list(other)))})
 
 
-def prose_shares(records: DataFrame, keys: list[str], text_col: str, rules: list[Rule] | None = None) -> DataFrame:
+def prose_shares(records: DataFrame, keys: list[str], text_col: str, common: list[str], rules: tuple[tuple[Rule, ...], tuple[Rule, ...]] | None = None) -> DataFrame:
     """(keys, counted_words, other_words, is_prose) for every record with at least one word that counts.
 
     Rows repeated under one key are taken together, which leaves the shares of equal rows as they are.  Null and blank texts
-    and texts of headings only are in no row.
+    and texts of headings only are in no row.  `common` are frequent function words in lower case; other columns are not read.
     """
-    rows = records.select(*keys, F.col(text_col).alias("_text")).where("_text is not null")
-    told = segment_labels(rows, "_text", rules)
-    sums = told.groupBy(*keys).agg(F.sum("word_count").alias("counted_words"), F.sum(F.when(F.col("other"), F.col("word_count")).otherwise(0)).alias("other_words"))
-    return sums.withColumn("is_prose", F.col("other_words") * 2 <= F.col("counted_words"))
+    named = [f"_k{i}" for i in range(len(keys))]
+    rows = records.select(*(F.col(k).alias(n) for k, n in zip(keys, named)), F.col(text_col).alias("_text")).where("_text is not null")
+    told = line_labels(rows, "_text", common, rules).where("not heading")
+    sums = told.groupBy(*named).agg(F.sum("word_count").alias("counted_words"), F.sum(F.when(F.col("other"), F.col("word_count")).otherwise(0)).alias("other_words"))
+    return sums.select(*(F.col(n).alias(k) for k, n in zip(keys, named)), "counted_words", "other_words", (F.col("other_words") * 2 <= F.col("counted_words")).alias("is_prose"))
+
+
+_COUNTS = ("words", "ink", "symbols", "lines", "ended", "common")
+
+
+def text_counts(text: Column, common: list[str]) -> Column:
+    """Struct of counts: words, ink, symbols, lines, ended, common; zeros for null and blank texts."""
+    hashes = word_hashes(common)
+
+    @F.arrow_udf("struct<" + ",".join(f"{n}:bigint" for n in _COUNTS) + ">")
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [statistics(["" if t is None else t for t in b.column(0).to_pylist()], hashes) for b in small_batches([pa.RecordBatch.from_arrays([texts], ["t"])], 0, 1 << 20)]
+        return pa.StructArray.from_arrays([pa.array(np.concatenate([p[n] for p in parts]) if parts else [], pa.int64()) for n in _COUNTS], list(_COUNTS))
+
+    return run(text)
 
 
-def text_statistics(text: Column, common: list[str]) -> dict[str, Column]:
-    """Word count, mean word length, symbol ratio, share of lines ending in punctuation and share of common words.
+def text_statistics(records: DataFrame, text_col: str, common: list[str]) -> DataFrame:
+    """The other columns of `records`, and word_count, mean_word_length, symbol_ratio, ended_lines, common_words.
 
     Shares of nothing (null, empty or blank texts) are null; their word count is 0.  Symbols are characters that are neither letter, digit nor white
     space; the ratio is to all characters that are not white space.  `common` is in lower case and compared with words without outer punctuation.
     """
-    space = r"(?U)[\s\x1c-\x1f]+"
-    t = F.coalesce(text, F.lit(""))
-    bare = F.regexp_replace(t, space, "")
-    words = F.regexp_count(t, F.lit(_WORD))
-    lines = F.filter(F.split(t, "\n"), lambda l: F.regexp_replace(l, space, "") != "")
-    ended = F.filter(lines, lambda l: l.rlike(r"""(?U)[.!?:;…]["'”’»)]*\s*$"""))
-    terms = F.filter(F.transform(F.regexp_extract_all(F.lower(t), F.lit(_WORD), F.lit(0)), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")), lambda w: w != "")
-    known = F.filter(terms, lambda w: F.array_contains(F.array(*(F.lit(w) for w in sorted(set(common)))), w)) if common else F.array()
-    share = lambda a, b: F.when(b > 0, F.round(a / b, 6))
-    return {
-        "word_count": words.cast("int"),
-        "mean_word_length": share(F.length(bare), words),
-        "symbol_ratio": share(F.length(F.regexp_replace(bare, r"[\p{L}\p{N}]", "")), F.length(bare)),
-        "ended_lines": share(F.size(ended), F.size(lines)),
-        "common_words": share(F.size(known), words),
-    }
+    keep = [c for c in records.columns if c != text_col]
+    counted = records.select(*keep, text_counts(F.col(text_col), common).alias("_n"))
+    share = lambda a, b: F.when(F.col(f"_n.{b}") > 0, F.round(F.col(f"_n.{a}") / F.col(f"_n.{b}"), 6))
+    return counted.select(*keep, F.col("_n.words").cast("int").alias("word_count"), share("ink", "words").alias("mean_word_length"), share("symbols", "ink").alias("symbol_ratio"), share("ended", "lines").alias("ended_lines"), share("common", "words").alias("common_words"))

@@ -13,12 +13,13 @@ _SYLLABLES = ("ba", "ren", "to", "mil", "ka", "sor", "den", "lu", "vi", "pa", "t
 # Patterns of sentences; N is a noun, A an adjective, V a verb, P a name, # a number.
 _SENTENCES = {
     "en": ("The N of the N is A and has been V-ed by P.", "We have V-ed # N-s in the N, but none of them was A.", "Do not V the N until it is A again.", "If a N looks A, V it and tell P about it.", "P V-s A N-s, whereas Q V-s N-s.", "V the A N-s, wait # days, V them again.", "Why V A N-s at all?", "Never V a A N; V the N instead.", "Several N-s stayed A, several N-s broke.", "Teams V # N-s usually.", "P N-s gently V A N-s.", "P crews V N-s weekly, then V N-s.", "Never V A N-s; V A N-s instead.", "P V-s A N-s monthly, whereas Q V-s A N-s.", "V A N-s, wait # metres, V N-s again.", "Several N-s stayed A, several N-s broke early."),
-    "de": ("Der N ist A, weil P die N-en noch nicht V-t.", "Nach der N V-t das N seit # Tagen die N, und niemand hat es gemerkt.", "Über den N V-t die N den N mit dem Formular.", "Wir haben die N-en nicht ge-V-t."),
+    "de": ("Der N ist A, weil P die N-en noch nicht V-t.", "Nach der N V-t das N seit # Tagen die N, und niemand hat es gemerkt.", "Über den N V-t die N den N mit dem Formular.", "Wir haben die N-en nicht ge-V-t.", "Mit größter Vorsicht V-t der N das N.", "Trotz der N V-t die N den N.", "Die N kürzt die N für P.", "Früher als geplant ändert der N den N.", "Der N übergibt die N gemäß der N an P."),
     "fr": ("Le N est A, parce que P n’a pas été V-é au même N.", "La N a déjà V-é les N-s depuis # jours.", "À la fin de l’été, l’N V-e le N avec soin.", "Nous avons V-é # N-s dans la N."),
     "es": ("El N V-ó la N hace # días, y la N está A.", "¿Por qué la N V-ó los N-s con P?", "La N todavía no está A durante la mañana.", "Hemos V-ado # N-s en el N."),
     "ru": ("Новый насос не нашёл письмо из центра уже # дней, а P об этом не знает.", "Склад закрыл счёт за воду во время проверки.", "На втором этаже сторож описал старый журнал."),
     "pl": ("Główny magazyn wysłał wyniki pomiarów od # dni, a zespół zamknął skrzynię.", "W ciągu dnia inżynier już wyłączył nową taśmę.", "Źródło otrzymało zużyty łańcuch obok wejścia."),
 }
+_TAILS = ("", "", "", " until further notice", " since the last N", " while the N is A", " before the next N", " during the N", " as soon as the N V-s", " unless P objects", " by the end of the N")
 _FRAGMENTS = ("the N in the N", "for the owner of the A N", "who may V the N and why", "what to do with a A N", "if a N is too A to V", "when the N is A", "about the A N-s of P", "to be V-ed by the P team before the N", "N-s that have been V-ed since the last N", "how to V and V the N")
 
 
@@ -99,12 +100,16 @@ class Maker:
     def other(self) -> list[str]:
         r, n = self.r, self.r.randint(2, 12)
         word = lambda: r.choice((*self.nouns, *self.adjectives, *self.names))
-        kind = r.randrange(15)
+        kind = r.randrange(19)
         if kind in (0, 1):
             mark = r.choice(("- ", "* ", "• ", "+ ", "#) ", "#. ", "@) "))
             return [mark.replace("#", str(i + 1)).replace("@", "abcdefghijkl"[i]) + self.item() for i in range(n)]
         if kind == 2:
             return [self.item() for _ in range(n)]
+        if kind >= 15:  # fragments or names of things only, in any case or all alike
+            made = [self.fill(r.choice(_FRAGMENTS) + r.choice(_TAILS) if kind < 17 else r.choice(("A N", "A N", "A N N", "A N x #", "A N, A", "A N for the N", "A N (#)"))) for _ in range(n)]
+            case = r.choice((0.0, 0.5, 0.5, 1.0))
+            return [x[:1].upper() + x[1:] if r.random() < case else x for x in made]
         if kind == 3:
             joint = r.choice((" / ", " | ", " · ", " > "))
             return [joint.join(self.item() for _ in range(r.randint(2, 4))) for _ in range(n)]
@@ -140,16 +145,24 @@ class Maker:
         lines = [" ".join(noise() for _ in range(r.randint(5, 12))).capitalize() + r.choice(".!?") for _ in range(n)]
         return [" ".join(lines)] if r.random() < 0.5 else lines
 
+    def heading(self) -> str:
+        r = self.r
+        words = self.fill(r.choice(("A N", "A N N", "N", "P N N", "P A N N", "V the A N", "A N > V the N", "N of the A N", "P at the N", "P – P N", "The A N")))
+        words = words.title() if r.random() < 0.6 else words[:1].upper() + words[1:]
+        return r.choice(("{}", "{}", "{}", "{}", "# {}", "## {}", "### {}", "== {} ==")).format(words)
+
     def text(self) -> tuple[str, list[int]]:
         lines: list[tuple[str, int]] = []
         for _ in range(self.r.randint(1, 4)):
             if lines:
                 lines.append(("", -1))
+            if self.r.random() < 0.35:
+                lines += [(self.heading(), 2), ("", -1)]
             lines += self.prose() if self.r.random() < 0.5 else [(x, 1) for x in self.other()]
         return "\n".join(x for x, _ in lines), [y for _, y in lines]
 
 
 def labelled_texts(count: int, seed: int = 11) -> list[tuple[int, str, list[int]]]:
-    """(id, text, label of each line: 0 prose, 1 other, -1 blank)."""
+    """(id, text, label of each line: 0 prose, 1 other, 2 heading, -1 blank)."""
     maker = Maker(seed)
     return [(i, *maker.text()) for i in range(count)]

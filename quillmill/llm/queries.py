@@ -42,15 +42,18 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunk_duplicates(spark, sf_dir).groups().withColumnRenamed("rec_id", "chunk_id")
 
 
+def _common(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The table of function words, which is fixed (a few hundred rows)."""
+    return [r[0] for r in _table(spark, sf_dir, "common_words").where("word is not null").select("word").distinct().collect()]
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prose_shares(_records(spark, sf_dir), ["tab", "rec_key"], "text").where("not is_prose").select("tab", "rec_key")
+    return prose_shares(_records(spark, sf_dir), ["tab", "rec_key"], "text", _common(spark, sf_dir)).where("not is_prose").select("tab", "rec_key")
 
 
 def p2_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every record; rows delivered again are given once."""
-    # The table of function words is fixed (a few hundred rows).
-    common = [r[0] for r in _table(spark, sf_dir, "common_words").where("word is not null").select("word").distinct().collect()]
-    return _records(spark, sf_dir).select("tab", "rec_key", *(c.alias(n) for n, c in text_statistics(F.col("text"), common).items())).distinct()
+    return text_statistics(_records(spark, sf_dir).select("tab", "rec_key", "text"), "text", _common(spark, sf_dir)).distinct()
 
 
 def _conversations(spark: SparkSession, sf_dir: str) -> Conversations:
