@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from quillmill.functions.termhash import Terms, shingle_hashes
 from quillmill.plans.components import connected_components
 from quillmill.plans.ordered import running_totals
-from quillmill.plans.vectors import fold_vectors
+from quillmill.plans.skew import salted_join
+from quillmill.plans.vectors import fold_counts, fold_vectors
 
 
 @pytest.mark.parametrize("parts", [1, 7])
@@ -61,3 +62,18 @@ def test_terms():
     assert a.hash[0] == a.hash[2] == b.hash[0] and a.hash[0] != a.hash[1]
     values, owner = shingle_hashes(Terms(["a b c d", "b c d", "a b"]), 3)
     assert owner.tolist() == [0, 0, 1] and values[1] == values[2]
+
+
+def test_fold_counts(spark):
+    got = fold_counts(spark.range(1000).repartition(7), 10, lambda b: b.column(0).to_numpy() % 10)
+    assert got.tolist() == [100] * 10 and fold_counts(spark.range(0), 4, lambda b: b.column(0).to_numpy()).tolist() == [0] * 4
+
+
+def test_salted_join(spark):
+    """A key with most rows is spread over several parts and joins as any other; keys without a partner fall away."""
+    rows = spark.createDataFrame([("hot" if i % 10 else f"k{i}", i) for i in range(2000)], "k string, v int")
+    other = spark.createDataFrame([("hot", "h"), ("k0", "a"), ("k10", "b"), ("none", "n"), ("k10", "c")], "k string, w string")
+    want = sorted(map(tuple, rows.join(other, "k").collect()))
+    assert sorted(map(tuple, salted_join(rows, other, "k", "v", 2000, key_rows=100).collect())) == want
+    assert sorted(map(tuple, salted_join(rows, other, "k", "v", 2000).collect())) == want
+    assert sorted(map(tuple, salted_join(rows.where("v > 50"), other, "k", "v", 2000, counted=rows, key_rows=100).collect())) == [x for x in want if x[1] > 50]
