@@ -130,6 +130,14 @@ s as materialized (select distinct chunk_id, file_hash, w[i] || ' ' || w[i + 1]
 n as (select chunk_id, count(distinct g) as n from s group by chunk_id),
 both_ as (select a.chunk_id as a, b.chunk_id as b, count(distinct a.g) as k from s a join s b on a.g = b.g and a.chunk_id < b.chunk_id and a.file_hash <> b.file_hash group by all)
 select a as chunk_id_a, b as chunk_id_b from both_ join n x on x.chunk_id = a join n y on y.chunk_id = b where k >= 0.6 * (x.n + y.n - k) - 1e-9""",
+    "p1_groups": f"""with recursive t as materialized (select distinct chunk_id, {_TERMS.format("text")} as w from chunks where text is not null and chunk_id is not null),
+m as materialized (select chunk_id, md5(array_to_string(list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))), '|')) as c, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as g from t where len(w) >= 20),
+k as materialized (select c, any_value(len(g)) as n, count(distinct chunk_id) as copies, min(chunk_id) as least from m group by c),
+s as materialized (select distinct c, unnest(g) as g from m),
+e as materialized (select a.c as a, b.c as b from s a join s b on a.g = b.g and a.c <> b.c join k x on x.c = a.c join k y on y.c = b.c group by a.c, b.c, x.n, y.n having count(*) >= 0.6 * (x.n + y.n - count(*)) - 1e-9),
+reach as (select c as a, c as b from k union select r.a, e.b from reach r join e on e.a = r.b),
+head as (select a as c, min(least) as group_id from reach join k on k.c = reach.b group by a)
+select distinct m.chunk_id, group_id, copies, (select count(*) from e where e.a = m.c) as links from m join k using (c) join head using (c)""",
     "p2_statistics": f"""with c as (select list(distinct word) as words from common_words where word is not null),
 r as (select tab, rec_key, coalesce(text, '') as t, regexp_replace(coalesce(text, ''), '[\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+', '', 'g') as bare, regexp_extract_all(coalesce(text, ''), '{_WORDS}') as w from ({_RECORDS})),
 l as (select *, list_filter(string_split(t, chr(10)), lambda x: regexp_replace(x, '[\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+', '', 'g') <> '') as lines from r)
