@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import time
+import urllib.request
+import warnings
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.plans.ordered import running_totals
+
 # Seconds waited before each try.
 DELAYS = (0, 2, 5, 10)
 
@@ -33,12 +38,43 @@ def hash_embedder(dimensions: int = 64) -> Embedder:
     return embed
 
 
-#: Embedders by name; further ones may be added.  An unknown name takes the stand-in.
-EMBEDDERS: dict[str, Callable[[], Embedder]] = {"hash": hash_embedder}
+def http_embedder(url: str, model: str, timeout: float = 60.0) -> Embedder:
+    """Vectors of a service that answers {"model", "input": [texts]} with {"embeddings": [vectors]} (the published form of local model servers)."""
+
+    def embed(texts: Sequence[str]) -> list[list[float]]:
+        body = json.dumps({"model": model, "input": list(texts)}).encode("utf-8", "replace")
+        request = urllib.request.Request(url, body, {"Content-Type": "application/json"})
+        with urllib.request.urlopen(request, timeout=timeout) as answer:
+            return json.load(answer)["embeddings"]
+
+    return embed
+
+
+def sentence_embedder(model: str) -> Embedder:
+    """A sentence-transformers model, loaded once in each worker, where that package is installed."""
+    loaded: list = []
+
+    def embed(texts: Sequence[str]) -> list[list[float]]:
+        if not loaded:
+            from sentence_transformers import SentenceTransformer
+
+            loaded.append(SentenceTransformer(model))
+        return loaded[0].encode(list(texts), normalize_embeddings=True).tolist()
+
+    return embed
+
+
+#: Embedders by name, made from the options given; further ones may be added.
+EMBEDDERS: dict[str, Callable[..., Embedder]] = {"hash": hash_embedder, "ollama": http_embedder, "huggingface": sentence_embedder}
+DEFAULT_EMBEDDER = "hash"
 
 
-def embedder_named(name: str) -> Embedder:
-    return EMBEDDERS.get(name, EMBEDDERS["hash"])()
+def embedder_named(name: str, **options) -> Embedder:
+    """The embedder of that name; an unknown name is warned of and takes the default."""
+    if name not in EMBEDDERS:
+        warnings.warn(f"unknown embedder {name!r}; {DEFAULT_EMBEDDER!r} is used", stacklevel=2)
+        return EMBEDDERS[DEFAULT_EMBEDDER]()
+    return EMBEDDERS[name](**options)
 
 
 def embed_with_retries(embed: Embedder, texts: Sequence[str], delays: Sequence[float] = DELAYS) -> list[list[float]]:
@@ -77,6 +113,7 @@ def embed_texts(df: DataFrame, text_col: str, out_col: str = "embedding", embed:
 
 
 def plan_batches(df: DataFrame, partition: list[str], order: list[str], tokens: str, size: int) -> DataFrame:
-    """Batches of `size` rows within each partition: (partition, batch_no, items, tokens)."""
-    place = F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) - 1
-    return df.withColumn("batch_no", F.floor(place / size).cast("bigint")).groupBy(*partition, "batch_no").agg(F.count(F.lit(1)).alias("items"), F.sum(tokens).alias("tokens"))
+    """Batches of `size` rows within each partition: (partition, batch_no, items, tokens).  A partition of very many rows is spread over tasks."""
+    narrow = df.select(*dict.fromkeys([*partition, *order]), F.col(tokens).alias("_tokens"), F.lit(1).cast("bigint").alias("_one"))
+    placed = running_totals(narrow, partition, order, {"_place": "_one"})
+    return placed.withColumn("batch_no", F.floor(F.col("_place") / size).cast("bigint")).groupBy(*partition, "batch_no").agg(F.count(F.lit(1)).alias("items"), F.sum("_tokens").alias("tokens"))

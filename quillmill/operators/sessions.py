@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.cleaning import strip
+from quillmill.plans.ordered import running_totals
 
 ROLES = ("human", "ai", "system")
 TITLE_LENGTH = 80
@@ -50,15 +51,21 @@ def last_messages(messages: DataFrame, n: int) -> DataFrame:
 
 
 def session_detail(sessions: DataFrame, messages: DataFrame, limit: int | None = None) -> DataFrame:
-    """Messages of each session in order, one row each, with the session's title."""
+    """Messages of each session in order, one row each, with the session's title; of a session's repeated rows the one updated last counts."""
     rows = last_messages(messages, limit) if limit else messages
-    return sessions.select("session_id", "title").join(rows.select("session_id", "id", "role", "content", "created_at"), "session_id")
+    one = sessions.where("session_id is not null").groupBy("session_id").agg(F.max(F.struct("updated_at", "title")).alias("s")).select("session_id", "s.title")
+    return one.join(rows.select("session_id", "id", "role", "content", "created_at"), "session_id")
 
 
-def summarize_threshold(messages: DataFrame) -> DataFrame:
-    """(session_id, threshold): 4 where the last four known messages are longer than 800 characters on average, else 8."""
+def summarize_threshold(messages: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """(session_id, threshold): 4 where the last four known messages are longer than 800 characters on average, else 8.
+
+    Sessions of `sessions`, and those of which no message has a known role, have a row, too: 8.
+    """
     lengths = last_messages(known_roles(messages), 4).groupBy("session_id").agg(F.avg(F.length(F.coalesce("content", F.lit("")))).alias("avg_len"))
-    return lengths.select("session_id", F.when(F.col("avg_len") > 800, 4).otherwise(8).alias("threshold"))
+    named = messages.select("session_id")
+    named = (named if sessions is None else named.unionAll(sessions.select("session_id"))).where("session_id is not null").distinct()
+    return named.join(lengths, "session_id", "left").select("session_id", F.when(F.col("avg_len") > 800, 4).otherwise(8).alias("threshold"))
 
 
 def clean_title(c: Column) -> Column:
@@ -80,13 +87,9 @@ def type_name(role: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in _NAMES.items() for x in p)), role), role)
 
 
-def window_text(messages: DataFrame, n: int | None, chars: int, template: str, skip_system: bool = False) -> DataFrame:
-    """(session_id, text): lines of the last n messages, oldest first, each cut to `chars`.
-
-    `template` is a format with the type and the content.  With n=None all messages are used; give sessions of bounded length then.
-    """
-    rows = messages.where(F.col("role") != "system") if skip_system else messages
-    rows = last_messages(rows, n) if n else rows.withColumn("ord", F.col("id"))
+def window_text(messages: DataFrame, n: int, chars: int, template: str, skip_system: bool = False) -> DataFrame:
+    """(session_id, text): lines of the last n messages, oldest first, each cut to `chars`; `template` is a format with the type and the content."""
+    rows = last_messages(messages.where(F.col("role") != "system") if skip_system else messages, n)
     line = F.format_string(template, type_name(F.col("role")), F.substring(F.coalesce("content", F.lit("")), 1, chars))
     ordered = F.array_sort(F.collect_list(F.struct("ord", line.alias("line"))))
     return rows.groupBy("session_id").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))
@@ -97,7 +100,15 @@ def router_window(messages: DataFrame) -> DataFrame:
 
 
 def summarizer_input(messages: DataFrame) -> DataFrame:
-    return window_text(known_roles(messages), None, 400, "%s: %s", skip_system=True)
+    """What a summariser reads, one row per message so that a long session is no single row: (session_id, seq, line), to be joined by line feeds in order of seq.
+
+    System messages and unknown roles are left out, contents cut to 400 characters.  seq counts from 1.
+    """
+    rows = known_roles(messages).where("role <> 'system' and session_id is not null")
+    line = F.format_string("%s: %s", type_name(F.col("role")), F.substring(F.coalesce("content", F.lit("")), 1, 400))
+    narrow = rows.select("session_id", "id", "created_at", line.alias("line"), F.lit(1).cast("bigint").alias("_one"))
+    placed = running_totals(narrow, ["session_id"], ["id", "created_at", "line"], {"_before": "_one"})
+    return placed.select("session_id", (F.col("_before") + 1).alias("seq"), "line")
 
 
 def keep_last_two(messages: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-_GLOB = "*.{" + ",".join(sorted({e for x in EXTENSIONS for e in (x, x.upper(), x.title())})) + "}"
+_GLOB = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in EXTENSIONS) + "}"  # suffixes in any letter case
 
 
 def _named(files: DataFrame) -> DataFrame:

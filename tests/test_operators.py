@@ -80,6 +80,7 @@ def test_sessions(spark):
     assert M.summarize_threshold(messages([801] * 4)).first().threshold == 4
     assert M.summarize_threshold(messages([9999, 800, 800, 800, 800])).first().threshold == 8
     assert M.summarize_threshold(messages([])).count() == 0
+    assert M.summarize_threshold(messages([]), spark.createDataFrame([("e",), (None,)], "session_id string")).collect() == [("e", 8)]
     assert one(spark, 'Session Title: "Foo   bar."', "string", M.clean_title) == "Foo bar"
     node = spark.sql("select array('retrieve') as calls").select(M.next_node(F.lit(5), F.lit(5), F.lit(9), F.lit(8), F.col("calls"))).first()[0]
     assert node == "END"
@@ -106,7 +107,7 @@ def test_csv_and_html():
 
 
 def test_sinks(spark, tmp_path):
-    table = sinks.VersionedTable(spark, str(tmp_path / "t"), "id string, v int")
+    table = sinks.BucketedTable(spark, str(tmp_path / "t"), "id string, v int", "id", 8)
     assert table.read().count() == 0
     new = spark.createDataFrame([("a", 1), ("a", 0), ("b", 2), (None, 3)], "id string, v int")
     table.upsert(new, ["id"], ["v"])
@@ -114,9 +115,71 @@ def test_sinks(spark, tmp_path):
     assert sorted(map(tuple, table.read().collect())) == [("a", 0), ("b", 2)]
     table.delete(F.col("id") == "a")
     assert [r.id for r in table.read().collect()] == ["b"]
+    table.delete_value("b")
+    table.delete_value("never there")
+    assert table.read().count() == 0
+    table.upsert(new.limit(0), ["id"], ["v"])
     assert table.drop() and not table.drop()
 
 
+def test_of_two_writers_one_loses(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "id string, v int"
+    one, two = (sinks.BucketedTable(spark, path, schema, "id", 4) for _ in range(2))
+    row = lambda k, v: spark.createDataFrame([(k, v)], schema)
+    one.upsert(row("a", 1), ["id"], ["v"])
+    start = one.snapshot()
+    two.upsert(row("b", 2), ["id"], ["v"], at=start)
+    with pytest.raises(sinks.LostRace):
+        one.upsert(row("c", 3), ["id"], ["v"], at=start)
+    one.upsert(row("c", 3), ["id"], ["v"])
+    assert sorted(map(tuple, two.read().collect())) == [("a", 1), ("b", 2), ("c", 3)]
+    (tmp_path / "t" / "current-9").write_text('{"buckets": 4, "fol')  # a writer that died
+    assert one.read().count() == 3
+    two.upsert(row("d", 4), ["id"], ["v"])
+    assert one.read().count() == 4 and two.snapshot().number == 10
+
+
+def test_a_file_touches_its_bucket_only(spark, tmp_path):
+    table = sinks.chunk_table(spark, str(tmp_path / "c"), buckets=16)
+    chunk = lambda f, i: {"chunk_id": f"{f}{i}", "file_hash": f, "chunk_index": i, "text": "t", "collection": "x"}
+    made = lambda rows: spark.createDataFrame(rows, sinks.CHUNK_COLUMNS)
+    sinks.upsert_chunks(table, made([chunk(f"f{k}", i) for k in range(40) for i in range(3)]))
+    before = table.snapshot().folders
+    sinks.upsert_chunks(table, made([chunk("f7", 9)]))
+    after = table.snapshot().folders
+    assert sum(before.get(k) != v for k, v in after.items()) == 1 and table.read().count() == 121
+    sinks.delete_file(table, "f7")
+    assert sum(after.get(k) != v for k, v in table.snapshot().folders.items()) <= 1 and table.read().count() == 117
+    assert sinks.without_files(table.read(), spark.createDataFrame([("f1",), ("f2",), (None,)], "file_hash string")).count() == 111
+
+
+def test_appended_messages(spark):
+    import datetime
+
+    day = lambda n: datetime.datetime(2025, 1, n)
+    sessions = spark.createDataFrame([("a", "t", 2, day(5)), ("b", None, None, None), ("c", "u", 1, day(3))], "session_id string, title string, msg_count long, updated_at timestamp")
+    old = spark.createDataFrame([("a", 1, day(1))], "session_id string, id long, created_at timestamp")
+    new = spark.createDataFrame([("a", 2, day(2)), ("a", 3, None), ("b", 4, day(7)), (None, 5, day(9)), ("z", 6, day(9))], "session_id string, id long, created_at timestamp")
+    moved, rows = sinks.append_messages(sessions, old, new)
+    assert {tuple(r) for r in moved.collect()} == {("a", "t", 4, day(5)), ("b", None, 1, day(7)), ("c", "u", 1, day(3))}
+    assert rows.count() == 6
+
+
+def test_embedders_by_name():
+    from quillmill.functions.embedding import embedder_named
+
+    with pytest.warns(UserWarning, match="unknown embedder"):
+        assert len(embedder_named("no such")(["a"])[0]) == 64
+    assert len(embedder_named("hash", dimensions=8)(["a"])[0]) == 8
+    assert callable(embedder_named("ollama", url="http://localhost:1/api/embed", model="m"))
+
+
+def test_suffixes_in_any_case(spark, tmp_path):
+    for name in ("a.DocX", "b.HTml", "e.mD", "f.txt", "g.bin", "h.PDF"):
+        (tmp_path / name).write_bytes(b"x")
+    assert {r.filename for r in files.scan_folder(spark, str(tmp_path)).collect()} == {"a.DocX", "b.HTml", "e.mD", "f.txt", "h.PDF"}
+
+
 def test_embedding(spark):
     df = spark.createDataFrame([("a b",), ("",), (None,)], "t string")
     got = embed_texts(df, "t", embed=hash_embedder(8), batch_size=2, delays=(0,)).collect()

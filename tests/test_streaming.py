@@ -1,3 +1,7 @@
+import datetime
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from quillmill.sources import files
@@ -6,7 +10,7 @@ from quillmill.streaming.ingest import Ingestor
 
 
 def test_ingest_stream(spark, tmp_path):
-    root, store = tmp_path / "in", tmp_path / "store"
+    root, store, waited = tmp_path / "in", tmp_path / "store", []
     (root / "My Docs").mkdir(parents=True)
     (root / "My Docs" / "a.md").write_text("# A\n\nSome words here.\n")
     (root / "b.CSV").write_text("x,y\n1,2\n")
@@ -14,30 +18,64 @@ def test_ingest_stream(spark, tmp_path):
     (root / "empty.txt").write_text(" \n")
     (root / "skip.bin").write_text("no")
     (root / "bad.pdf").write_text("no pdf")
-    ingestor = Ingestor(spark, str(root), str(store), pdf_reader=lambda b: (_ for _ in ()).throw(ValueError("broken")))
+    ingestor = Ingestor(spark, str(root), str(store), pdf_reader=lambda b: (_ for _ in ()).throw(ValueError("broken")), sleep=waited.append)
     ingestor.stream(str(tmp_path / "cp")).awaitTermination()
     chunks = ingestor.chunks.read().collect()
     assert len(chunks) == 2
     assert len(chunks[0].embedding) == 64
+    assert waited == [2, 4]
+    events = {(r.file_path.rsplit("/", 1)[1], r.status, r.attempt_count) for r in ingestor.log.read().collect()}
+    assert {("bad.pdf", s, n) for s in ("processing", "failed") for n in (1, 2, 3)} <= events
     state = {(r.file_path.rsplit("/", 1)[1], r.status) for r in ingestor.state().collect()}
     assert ("empty.txt", "failed") in state and ("bad.pdf", "failed") in state and sum(s == "done" for _, s in state) == 2
     (root / "c.txt").write_text("More text.")
     ingestor.stream(str(tmp_path / "cp")).awaitTermination()
     assert ingestor.chunks.read().count() == 3
     scan = files.scan_folder(spark, str(root))
-    for n in range(4):
-        ingestor.retry(scan, f"retry-{n}")
+    ingestor.retry(scan, "retry")
     assert ingestor.state().agg(F.max("attempt_count")).first()[0] == 3
     assert ingestor.chunks.read().count() == 3
+    statuses, collections = ingestor.diagnostics()
+    assert {tuple(r) for r in statuses.collect()} == {("done", 3), ("failed", 2)} and sum(r.chunks for r in collections.collect()) == 3
+
+
+def test_sweep_and_diagnostics(spark, tmp_path):
+    root, store, seen, broken = tmp_path / "in", tmp_path / "store", [], tmp_path / "broken"
+    root.mkdir()
+    (root / "a.pdf").write_text("x")
+    broken.write_text("yes")
+
+    def reader(content):
+        if broken.exists():
+            raise ValueError("not now")
+        return ["Some text of the page."]
+
+    ingestor = Ingestor(spark, str(root), str(store), pdf_reader=reader, sleep=lambda s: None)
+    ingestor.attempt(files.scan_folder(spark, str(root)), "first")
+    assert [r.status for r in ingestor.state().collect()] == ["failed"]
+    broken.unlink()
+    queries = [ingestor.sweep(str(tmp_path / "s"), "1 second"), ingestor.watch_diagnostics(lambda a, b: seen.append({r.status: r.n for r in a.collect()}), str(tmp_path / "d"), "1 second")]
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            if seen and seen[-1] == {"done": 1}:
+                break
+    finally:
+        for q in queries:
+            q.stop()
+    assert seen[-1] == {"done": 1} and ingestor.chunks.read().count() == 1
 
 
-def test_conversation_state(spark, tmp_path):
+@pytest.mark.parametrize("lateness", [None, "1 day"])
+def test_conversation_state(spark, tmp_path, lateness):
+    """Redeliveries are dropped, lower ids that come late are counted."""
     folder = tmp_path / "m"
-    schema = "session_id string, id long, role string, content string"
+    schema = "session_id string, id long, role string, content string, created_at timestamp"
+    at = lambda n: datetime.datetime(2025, 1, 1, 0, n)
     out = []
-    for part in ([("s", 1, "human", "a"), ("s", 2, "ai", "b" * 2000)], [("s", 2, "ai", "again"), ("s", 3, "human", "c" * 2000)]):
+    for part in ([("s", 2, "human", "a", at(1)), ("s", 5, "ai", "b" * 2000, at(2))], [("s", 5, "ai", "b" * 2000, at(2)), ("s", 6, "human", "c" * 2000, None), ("s", 1, "system", "late", at(3))]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(folder))
         stream = spark.readStream.schema(schema).parquet(str(folder))
-        query = conversation_counts(stream).writeStream.outputMode("update").foreachBatch(lambda df, n: out.extend(df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query = conversation_counts(stream, lateness).writeStream.outputMode("update").foreachBatch(lambda df, n: out.extend(df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
         query.awaitTermination()
-    assert (out[-1].msg_count, out[-1].last_role, out[-1].summarize_every) == (3, "human", 4)
+    assert (out[-1].msg_count, out[-1].last_role, out[-1].summarize_every) == (4, "human", 4)
