@@ -37,7 +37,9 @@ from quillmill.plans.skew import salted_join
 from quillmill.plans.vectors import Shipped, fold_counts, fold_vectors
 
 #: Bits counted by a cell of the sketch that orders them, on average, and the least and most cells (powers of two): what a task holds and is sent.
-CELL_LOAD, LEAST_CELLS, MOST_CELLS = 8, 16, 24
+CELL_LOAD, LEAST_CELLS, MOST_CELLS = 24, 16, 24
+#: Bits of the first folded fingerprint.
+FOLD = 256
 #: Blocks in which a pair must meet.
 SHARED = 3
 #: Block addresses, and bits of its digest by which a class is addressed; blocks and classes that share an address are told apart at verification.
@@ -51,7 +53,13 @@ WANTED_LOAD, MOST_WANTED = 16, 27
 #: Copies of one class that are paired by one task.
 COPIES = 512
 
-_CLASSES = "rec_id string, group_hash bigint, slot bigint, digest binary, bits binary"
+_FOLDS = [f"fold{k}" for k in range(FOLD // 64)]
+_CLASSES = "rec_id string, group_hash bigint, slot bigint, digest binary, bits binary, " + ", ".join(f"{f} bigint" for f in _FOLDS)
+
+
+def _fold(bits: np.ndarray) -> np.ndarray:
+    """Parity of the bits in each of FOLD cells: distances of folds never exceed distances of the sets."""
+    return np.packbits(np.bincount((bits % np.uint64(FOLD)).astype(np.int64), minlength=FOLD).astype(np.uint8) & 1).view(np.int64)
 
 
 def _fingerprints(width: int, min_terms: int):
@@ -63,7 +71,7 @@ def _fingerprints(width: int, min_terms: int):
             values, owner = shingle_hashes(terms, width)
             fits = (terms.count >= max(min_terms, width))[owner] if len(owner) else owner.astype(bool)
             values, _, at = distinct_by_owner(values[fits], owner[fits], len(texts))
-            keep, slots, digests, bits = [], [], [], []
+            keep, slots, digests, bits, folds = [], [], [], [], []
             for i in range(len(texts)):
                 own = values[at[i] : at[i + 1]]
                 if not len(own):
@@ -74,9 +82,14 @@ def _fingerprints(width: int, min_terms: int):
                 slots.append(int.from_bytes(digest[: SLOT_BITS // 8], "little"))
                 # Copies beyond the first of this task need no second set of bits.
                 bits.append(None if digest in seen else own.tobytes())
+                folds.append(_fold(own))
                 seen.add(digest)
             at_rows = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at_rows), batch.column(1).take(at_rows), pa.array(slots, pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.binary())], ["rec_id", "group_hash", "slot", "digest", "bits"])
+            table = np.array(folds, dtype=np.int64).reshape(len(folds), len(_FOLDS))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at_rows), batch.column(1).take(at_rows), pa.array(slots, pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.binary()), *(pa.array(table[:, k]) for k in range(len(_FOLDS)))],
+                ["rec_id", "group_hash", "slot", "digest", "bits", *_FOLDS],
+            )
 
     return run
 
@@ -273,9 +286,19 @@ class NearDuplicates:
         met = joined.groupBy("slot_a", "slot_b").agg(F.count(F.lit(1)).alias("met"), F.min(F.when(plain, need).otherwise(1)).alias("need"))
         return met.where("met >= need").select("slot_a", "slot_b")
 
+    def _near(self) -> DataFrame:
+        """(slot_a, slot_b) of the candidates whose folded fingerprints are close enough."""
+        met = self._keep(self.candidates())
+        total = met.count()
+        folded = lambda x: self._firsts.select(F.col("slot").alias(f"slot_{x}"), (F.length("bits") / 8).cast("int").alias(f"n_{x}"), *(F.col(f).alias(f"{f}_{x}") for f in _FOLDS))
+        # A class with very many neighbours is spread by its neighbours.
+        both = salted_join(salted_join(met, folded("a"), "slot_a", "slot_b", total), folded("b"), "slot_b", "slot_a", total, counted=met)
+        distance = sum((F.bit_count(F.col(f"{f}_a").bitwiseXOR(F.col(f"{f}_b"))) for f in _FOLDS), F.lit(0))
+        return both.where(distance <= F.lit((1 - self.threshold) / (1 + self.threshold)) * (F.col("n_a") + F.col("n_b")) + 1e-6).select("slot_a", "slot_b").distinct()
+
     def class_pairs(self) -> DataFrame:
         """(digest_a, digest_b, similarity): all pairs of different classes at or over the threshold."""
-        near = self._keep(self.candidates())
+        near = self._keep(self._near())
         total = near.count()
         size = 1 << min(MOST_WANTED, max(16, (WANTED_LOAD * total).bit_length()))
 
@@ -290,7 +313,6 @@ class NearDuplicates:
         sets = self._firsts.select("slot", "digest", "bits").mapInArrow(_wanted(wanted, size), "slot bigint, digest binary, bits binary")
         sets = self._keep(sets.groupBy("slot", "digest").agg(F.first("bits").alias("bits")))
         side = lambda x: sets.select(F.col("slot").alias(f"slot_{x}"), F.col("digest").alias(f"digest_{x}"), F.col("bits").alias(f"bits_{x}"))
-        # A class with very many neighbours is spread by its neighbours.
         meet = lambda rows, x, y: salted_join(rows, side(x), f"slot_{x}", f"slot_{y}", total, counted=near)
         folds = meet(near, "a", "b").select("slot_a", "slot_b", "bits_a", "digest_a").mapInArrow(_wide_folds, "slot_a bigint, slot_b bigint, digest_a binary, n_a int, fold_a binary")
         still = meet(folds, "b", "a").select("slot_a", "slot_b", "digest_a", "digest_b", "n_a", "fold_a", "bits_b").mapInArrow(_still_near(self.threshold), "slot_a bigint, slot_b bigint, digest_a binary, digest_b binary")
