@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.plans.lineage import cut
+
 #: Rows of one key that a task may hold, and how many keys at most are split (the bound of what is broadcast).
 KEY_ROWS, MOST_KEYS = 200_000, 10_000
 
@@ -25,8 +27,14 @@ def salted_join(rows: DataFrame, other: DataFrame, key: str, spread: str, total:
     """
     if total <= (KEY_ROWS if key_rows is None else key_rows):
         return rows.join(other, key)  # no key can be hot
-    hot = hot_keys(rows if counted is None else counted, key, total, key_rows)
-    parts = lambda df: df.join(F.broadcast(hot), key, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))  # noqa: E731 - at most MOST_KEYS rows
-    salted = parts(rows).withColumn("_salt", F.pmod(F.hash(spread), F.col("_parts"))).drop("_parts")
-    repeated = parts(other).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
-    return salted.join(repeated, [key, "_salt"]).drop("_salt")
+    hot = hot_keys(rows if counted is None else counted, key, total, key_rows).persist()
+    if not hot.count():
+        return rows.join(other, key)
+    if counted is not None:
+        rows = cut(rows)  # read twice
+    # Only rows of hot keys are moved by key and part; all others join as they lie.  At most MOST_KEYS keys are broadcast.
+    named = F.broadcast(hot.select(key))
+    cold = rows.join(named, key, "left_anti").join(other, key)
+    salted = rows.join(F.broadcast(hot), key).withColumn("_salt", F.pmod(F.hash(spread), F.col("_parts"))).drop("_parts")
+    repeated = other.join(F.broadcast(hot), key).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return cold.unionByName(salted.join(repeated, [key, "_salt"]).drop("_salt"))
