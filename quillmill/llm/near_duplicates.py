@@ -42,8 +42,8 @@ CELL_LOAD, LEAST_CELLS, MOST_CELLS = 24, 16, 24
 FOLD = 256
 #: Blocks in which a pair must meet.
 SHARED = 3
-#: Block addresses, and bits of its digest by which a class is addressed; blocks and classes that share an address are told apart at verification.
-ADDRESS_BITS = SLOT_BITS = 48
+#: Bits of a block's address, and bits of its digest by which a class is addressed; blocks and classes that share one are told apart at verification.
+ADDRESS_BITS, SLOT_BITS = 48, 40
 #: Sizes from here on are written as this value, and such pairs skip the size and position tests.
 BIG = (1 << 15) - 1
 #: Blocks that may hold more rows than this are split over several keys.
@@ -253,6 +253,11 @@ class NearDuplicates:
         while self._kept:
             self._kept.pop().unpersist()
 
+    @property
+    def _width(self) -> int:
+        """Partitions of what is kept; named as a number, they stay as they are and joins rely on them."""
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
     @property
     def members(self) -> DataFrame:
         """(digest, rec_id, group_hash), distinct."""
@@ -272,8 +277,7 @@ class NearDuplicates:
         t = self.threshold
         address = F.shiftrightunsigned("where", 16)
         # Kept partitioned and sorted by address, in a number of partitions that is named and so stays: both sides of the self-join read it as it is.
-        width = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        blocks = self._keep(self.blocks().repartition(width, address).sortWithinPartitions(address))
+        blocks = self._keep(self.blocks().repartition(self._width, address).sortWithinPartitions(address))
         bits = lambda c, shift, mask: F.shiftright(c, shift).bitwiseAND(F.lit(mask))
         side = lambda x: blocks.select(address.alias("block"), bits("where", 1, BIG).alias(f"size_{x}"), bits("where", 0, 1).alias(f"large_{x}"), F.shiftrightunsigned("who", 16).alias(f"slot_{x}"), bits("who", 1, BIG).alias(f"pos_{x}"), bits("who", 0, 1).alias(f"small_{x}"))
         sa, sb = F.col("size_a"), F.col("size_b")
@@ -290,7 +294,8 @@ class NearDuplicates:
         """(slot_a, slot_b) of the candidates whose folded fingerprints are close enough."""
         met = self._keep(self.candidates())
         total = met.count()
-        folded = lambda x: self._firsts.select(F.col("slot").alias(f"slot_{x}"), (F.length("bits") / 8).cast("int").alias(f"n_{x}"), *(F.col(f).alias(f"{f}_{x}") for f in _FOLDS))
+        folds = self._keep(self._firsts.select("slot", (F.length("bits") / 8).cast("int").alias("n"), *_FOLDS).repartition(self._width, "slot"))
+        folded = lambda x: folds.select(F.col("slot").alias(f"slot_{x}"), F.col("n").alias(f"n_{x}"), *(F.col(f).alias(f"{f}_{x}") for f in _FOLDS))
         # A class with very many neighbours is spread by its neighbours.
         both = salted_join(salted_join(met, folded("a"), "slot_a", "slot_b", total), folded("b"), "slot_b", "slot_a", total, counted=met)
         distance = sum((F.bit_count(F.col(f"{f}_a").bitwiseXOR(F.col(f"{f}_b"))) for f in _FOLDS), F.lit(0))
@@ -311,13 +316,15 @@ class NearDuplicates:
         # Sets that no close pair needs stay where they are: the filter lets some too many through, never too few.
         wanted = self.spark.sparkContext.broadcast(Shipped(fold_vectors(near, size >> 3, cells, dtype="uint8", merge="bitwise_or")))
         sets = self._firsts.select("slot", "digest", "bits").mapInArrow(_wanted(wanted, size), "slot bigint, digest binary, bits binary")
-        sets = self._keep(sets.groupBy("slot", "digest").agg(F.first("bits").alias("bits")))
+        sets = self._keep(sets.repartition(self._width, "slot").groupBy("slot", "digest").agg(F.first("bits").alias("bits")))
         side = lambda x: sets.select(F.col("slot").alias(f"slot_{x}"), F.col("digest").alias(f"digest_{x}"), F.col("bits").alias(f"bits_{x}"))
         meet = lambda rows, x, y: salted_join(rows, side(x), f"slot_{x}", f"slot_{y}", total, counted=near)
         folds = meet(near, "a", "b").select("slot_a", "slot_b", "bits_a", "digest_a").mapInArrow(_wide_folds, "slot_a bigint, slot_b bigint, digest_a binary, n_a int, fold_a binary")
         still = meet(folds, "b", "a").select("slot_a", "slot_b", "digest_a", "digest_b", "n_a", "fold_a", "bits_b").mapInArrow(_still_near(self.threshold), "slot_a bigint, slot_b bigint, digest_a binary, digest_b binary")
         named = still.withColumnsRenamed({"digest_a": "da", "digest_b": "db"})
-        whole = meet(meet(named, "a", "b").where("digest_a = da"), "b", "a").where("digest_b = db")
+        # The digest is compared after the join: as a second key it would move every set again.
+        equal = lambda x, y: (F.col(x) >= F.col(y)) & (F.col(x) <= F.col(y))
+        whole = meet(meet(named, "a", "b").where(equal("digest_a", "da")), "b", "a").where(equal("digest_b", "db"))
         return whole.select("digest_a", "digest_b", "bits_a", "bits_b").mapInArrow(_verified(self.threshold), "digest_a binary, digest_b binary, similarity double")
 
     def pairs(self, per_copy: bool = True) -> DataFrame:
@@ -325,21 +332,29 @@ class NearDuplicates:
 
         Every row of a class meets every other in the result; classes of many copies are cut into parts, and parts meet in tasks of their own.
         """
-        m = self._keep(self.members)
+        m = self._keep(self._rows.select("digest", "rec_id", "group_hash").repartition(self._width, "digest").distinct())
         sizes = m.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
-        parts = self._keep(sizes.where(F.col("n") > COPIES).select("digest", F.ceil(F.col("n") / COPIES).cast("int").alias("parts")))
         links = self.class_pairs()
         if per_copy:
             links = links.unionByName(sizes.where("n > 1").select(F.col("digest").alias("digest_a"), F.col("digest").alias("digest_b"), F.lit(1.0).alias("similarity")))
-        placed = m.join(parts, "digest", "left").select("digest", "rec_id", "group_hash", F.pmod(F.hash("rec_id"), F.coalesce("parts", F.lit(1))).alias("part"))
-        for x in "ab":
-            own = parts.select(F.col("digest").alias(f"digest_{x}"), F.col("parts").alias("_parts"))
-            links = links.join(own, f"digest_{x}", "left").withColumn(f"part_{x}", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-        ma = placed.select(F.col("digest").alias("digest_a"), F.col("part").alias("part_a"), F.col("rec_id").alias("ia"), F.col("group_hash").alias("ga"))
-        mb = placed.select(F.col("digest").alias("digest_b"), F.col("part").alias("part_b"), F.col("rec_id").alias("ib"), F.col("group_hash").alias("gb"))
+        parts = self._keep(sizes.where(F.col("n") > COPIES).select("digest", F.ceil(F.col("n") / COPIES).cast("int").alias("parts")))
+        member = lambda df, x: df.select(F.col("digest").alias(f"digest_{x}"), F.col("rec_id").alias(f"i{x}"), F.col("group_hash").alias(f"g{x}"), *(F.col(c).alias(f"{c}_{x}") for c in df.columns if c == "part"))
+        if parts.isEmpty():
+            across = links.join(member(m, "a"), "digest_a").join(member(m, "b"), "digest_b")
+        else:
+            for x in "ab":
+                links = links.join(parts.select(F.col("digest").alias(f"digest_{x}"), F.col("parts").alias(f"parts_{x}")), f"digest_{x}", "left")
+            links = self._keep(links)
+            single = links.where("parts_a is null and parts_b is null").drop("parts_a", "parts_b")
+            cut_up = links.where("parts_a is not null or parts_b is not null")
+            for x in "ab":
+                cut_up = cut_up.withColumn(f"part_{x}", F.explode(F.sequence(F.lit(0), F.coalesce(f"parts_{x}", F.lit(1)) - 1))).drop(f"parts_{x}")
+            placed = m.join(parts, "digest", "left").withColumn("part", F.pmod(F.hash("rec_id"), F.coalesce("parts", F.lit(1))))
+            across = single.join(member(m, "a"), "digest_a").join(member(m, "b"), "digest_b")
+            across = across.unionByName(cut_up.join(member(placed, "a"), ["digest_a", "part_a"]).join(member(placed, "b"), ["digest_b", "part_b"]).drop("part_a", "part_b"))
         far = F.coalesce(F.col("ga") != F.col("gb"), F.lit(True))
         once = F.when(F.col("digest_a") == F.col("digest_b"), F.col("ia") < F.col("ib")).otherwise(F.col("ia") != F.col("ib"))
-        across = links.join(ma, ["digest_a", "part_a"]).join(mb, ["digest_b", "part_b"]).where(once & far)
+        across = across.where(once & far)
         return across.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), "similarity").groupBy("id_a", "id_b").agg(F.max("similarity").alias("similarity"))
 
     def groups(self) -> DataFrame:
