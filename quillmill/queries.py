@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmill import operator_queries
 from quillmill.functions import chunking, cleaning, payload
 from quillmill.functions.embedding import embed_texts, plan_batches
 from quillmill.functions.vectors import l2_normalize
@@ -168,11 +169,6 @@ def dedup_by_hash(spark, sf_dir):
     return _t(spark, sf_dir, "documents").where("text is not null").groupBy(F.sha2(F.col("text"), 256).alias("hash")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
 
 
-@_query("""select p_partkey, concat_ws(' | ', 'p_partkey: ' || p_partkey, 'p_name: ' || nullif(p_name, ''), 'p_brand: ' || nullif(p_brand, ''), 'p_type: ' || nullif(p_type, ''), 'p_size: ' || p_size) as text from part""")
-def csv_rows_to_text(spark, sf_dir):
-    return _t(spark, sf_dir, "part").select("p_partkey", files.csv_text(_t(spark, sf_dir, "part"), ["p_partkey", "p_name", "p_brand", "p_type", "p_size"]).alias("text"))
-
-
 @_query("""select file_path, file_hash, coalesce(nullif(lower(regexp_replace(regexp_replace(case when contains(b, '/') then split_part(b, '/', 1) else '' end, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g')), ''), 'documents') as collection, lower(regexp_extract(file_path, '\\.([^./\\\\]+)$', 1)) as ext
 from (select file_path, file_hash, regexp_extract(file_path, '^/data/inbox/+(.*)$', 1) as b from raw_documents)""")
 def collection_route(spark, sf_dir):
@@ -276,11 +272,6 @@ def clean_full(spark, sf_dir):
     return _t(spark, sf_dir, "raw_documents").select("file_path", "file_hash", cleaning.clean(F.col("raw_text")).alias("text"))
 
 
-@_query()
-def join_wrapped(spark, sf_dir):
-    return _t(spark, sf_dir, "raw_documents").select("file_path", "file_hash", cleaning.join_wrapped_lines(cleaning.drop_page_numbers(F.col("raw_text"))).alias("text"))
-
-
 # --- chunking ---------------------------------------------------------------------------------------------------------
 
 _WORD = "[^\\s\\x1c-\\x1f\\x{85}\\p{Z}]+"
@@ -332,9 +323,10 @@ def list_sessions(spark, sf_dir):
     return sessions.list_sessions(one)
 
 
-@_query("select distinct s.session_id, m.id, m.role, m.content, m.created_at from sessions s join messages m on s.session_id = m.session_id")
+@_query("select m.session_id, s.title, m.id, m.role, m.content, m.created_at from (select session_id, max((updated_at, title)) as s, arg_max(title, (updated_at, title)) as title from (select session_id, coalesce(updated_at, timestamp '0001-01-01') as updated_at, coalesce(title, '') as title from sessions where session_id is not null) group by session_id) s join messages m on s.session_id = m.session_id")
 def session_detail(spark, sf_dir):
-    return sessions.session_detail(_t(spark, sf_dir, "sessions"), _t(spark, sf_dir, "messages")).select("session_id", "id", "role", "content", "created_at").distinct()
+    s = _t(spark, sf_dir, "sessions").select("session_id", F.coalesce("updated_at", F.lit("0001-01-01").cast("timestamp_ntz")).alias("updated_at"), F.coalesce("title", F.lit("")).alias("title"))
+    return sessions.session_detail(s, _t(spark, sf_dir, "messages")).select("session_id", "title", "id", "role", "content", "created_at")
 
 
 @_query(f"select session_id, id, role, content, (max(b) over (partition by session_id) - b + 1)::int as ord from (select *, {_BACK} as b from messages) where b <= 10")
@@ -342,9 +334,10 @@ def recent_messages(spark, sf_dir):
     return sessions.last_messages(_t(spark, sf_dir, "messages"), 10).select("session_id", "id", "role", "content", "ord")
 
 
-@_query(f"select session_id, (case when avg(length(coalesce(content, ''))) > 800 then 4 else 8 end)::int as threshold from (select *, {_BACK} as b from messages where role in ('human', 'ai', 'system')) where b <= 4 group by session_id")
+@_query(f"""select session_id, (case when n > 800 then 4 else 8 end)::int as threshold from (select session_id from sessions where session_id is not null union select session_id from messages where session_id is not null)
+left join (select session_id, avg(length(coalesce(content, ''))) as n from (select *, {_BACK} as b from messages where role in ('human', 'ai', 'system')) where b <= 4 group by session_id) using (session_id)""")
 def summarize_threshold(spark, sf_dir):
-    return sessions.summarize_threshold(_t(spark, sf_dir, "messages"))
+    return sessions.summarize_threshold(_t(spark, sf_dir, "messages"), _t(spark, sf_dir, "sessions"))
 
 
 @_query("""select distinct session_id, left(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(trim('Title: "' || coalesce(title, '') || '".'), '^(?i:session\\s*title\\s*:\\s*|title\\s*:\\s*)', ''), '^["''`]+|["''`]+$', '', 'g'), '\\s+', ' ', 'g')), '^[-:;,. ]+|[-:;,. ]+$', '', 'g'), 80) as title from sessions""")
@@ -411,8 +404,8 @@ def event_windows(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | operator_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | operator_queries.SQL

@@ -29,6 +29,11 @@ def supported(path: Column) -> Column:
     return extension(path).isin(*EXTENSIONS)
 
 
+def mime_type(suffix: Column) -> Column:
+    known = F.element_at(F.create_map(*(F.lit(x) for p in MIME_TYPES.items() for x in p)), suffix)
+    return F.coalesce(known, F.lit("application/octet-stream"))
+
+
 def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 
@@ -170,8 +175,7 @@ def extract_documents(files: DataFrame, pdf_reader: PdfReader | None = None) ->
 
     base = files.select("file_path", "file_hash", "doc_type", "filename", "content")
     out = base.mapInPandas(run, "file_path string, file_hash string, doc_type string, filename string, raw_text string, page_count int, error string")
-    mime = F.element_at(F.create_map(*(F.lit(x) for p in MIME_TYPES.items() for x in p)), F.col("doc_type"))
-    return out.withColumn("mime_type", F.coalesce(mime, F.lit("application/octet-stream"))).withColumn("extracted_at", F.current_timestamp())
+    return out.withColumn("mime_type", mime_type(F.col("doc_type"))).withColumn("extracted_at", F.current_timestamp())
 
 
 def html_text(c: Column) -> Column:
