@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +16,6 @@ from quillmill.llm.packing import pack_texts
 from quillmill.llm.quality import prose_shares, text_statistics
 from quillmill.llm.scan_repair import ScannedText
 from quillmill.llm.splitting import split_records
-from quillmill.plans.lineage import cut
 from quillmill.plans.ordered import running_totals
 
 
@@ -91,15 +91,25 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     Re-deliveries of a record have the same text; they differ at most in doc_type and place, of which the least is used.
     """
     r = _records(spark, sf_dir).where("rec_key is not null and text is not null")
-    once = r.groupBy("tab", "rec_key").agg(F.min(F.struct("file_hash", "chunk_index", "doc_type")).alias("p"), F.min("text").alias("text")).select("tab", "rec_key", "p.*", "text")
-    pieces = split_records(once, _table(spark, sf_dir, "chunk_profile")).select("tab", "rec_key", "file_hash", "chunk_index", "text", "pieces")
-    narrow = cut(pieces.select("tab", "rec_key", "file_hash", "chunk_index", F.size("pieces").cast("bigint").alias("_n")))
+    # Texts are moved once, by their key; what is made of them lies the same way, so that nothing moves them again.
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    same = r.repartition(width, "tab", "rec_key").groupBy("tab", "rec_key").agg(F.min(F.struct("file_hash", "chunk_index", "doc_type")).alias("p"), F.first("text").alias("text"))
+    pieces = split_records(same.select("tab", "rec_key", "p.*", "text"), _table(spark, sf_dir, "chunk_profile")).select("tab", "rec_key", "file_hash", "chunk_index", "text", "pieces").persist(StorageLevel.MEMORY_AND_DISK)
+    narrow = pieces.select("tab", "rec_key", "file_hash", "chunk_index", F.size("pieces").cast("bigint").alias("_n"))
     placed = running_totals(narrow, ["tab", "file_hash"], ["chunk_index", "rec_key"], {"_before": "_n"}).select("tab", "rec_key", "_before")
     whole = pieces.join(placed, ["tab", "rec_key"])
     out = whole.select("tab", "rec_key", "file_hash", "text", "_before", F.inline("pieces"))
     return out.select("tab", "rec_key", "file_hash", (F.col("_before") + F.col("piece_no")).alias("chunk_index"), "piece_no", "first_word", "words", F.expr("substring(text, char_from + 1, chars)").alias("text"))
 
 
+def p5_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of pieces: (tab, rec_key, words covered, whether all keep the limit, whether each shares its overlap with the one before)."""
+    pieces = split_records(_records(spark, sf_dir).where("rec_key is not null and text is not null"), _table(spark, sf_dir, "chunk_profile"))
+    shared = F.expr("forall(sequence(1, greatest(size(pieces) - 1, 1)), i -> i >= size(pieces) or pieces[i].first_word = pieces[i - 1].first_word + pieces[i - 1].words - _overlap)")
+    facts = pieces.where("size(pieces) > 0").select("tab", "rec_key", F.expr("aggregate(pieces, 0, (s, x) -> greatest(s, x.first_word + x.words))").alias("words"), F.expr("forall(pieces, x -> x.words <= _max)").alias("fits"), shared.alias("shared"))
+    return facts.distinct()
+
+
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(_table(spark, sf_dir, "documents"))
 
@@ -153,6 +163,13 @@ wrong as (select distinct session_id from seen where (before is null and kind =
 select session_id from named where session_id in (select session_id from bad) or session_id in (select session_id from wrong) or session_id not in (select session_id from kept)""",
     "p5_found": f"""select distinct tab, rec_key from (select tab, rec_key, len(regexp_extract_all(coalesce(text, ''), '{_WORDS}')) as n, case when lower(doc_type) in (select lower(doc_type) from chunk_profile) then lower(doc_type) else 'txt' end as kind from ({_RECORDS})) r
 join chunk_profile p on lower(p.doc_type) = kind where n > max_tokens""",
+    "p3_conversations": """with m as (select *, case lower(regexp_replace(role, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) when 'human' then 'human' when 'user' then 'human' when 'ai' then 'ai' when 'assistant' then 'ai' when 'system' then 'system' when 'tool' then 'tool' end as kind from messages where session_id is not null),
+bad as (select distinct session_id from m where created_at is null or kind is null),
+kept as (select session_id, role, kind, content, created_at, min(id) as id from m where kind in ('human', 'ai') and created_at is not null and coalesce(regexp_replace(content, '[\\s\\x1c-\\x1f\\x{85}\\p{Z}]+', '', 'g'), '') <> '' group by all),
+placed as (select *, row_number() over w as seq, (count(*) filter (kind = 'human') over w)::bigint as exchange from kept window w as (partition by session_id order by created_at, id, role, md5(content) rows between unbounded preceding and current row)),
+fine as (select session_id from (select session_id, exchange, count(*) as n from placed group by all) group by session_id having bool_and(exchange > 0 and n > 1))
+select session_id, seq, exchange, id, kind as role, content, created_at from placed where session_id in (select session_id from fine) and session_id not in (select session_id from bad)""",
+    "p5_coverage": f"""select distinct tab, rec_key, n::int as words, true as fits, true as shared from (select tab, rec_key, len(regexp_extract_all(text, '{_WORDS}')) as n from ({_RECORDS}) where text is not null and rec_key is not null) where n > 0""",
     "p7_found": f"""with i as (select item_id, {_TERMS.format("passage")} as w from eval_items where passage is not null), d as (select doc_id, {_TERMS.format("text")} as w from documents where text is not null),
 gi as materialized (select distinct item_id, array_to_string(w[k : k + 11], ' ') as g from (select *, unnest(range(1, len(w) - 10)) as k from i where len(w) >= 12)),
 gd as (select doc_id, array_to_string(w[k : k + 11], ' ') as g from (select *, unnest(range(1, len(w) - 10)) as k from d where len(w) >= 12))
@@ -161,7 +178,7 @@ select distinct doc_id, item_id from gd join gi using (g)""",
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_statistics, p3_found, p3_conversations, p4_found, p4_text, p5_found, p5_pieces, p6_containers, p7_found, p7_removed, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_statistics, p3_found, p3_conversations, p4_found, p4_text, p5_found, p5_pieces, p5_coverage, p6_containers, p7_found, p7_removed, p8_found, p8_restored)}
 
 
 def oracle_sql() -> dict[str, str]:

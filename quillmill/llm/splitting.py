@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.functions.termhash import codes_of
+from quillmill.functions.termhash import codes_of, small_batches
 
 #: Characters that end a sentence, and closing marks that may follow them.
 _ENDS = ".!?。！？…"
@@ -125,24 +125,32 @@ def cuts(text: Column, limit: Column, overlap: Column, floor: Column) -> Column:
 
     @F.arrow_udf(CUT_TYPE)
     def run(text: pa.Array, limit: pa.Array, overlap: pa.Array, floor: pa.Array) -> pa.Array:
-        numbers = [x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (limit, overlap, floor)]
-        return cut_texts(["" if t is None else t for t in text.to_pylist()], *numbers)
+        # Texts are cut a few at a time, so that memory stays flat.
+        parts = []
+        for batch in small_batches([pa.RecordBatch.from_arrays([text, limit, overlap, floor], ["text", "limit", "overlap", "floor"])], 0):
+            numbers = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2, 3)]
+            parts.append(cut_texts(["" if t is None else t for t in batch.column(0).to_pylist()], *numbers))
+        return pa.concat_arrays(parts) if parts else cut_texts([], *(np.zeros(0, dtype=np.int64) for _ in range(3)))
 
     return run(text, limit, overlap, floor)
 
 
+#: What has no limit counts as this long.
+UNLIMITED = 1 << 40
+
+
 def with_profile(records: DataFrame, profile: DataFrame, default: str = "txt") -> DataFrame:
-    """Add max_tokens, overlap_tokens and min_tokens of each record's doc_type.
+    """Add max_tokens, overlap_tokens and min_tokens of each record's doc_type, as _max, _overlap and _min.
 
-    doc_type is compared in lower case; a null or unknown one takes the row of `default`.  The profile
-    is a small dimension table; Spark broadcasts it if its size allows.
+    doc_type is compared in lower case; a null or unknown one takes the row of `default`, and has no limit where there is none.  Of several rows of
+    one type the least counts.  The profile is a small dimension table; Spark broadcasts it if its size allows.
     """
-    p = profile.select(F.lower("doc_type").alias("_type"), F.col("max_tokens").alias("_max"), F.col("overlap_tokens").alias("_overlap"), F.col("min_tokens").alias("_min"))
-    # One row of known types decides which doc_types are unknown; it holds distinct profile types only.
-    known = p.agg(F.collect_set("_type").alias("_known"))
-    kind = F.lower(F.col("doc_type"))
-    typed = records.crossJoin(F.broadcast(known)).withColumn("_type", F.when(F.array_contains("_known", kind), kind).otherwise(F.lit(default))).drop("_known")
-    return typed.join(p, "_type").drop("_type")
+    p = profile.select(F.lower("doc_type").alias("_type"), F.struct(F.col("max_tokens").alias("_max"), F.col("overlap_tokens").alias("_overlap"), F.col("min_tokens").alias("_min")).alias("_p"))
+    p = p.where("_type is not null").groupBy("_type").agg(F.min("_p").alias("_p"))
+    fallback = p.where(F.col("_type") == default).first()
+    own = [F.lit(v).cast("bigint") for v in (fallback["_p"] if fallback else (UNLIMITED, 0, 0))]
+    typed = records.withColumn("_type", F.lower("doc_type")).join(p, "_type", "left").drop("_type")
+    return typed.withColumns({n: F.when(F.col("_p").isNull(), v).otherwise(F.col(f"_p.{n}").cast("bigint")) for n, v in zip(("_max", "_overlap", "_min"), own)}).drop("_p")
 
 
 def split_records(records: DataFrame, profile: DataFrame) -> DataFrame:
@@ -151,4 +159,4 @@ def split_records(records: DataFrame, profile: DataFrame) -> DataFrame:
     Null and blank texts have no pieces; a text within its limit has one.  Repeated records are each cut (alike).
     """
     limits = with_profile(records, profile)
-    return limits.withColumn("pieces", cuts(F.col("text"), F.col("_max").cast("long"), F.coalesce(F.col("_overlap"), F.lit(0)).cast("long"), F.coalesce(F.col("_min"), F.lit(0)).cast("long")))
+    return limits.withColumn("pieces", cuts(F.col("text"), F.coalesce("_max", F.lit(UNLIMITED)), F.coalesce("_overlap", F.lit(0).cast("bigint")), F.coalesce("_min", F.lit(0).cast("bigint"))))

@@ -53,6 +53,11 @@ def test_split_records(spark):
     got = {r.rec_key: [p["words"] for p in r.pieces] for r in split_records(df, profile).collect()}
     assert got["a"] == [4, 3] and got["b"] == [2, 1] and got["c"] == got["d"] == [4, 2] and got["e"] == got["f"] == []
     assert len(got["g"]) == 33_333 and split_records(df.limit(0), profile).count() == 0
+    # Without a row for unknown types these have no limit; of two rows of a type the least counts; no profile loses no record.
+    other = spark.createDataFrame([("csv", 3, 0, 0), ("CSV", 2, 0, 0), (None, 1, 0, 0)], "doc_type string, max_tokens int, overlap_tokens int, min_tokens int")
+    got = {r.rec_key: [p["words"] for p in r.pieces] for r in split_records(df, other).collect()}
+    assert got["b"] == [2, 1] and got["c"] == [5] and got["g"] == [100_000]
+    assert split_records(df, other.limit(0)).count() == len(rows)
 
 
 @settings(max_examples=60, deadline=None)
