@@ -122,6 +122,11 @@ def p7_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
 
 
+def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every leaking document how many terms are removed, and whether it is dropped whole."""
+    return p7_removed(spark, sf_dir).select("doc_id", "removed", "dropped")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrongly_decoded(_table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
@@ -174,11 +179,16 @@ select session_id, seq, exchange, id, kind as role, content, created_at from pla
 gi as materialized (select distinct item_id, array_to_string(w[k : k + 11], ' ') as g from (select *, unnest(range(1, len(w) - 10)) as k from i where len(w) >= 12)),
 gd as (select doc_id, array_to_string(w[k : k + 11], ' ') as g from (select *, unnest(range(1, len(w) - 10)) as k from d where len(w) >= 12))
 select distinct doc_id, item_id from gd join gi using (g)""",
+    "p7_counts": f"""with i as (select {_TERMS.format("passage")} as w from eval_items where passage is not null), d as (select doc_id, {_TERMS.format("text")} as w from documents where text is not null),
+gi as materialized (select distinct array_to_string(w[k : k + 11], ' ') as g from (select *, unnest(range(1, len(w) - 10)) as k from i where len(w) >= 12)),
+gd as (select doc_id, len(w) as n, k, array_to_string(w[k : k + 11], ' ') as g from (select *, unnest(range(1, len(w) - 10)) as k from d where len(w) >= 12)),
+t as (select distinct doc_id, n, unnest(range(k, k + 12)) as at_ from gd join gi using (g))
+select doc_id, count(*) as removed, count(*) > 0.5 * n as dropped from t group by doc_id, n""",
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_statistics, p3_found, p3_conversations, p4_found, p4_text, p5_found, p5_pieces, p5_coverage, p6_containers, p7_found, p7_removed, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_statistics, p3_found, p3_conversations, p4_found, p4_text, p5_found, p5_pieces, p5_coverage, p6_containers, p7_found, p7_removed, p7_counts, p8_found, p8_restored)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -26,7 +26,7 @@ def test_longest_matches(passages, stream, least):
     for end, _, at in got:
         run = tuple(stream[end - least : end])
         holders = {k for k, p in enumerate(passages) if any(tuple(p[i : i + least]) == run for i in range(len(p)))}
-        assert set(index.items[index.short[at]]) == holders
+        assert set(index.items_of(index.short[at])) == holders
     assert len(SuffixAutomaton().next) == 1
 
 
@@ -49,8 +49,8 @@ def data(spark):
 
 def test_leaks_equal_brute_force(spark):
     docs, items, d, i = data(spark)
-    for block in (10**6, 70):
-        got = {(r.doc_id, r.item_id) for r in leaks(d, i, min_terms=6, block_terms=block).collect()}
+    for block, size in ((10**6, 1 << 28), (70, 1 << 28), (70, 1)):  # one automaton; several in one pass; each in a pass of its own
+        got = {(r.doc_id, r.item_id) for r in leaks(d, i, min_terms=6, block_terms=block, pass_bytes=size).collect()}
         grams = {}
         for key, passage in items:
             t = TERM.findall((passage or "").lower())
@@ -62,11 +62,15 @@ def test_leaks_equal_brute_force(spark):
 
 def test_removal(spark):
     passage = " ".join(f"p{i}" for i in range(20))
-    docs = [(1, "Intro words here " * 10 + "P0, " + passage[3:] + ". The end."), (2, passage), (3, "clean"), (4, None), (5, "İ " + passage)]
-    got = {r.doc_id: r for r in remove_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, passage)], "item_id long, passage string")).collect()}
-    assert set(got) == {1, 2, 5}
-    assert got[1].clean_text == "Intro words here " * 10 + ". The end." and got[1].removed == 20 and not got[1].dropped
-    assert got[2].dropped and got[2].clean_text is None and got[5].dropped
+    docs = [(1, "Intro words here " * 10 + "P0, " + passage[3:] + ". The end."), (2, passage), (3, "clean"), (4, None), (5, "İİ Intro İ " * 30 + passage.replace("p3", "P3") + " İ end")]
+    spark_docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, passage), (8, passage + " more"), (9, "x " + passage)], "item_id long, passage string")
+    for size in (1 << 28, 1):
+        got = {r.doc_id: r for r in remove_leaks(spark_docs, items, block_terms=25, pass_bytes=size).collect()}
+        assert set(got) == {1, 2, 5}
+        assert got[1].clean_text == "Intro words here " * 10 + ". The end." and got[1].removed == 20 and not got[1].dropped
+        assert got[2].dropped and got[2].clean_text is None
+        # Letters whose lower case is longer move no span.
+        assert got[5].clean_text == "İİ Intro İ " * 30 + " İ end" and not got[5].dropped
 
 
 def test_empty(spark):
