@@ -3,9 +3,10 @@
 A text is taken as its words (runs without ASCII white space) that hold a character beyond ASCII or an escape.  A state of
 the search is the tuple of these words; a step encodes each word with one character set and decodes it with another, or
 unescapes it, and leaves words alone that it cannot turn.  The cost of a state is the sum of its characters' implausibility
-(what they are and what they stand next to) plus a charge for each step taken.  The cheapest open state is expanded
-first, states seen before are dropped by their hash, and the search ends when several expansions in a row bring nothing
-cheaper.  A text with no implausible character is not searched.
+(what they are and what they stand next to) plus a charge for each step taken.  The open state that may lead to the cheapest
+reading is expanded first: what a word can cost at the least, over all steps that may follow, is known for each word by itself, and the sum of these is never more
+than any reading costs.  States seen before are dropped by their hash, and the search ends when no open state can lead to a cheaper reading than the best one, so nothing
+within the steps is missed.  A text with no implausible character is not searched.
 """
 
 from __future__ import annotations
@@ -15,21 +16,23 @@ import html
 import itertools
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.functions.termhash import small_batches
+
 # Single-byte character sets that texts are confused with.
 WRONG = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "iso8859-2", "iso8859-15", "koi8_r", "cp866")
 RIGHT = ("utf-8", "cp1252", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "iso8859-2", "koi8_r", "cp866")
 
 #: Charge for a step: valid UTF-8 hardly comes about by chance, other readings do.
 STEP_UTF8, STEP_SINGLE, STEP_ESCAPE = 1.0, 3.5, 1.0
-#: Words that steer the search (the most implausible ones); the steps found are applied to all.
+#: Words that are searched together (the most implausible ones, then the next); the steps found are applied to all.
 PROBE = 32
-MAX_STEPS, PATIENCE, MAX_EXPANSIONS = 5, 6, 40
 #: A reading is taken only if it lowers the cost by this much.
 LEAST_GAIN = 1.5
 #: A character with this cost makes a text worth searching.
@@ -200,12 +203,29 @@ def _better(word: str, step: int) -> str:
     return there if there is word or word_cost(there)[0] <= word_cost(word)[0] + 1e-9 else word
 
 
-def _next_steps(path: tuple[int, ...]) -> list[int]:
-    """Steps that may follow: text goes wrong again and again as UTF-8, but only once between single-byte sets."""
-    if not path:
-        return list(range(len(STEPS)))
-    single = any(_charge(s) == STEP_SINGLE for s in path)
-    return [s for s in range(len(STEPS)) if _charge(s) != STEP_SINGLE and not (single and STEPS[s][1] == "utf-8")]
+@lru_cache(maxsize=200_000)
+def _least(word: str, mode: int) -> float:
+    """The least cost of any reading of a word by the steps that may follow: all (0), those that come after a UTF-8 step or an escape (1), or after a single-byte step (2)."""
+    least, seen, todo = word_cost(word)[0], {(word, mode)}, [(word, mode)]
+    while todo and least > 0:
+        now, before = todo.pop()
+        for step in _FOLLOW[before]:
+            there = _better(now, step)
+            state = (there, _mode(before, step))
+            if there is not now and there != now and state not in seen:
+                seen.add(state)
+                least = min(least, word_cost(there)[0])
+                todo.append(state)
+    return least
+
+
+def _mode(before: int, step: int) -> int:
+    return 2 if before == 2 or _CHARGES[step] == STEP_SINGLE else 1
+
+
+_CHARGES = [_charge(s) for s in range(len(STEPS))]
+#: Steps by what came before: text goes wrong again and again as UTF-8, but only once, and then last, between single-byte sets.
+_FOLLOW = (list(range(len(STEPS))), [s for s in range(len(STEPS)) if _CHARGES[s] != STEP_SINGLE], [s for s in range(len(STEPS)) if STEPS[s][0] == "escape"])
 
 
 def _strangest(word: str) -> tuple[float, float, str]:
@@ -214,32 +234,32 @@ def _strangest(word: str) -> tuple[float, float, str]:
 
 
 def search(words: list[str]) -> tuple[list[int], float]:
-    """The steps that lead to the cheapest reachable reading, and how much they lower the cost."""
+    """The steps that lead to the cheapest reachable reading of the strangest words, and how much they lower the cost."""
     start = tuple(sorted(words, key=_strangest)[:PROBE])
     origin = _cost(start)
-    heap = [(origin, 0, start, ())]
-    seen, tick, idle = {hash(start)}, 0, 0
-    best, best_path = origin, ()
-    for _ in range(MAX_EXPANSIONS):
-        if not heap or idle >= PATIENCE:
-            break
-        _, _, state, path = heapq.heappop(heap)
-        idle += 1
-        if len(path) >= MAX_STEPS:
-            continue
-        charged = sum(map(_charge, path))
-        for step in _next_steps(path):
+    bound = lambda state, mode: sum([_least(w, mode) for w in state])
+    # The first step is charged, too; where no reading is so much cheaper there is nothing to seek.
+    if origin - bound(start, 0) <= min(STEP_ESCAPE, STEP_UTF8):
+        return [], 0.0
+    best, best_path, tick = origin, (), itertools.count()
+    heap = [(bound(start, 0), next(tick), 0.0, 0, start, ())]
+    seen = {(hash(start), 0)}
+    while heap and heap[0][0] < best - 1e-9:
+        _, _, charged, mode, state, path = heapq.heappop(heap)
+        for step in _FOLLOW[mode]:
+            spent = charged + _CHARGES[step]
+            if spent >= best - 1e-9:
+                continue
             there = tuple([_better(w, step) for w in state])
-            key = hash(there)
-            if key in seen:
+            after = _mode(mode, step)
+            if there == state or (key := (hash(there), after)) in seen:
                 continue
             seen.add(key)
-            cost = _cost(there) + charged + _charge(step)
+            cost = _cost(there) + spent
             if cost < best - 1e-9:
-                best, best_path, idle = cost, (*path, step), 0
-            if cost < origin + STEP_SINGLE:
-                tick += 1
-                heapq.heappush(heap, (cost, tick, there, (*path, step)))
+                best, best_path = cost, (*path, step)
+            if (least := bound(there, after) + spent) < best - 1e-9:
+                heapq.heappush(heap, (least, next(tick), spent, after, there, (*path, step)))
     return list(best_path), origin - best
 
 
@@ -292,32 +312,28 @@ def _lost(word: str) -> bool:
     return any(k == "Z" for k in kinds)
 
 
-REPAIR_TYPE = "struct<text:string,steps:array<string>,whole:boolean>"
-
-
-def repaired(text: Column) -> Column:
-    """Column with the restored text, the steps and whether it is whole; null for texts that were decoded rightly."""
-
-    @F.arrow_udf(REPAIR_TYPE)
-    def run(texts: pa.Array) -> pa.Array:
-        known: dict[str | None, tuple | None] = {}
-        rows = []
-        for t in texts.to_pylist():
-            if t not in known:
-                known[t] = repair(t)
-            r = known[t]
-            rows.append(None if r is None else {"text": r[0].encode("utf-8", "replace").decode(), "steps": r[1], "whole": r[2]})
-        return pa.array(rows, pa.struct([("text", pa.string()), ("steps", pa.list_(pa.string())), ("whole", pa.bool_())]))
-
-    return run(text)
-
-
 def wrongly_decoded(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, restored, steps, whole): every document with a stretch that was decoded wrongly.
 
     Null and empty texts, null ids and texts with nothing implausible are in no row.  Rows repeated under one id
     give equal rows; they are made one.  Other columns are not read.
     """
-    rows = documents.select(F.col(id_col), F.col(text_col).cast("string").alias("_text")).where(F.col(id_col).isNotNull())
-    found = rows.withColumn("_r", repaired(F.col("_text"))).where("_r is not null")
-    return found.select(id_col, F.col("_r.text").alias("restored"), F.array_join("_r.steps", "; ").alias("steps"), F.col("_r.whole").alias("whole")).distinct()
+    rows = documents.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).where("_id is not null and _text is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 1, 1 << 22):
+            known: dict[str, tuple | None] = {}
+            at, got = [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                if text not in known:
+                    known[text] = repair(text)
+                if known[text] is not None:
+                    at.append(row)
+                    got.append(known[text])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at, pa.int64())), pa.array([g[0].encode("utf-8", "replace").decode() for g in got], pa.string()), pa.array(["; ".join(g[1]) for g in got], pa.string()), pa.array([g[2] for g in got], pa.bool_())],
+                ["_id", "restored", "steps", "whole"],
+            )
+
+    found = rows.mapInArrow(run, f"_id {documents.schema[id_col].dataType.simpleString()}, restored string, steps string, whole boolean")
+    return found.select(F.col("_id").alias(id_col), "restored", "steps", "whole").distinct()

@@ -68,3 +68,27 @@ def test_a_stretch_left_garbled_is_not_whole():
     text = good.encode().decode("cp1252") + " GemÃ¤Ã GrÃ¶Ãe schlieÃt"
     fixed, _, whole = repair(text)
     assert fixed.startswith(good) and "GrÃ¶Ãe" in fixed and not whole
+
+
+def test_search_equals_trying_every_path():
+    """No path of up to three steps leads to a cheaper reading than the search finds."""
+    from quillmill.llm import encoding_repair as E
+
+    def cheapest(words):
+        best, level = E._cost(words), [(words, 0.0, 0)]
+        for _ in range(3):
+            after = []
+            for state, spent, mode in level:
+                for step in E._FOLLOW[mode]:
+                    there = tuple(E._better(w, step) for w in state)
+                    if there != state:
+                        after.append((there, spent + E._charge(step), E._mode(mode, step)))
+                        best = min(best, E._cost(there) + after[-1][1])
+            level = after
+        return best
+
+    broken = [GOOD[0].encode().decode("cp1252"), GOOD[5].encode("koi8_r").decode("cp1251"), GOOD[1].encode("cp1252").decode("cp437"), "GemÃƒÂ¤lde &amp;eacute; Â§ Ã", "Ã±Ã³&nbsp;\\u00e9", GOOD[6], "б ǂб ж²x"]
+    for text in broken:
+        words = tuple(sorted(set(E._WORD.findall(text)), key=E._strangest)[:4])
+        _, gain = E.search(list(words))
+        assert abs(E._cost(words) - gain - cheapest(words)) < 1e-6, text
