@@ -97,10 +97,10 @@ class Maker:
             text = self.fill(r.choice(("A N", "A N N", "A N x #", "A N, A", "A N for the N", "A N (P)", "N", "V N-s")))
         return text[:1].upper() + text[1:] if r.random() < 0.4 else text
 
-    def other(self) -> list[str]:
+    def other(self, kind: int | None = None) -> list[str]:
         r, n = self.r, self.r.randint(2, 12)
         word = lambda: r.choice((*self.nouns, *self.adjectives, *self.names))
-        kind = r.randrange(19)
+        kind = r.randrange(19) if kind is None else kind
         if kind in (0, 1):
             mark = r.choice(("- ", "* ", "• ", "+ ", "#) ", "#. ", "@) "))
             return [mark.replace("#", str(i + 1)).replace("@", "abcdefghijkl"[i]) + self.item() for i in range(n)]

@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions.termhash import Terms, codes_of, mix64, small_batches
-from quillmill.llm.scan_samples import BODY, FURNITURE, labelled_pages
-from quillmill.plans.vectors import Shipped, fold_vectors
+from quillmill.llm.scan_samples import BODY, FURNITURE, labelled_listings, labelled_pages
+from quillmill.plans.vectors import Shipped, fold_counts
 
 #: Labelled pages for the line model, and their seed.
 TRAINING_PAGES, TRAINING_SEED = 400, 5
-#: Cells of the word-count sketch: two rows of 2 ** SKETCH_BITS, whatever the size of the data.
-SKETCH_BITS = 21
+#: Characters of text for each cell of a row of the word-count sketch, and the least and most cells (powers of two) of each of its two rows.
+CELL_CHARS, LEAST_CELLS, MOST_CELLS = 64, 16, 24
 
 BREAK = 2
 _HYPHENS = "-¬\xad‐"
@@ -175,103 +175,144 @@ def _symbols_and_keys(lines: list[str]) -> tuple[list[tuple[int, ...] | None], d
     return out, keys
 
 
+#: What the other copies of a line and the pages around it say, for lines that the first decoding takes for furniture (0: all others).
+_CANNOT, _NUMBER_APART, _NUMBER_CLOSE, _TITLE_HELD, _TITLE_LOOSE, _TITLE_CLOSE, _LONE_EXPLICIT, _LONE_PAGED, _LONE, _CROWDED = range(1, 11)
+
+
 class LineModel:
-    """Hidden Markov model with states body, furniture and break; each feature is drawn by itself."""
+    """Hidden Markov model with states body, furniture and break; each feature is drawn by itself.
+
+    Files are decoded twice.  The first decoding goes by the layout of lines.  Its furniture tells where pages lie, and from that
+    each line gets one symbol (`evidence`), whose probabilities are estimated on the same labelled pages and on as many listings.  The second decoding, of these
+    symbols, gives the labels.
+    """
 
     SIZES = (12, 3, 4, 4, 2, 2, 2, 2, 2)
+    EVIDENCE = 11
 
-    def __init__(self, pages: list[tuple[list[str], list[int]]]):
+    def __init__(self, pages: list[tuple[list[str], list[int]]], listings: list[tuple[list[str], list[int]]]):
         emit = [np.full((2, n), 0.5) for n in self.SIZES]
         move = np.full((3, 3), 0.5)
-        for lines, labels in pages:
+        seen = [_symbols_and_keys(lines) for lines, _ in pages]
+        for (symbols, _), (_, labels) in zip(seen, pages):
             last = BREAK
-            for symbol, label in zip(line_symbols(lines), labels):
+            for symbol, label in zip(symbols, labels):
                 state = BREAK if symbol is None else label
                 move[last, state] += 1
                 last = state
                 if symbol is not None:
                     for table, value in zip(emit, symbol):
                         table[label, value] += 1
-        self.emit = [np.log(t / t.sum(axis=1, keepdims=True)).tolist() for t in emit]
-        self.move = np.log(move / move.sum(axis=1, keepdims=True)).tolist()
-
-    def label(self, symbols: list[tuple[int, ...] | None]) -> list[int]:
-        """The likeliest states (Viterbi)."""
-        score, back = {BREAK: 0.0}, []
-        for s in symbols:
-            states = (BREAK,) if s is None else (BODY, FURNITURE)
-            now, came = {}, {}
-            for state in states:
-                own = 0.0 if s is None else sum(t[state][v] for t, v in zip(self.emit, s))
-                came[state] = max(score, key=lambda p: score[p] + self.move[p][state])
-                now[state] = score[came[state]] + self.move[came[state]][state] + own
+        logs = lambda t: np.log(t / t.sum(axis=1, keepdims=True)).tolist()
+        self.emit, self.move = [logs(t) for t in emit], logs(move)
+        told = np.full((2, self.EVIDENCE), 0.5)
+        for (symbols, keys), (lines, labels) in zip([*seen, *(_symbols_and_keys(lines) for lines, _ in listings)], [*pages, *listings]):
+            for symbol, what, label in zip(symbols, evidence(lines, symbols, keys, self._first(symbols)), labels):
+                if symbol is not None:
+                    told[label, what] += 1
+        self.told = logs(told)
+
+    def _layout(self, symbol: tuple[int, ...]) -> tuple[float, float]:
+        return sum([t[BODY][v] for t, v in zip(self.emit, symbol)]), sum([t[FURNITURE][v] for t, v in zip(self.emit, symbol)])
+
+    def _first(self, symbols: list[tuple[int, ...] | None]) -> list[int]:
+        return self._decoded([None if s is None else self._layout(s) for s in symbols])
+
+    def _decoded(self, own: list[tuple[float, float] | None]) -> list[int]:
+        """The likeliest states (Viterbi) where each line has a log likelihood as body and as furniture; None is a break."""
+        move, nothing = self.move, float("-inf")
+        score = [nothing, nothing, 0.0]  # a file begins behind a break
+        back: list[list[int]] = []
+        for at in own:
+            now, came = [nothing] * 3, [0] * 3
+            for state in (BREAK,) if at is None else (BODY, FURNITURE):
+                came[state] = max(range(3), key=lambda p: score[p] + move[p][state])
+                now[state] = score[came[state]] + move[came[state]][state] + (0.0 if at is None else at[state])
             score = now
             back.append(came)
-        if not back:
-            return []
-        path = [max(score, key=score.get)]
-        for came in reversed(back[1:]):
-            path.append(came[path[-1]])
+        state, path = max(range(3), key=score.__getitem__), []
+        for came in reversed(back):
+            path.append(state)
+            state = came[state]
         return path[::-1]
 
     def labels(self, lines: list[str]) -> list[int]:
-        """The state of each line, as far as it fits the way pages are made.
-
-        Copies of a running header or of a page number lie a page apart; what stands closer together is a list or a menu.  Where they do
-        not lie evenly each copy is judged by itself (_page_apart).  A line that has no copy counts only as an explicit page number or in
-        a file that has other furniture.
-        """
+        """The state of each line."""
         symbols, keys = _symbols_and_keys(lines)
-        out = self.label(symbols)
-        places: dict[str, list[int]] = defaultdict(list)
-        for i, x in enumerate(out):
-            if x == FURNITURE:
-                if _may_repeat(lines[i]):
-                    places[keys.get(i, "")].append(i)
-                out[i] = BODY
-        text = [x.strip() for x in lines]
-        width = median([len(x) for x in text if x] or [0])
-        numbers, titles, alone, uneven = set(), [], [], []
-        for at in places.values():
-            gaps = [b - a for a, b in itertools.pairwise(at)]
-            if not gaps:
-                alone += at
-                continue
-            # The last page may be short, which brings its number close to the one before.
-            full = gaps[:-1] or gaps
-            if min(full) >= 6 and max(gaps) <= 3 * min(full) or len(gaps) == 1 and _EXPLICIT.fullmatch(text[at[0]]):
-                if symbols[at[0]][0] % 4:
-                    numbers.update(at)
-                else:
-                    titles.append(at)
+        first = self._first(symbols)
+        if FURNITURE not in first:
+            return first
+        return self._decoded([None if s is None else (self.told[BODY][what], self.told[FURNITURE][what]) for s, what in zip(symbols, evidence(lines, symbols, keys, first))])
+
+
+def evidence(lines: list[str], symbols: list[tuple[int, ...] | None], keys: dict[int, str], first: list[int]) -> list[int]:
+    """What speaks for each line that the first decoding takes for furniture.
+
+    Copies of a running header or of a page number lie a page apart; what stands closer together is a list or a menu.  Where they do
+    not lie evenly each copy is looked at by itself (_page_apart).  A header breaks into a sentence or stands by a page number.  A line that has no copy fits
+    where it stands beside other furniture or a page's length from it.
+    """
+    out = [0] * len(lines)
+    places: dict[str, list[int]] = defaultdict(list)
+    for i, x in enumerate(first):
+        if x == FURNITURE:
+            if _may_repeat(lines[i]):
+                places[keys.get(i, "")].append(i)
             else:
-                form = symbols[at[0]][0] % 4
-                good = _page_apart(at, [_page_number(text[i], form) for i in at] if form else None, form == 1)
-                if form:
-                    numbers.update(good)
-                else:
-                    uneven.append((at, good))
-        # A copy beside a page number is a header, however near the next one is.
-        for at, good in uneven:
-            if good := [i for i in at if i in good or any(j in numbers for j in range(i - 3, i + 4))]:
-                titles.append(good)
-        kept = set(numbers)
-        for at in titles:
-            # A header breaks into a sentence, or stands by a page number.
-            before = [next((text[j] for j in range(i - 1, max(-1, i - 5), -1) if text[j] and j not in numbers), "") for i in at]
-            after = [next((text[j] for j in range(i + 1, min(len(text), i + 5)) if text[j] and j not in numbers), "") for i in at]
-            cut = sum(bool(b) and not _END.search(b) and len(b) > max(25, 0.55 * width) and (a[:1].islower() or len(a) > max(25, 0.55 * width)) for b, a in zip(before, after))
-            if cut >= 0.3 * len(at) and not _is_passage(text, at, width) or any(j in numbers for i in at for j in range(i - 3, i + 4)):
-                kept.update(at)
-        # Once a file has pages, a lone line (a damaged copy, say) fits beside other furniture or a page's length from it.
-        paged = set(kept)
-        for i in alone:
-            near = min((abs(i - j) for j in paged), default=None)
-            if _EXPLICIT.fullmatch(text[i]) or near is not None and (near <= 3 or near >= 6):
-                kept.add(i)
-        for i in kept:
-            out[i] = FURNITURE
-        return out
+                out[i] = _CANNOT
+    text = [x.strip() for x in lines]
+    width = median([len(x) for x in text if x] or [0])
+    numbers, titles, alone, uneven = set(), [], [], []
+    for at in places.values():
+        gaps = [b - a for a, b in itertools.pairwise(at)]
+        if not gaps:
+            alone += at
+            continue
+        form = symbols[at[0]][0] % 4
+        # The last page may be short, which brings its number close to the one before.
+        full = gaps[:-1] or gaps
+        if min(full) >= 6 and max(gaps) <= 3 * min(full) or len(gaps) == 1 and _EXPLICIT.fullmatch(text[at[0]]):
+            if form:
+                numbers.update(at)
+                for i in at:
+                    out[i] = _NUMBER_APART
+            else:
+                titles.append(at)
+            continue
+        good = _page_apart(at, [_page_number(text[i], form) for i in at] if form else None, form == 1)
+        if form:
+            numbers.update(good)
+            for i in at:
+                out[i] = _NUMBER_APART if i in good else _NUMBER_CLOSE
+        else:
+            uneven.append((at, good))
+    # A copy beside a page number is a header, however near the next one is.
+    for at, good in uneven:
+        held = [i for i in at if i in good or any(j in numbers for j in range(i - 3, i + 4))]
+        for i in set(at) - set(held):
+            out[i] = _TITLE_CLOSE
+        if held:
+            titles.append(held)
+    paged = set(numbers)
+    for at in titles:
+        before = [next((text[j] for j in range(i - 1, max(-1, i - 5), -1) if text[j] and j not in numbers), "") for i in at]
+        after = [next((text[j] for j in range(i + 1, min(len(text), i + 5)) if text[j] and j not in numbers), "") for i in at]
+        cut = sum(bool(b) and not _END.search(b) and len(b) > max(25, 0.55 * width) and (a[:1].islower() or len(a) > max(25, 0.55 * width)) for b, a in zip(before, after))
+        held = cut >= 0.3 * len(at) and not _is_passage(text, at, width) or any(j in numbers for i in at for j in range(i - 3, i + 4))
+        for i in at:
+            out[i] = _TITLE_HELD if held else _TITLE_LOOSE
+        if held:
+            paged.update(at)
+    for i in alone:
+        near = min((abs(i - j) for j in paged), default=None)
+        out[i] = _LONE_EXPLICIT if _EXPLICIT.fullmatch(text[i]) else _LONE_PAGED if near is not None and (near <= 3 or near >= 6) else _LONE
+    # Many such lines one after the other, blank ones between them or not, are a menu or a table.
+    known = [i for i, x in enumerate(first) if x != BREAK]
+    for is_run, run in itertools.groupby(known, key=lambda i: first[i] == FURNITURE):
+        if is_run and len(run := list(run)) >= 4:
+            for i in run:
+                out[i] = _CROWDED
+    return out
 
 
 def _is_passage(text: list[str], at: list[int], width: float) -> bool:
@@ -328,19 +369,22 @@ def _page_apart(at: list[int], values: list[int | None] | None, explicit: bool)
 
 
 def line_model(pages: int = TRAINING_PAGES, seed: int = TRAINING_SEED) -> LineModel:
-    return LineModel(labelled_pages(pages, seed))
+    return LineModel(labelled_pages(pages, seed), labelled_listings(pages, seed + 1))
 
 
 class WordCounts:
-    """Count sketch of the terms of all texts, and of pairs of terms joined by a hyphen."""
+    """Count sketch of the terms of all texts, and of pairs of terms joined by a hyphen: two rows of equally many cells."""
 
     def __init__(self, cells: np.ndarray):
         self.cells = cells
+        self.bits = max(0, int(len(cells)).bit_length() - 2)
+        #: No word counts more than this, in any text.
+        self.top = int(cells.max(initial=0))
 
     @staticmethod
-    def _at(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mask = np.uint64((1 << SKETCH_BITS) - 1)
-        return (hashes & mask).astype(np.int64), ((hashes >> np.uint64(32)) & mask).astype(np.int64) + (1 << SKETCH_BITS)
+    def at(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        mask = np.uint64((1 << bits) - 1)
+        return (hashes & mask).astype(np.int64), ((hashes >> np.uint64(32)) & mask).astype(np.int64) + (1 << bits)
 
     @staticmethod
     def hyphened(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -348,15 +392,15 @@ class WordCounts:
             return mix64(a * np.uint64(0xD6E8FEB86659FD93) + b + np.uint64(45))
 
     @classmethod
-    def vector(cls, texts: list[str]) -> np.ndarray:
+    def cells_of(cls, texts: list[str], bits: int) -> np.ndarray:
+        """The cells that the terms of `texts` and their hyphened pairs add one to."""
         texts = [t.lower() for t in texts]
         terms = Terms(texts)
         codes, _ = codes_of(texts)
         gap = (terms.start[1:] - terms.end[:-1] == 1) & (codes[np.minimum(terms.end[:-1], len(codes) - 1)] == 45) if len(terms.start) > 1 else np.zeros(0, dtype=bool)
         pairs = np.flatnonzero(gap)
         every = np.concatenate([terms.hash, cls.hyphened(terms.hash[pairs], terms.hash[pairs + 1])]) if len(terms.hash) else terms.hash
-        low, high = cls._at(every)
-        return np.bincount(np.concatenate([low, high]), minlength=2 << SKETCH_BITS)
+        return np.concatenate(cls.at(every, bits))
 
     def of(self, words: list[str]) -> dict[str, int]:
         """Estimated count of each word: a term, or two terms with a hyphen between; anything else counts 0."""
@@ -368,21 +412,21 @@ class WordCounts:
             return out
         rest = parts[len(plain) :]
         every = np.concatenate([parts[: len(plain)], self.hyphened(rest[0::2], rest[1::2])])
-        low, high = self._at(every)
+        low, high = self.at(every, self.bits)
         out.update(zip(plain + joined, np.minimum(self.cells[low], self.cells[high]).tolist()))
         return out
 
 
 def word_counts(texts: DataFrame, text_col: str) -> np.ndarray:
-    """The cells of WordCounts over all rows of `texts`."""
+    """The cells of WordCounts over all rows of `texts`; there are as many as the amount of text asks for."""
+    rows = texts.select(F.col(text_col).cast("string").alias("t"))
+    chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
+    bits = min(MOST_CELLS, max(LEAST_CELLS, (chars // CELL_CHARS).bit_length()))
 
-    def vector(batch: pa.RecordBatch) -> np.ndarray:
-        total = np.zeros(2 << SKETCH_BITS, dtype=np.int64)
-        for part in small_batches([batch], 0, 1 << 22):
-            total += WordCounts.vector([t for t in part.column(0).to_pylist() if t])
-        return total
+    def cells(batch: pa.RecordBatch) -> np.ndarray:
+        return np.concatenate([WordCounts.cells_of([t for t in part.column(0).to_pylist() if t], bits) for part in small_batches([batch], 0, 1 << 22)])
 
-    return np.minimum(fold_vectors(texts.select(F.col(text_col).cast("string")), 2 << SKETCH_BITS, vector, dtype="int32"), (1 << 31) - 1)
+    return np.minimum(fold_counts(rows, 2 << bits, cells), (1 << 31) - 1).astype(np.int32)
 
 
 _TOKEN = re.compile(r"[^\s,.;:()\"“”„«»¿?/]+(?:[^\s]*[^\s,.;:()\"“”„«»?/])?")
@@ -392,17 +436,24 @@ _CUT = re.compile(rf"[^\W_][{_HYPHENS}][^\S\n]*\n\s*[^\s,.;:()\"“”„«»?!/
 _ODD = re.compile(r"[^\W\d_][0-9@+!|$]|[0-9@+!|$][^\W\d_]")
 
 
+def _plain(word: str) -> set[str]:
+    """The word with each sign put right in every way; where more than eight signs have two readings, all of a kind take the same one."""
+    if sum(len(_SIGNS.get(c, c)) > 1 for c in word) <= 8:
+        return {"".join(x) for x in itertools.product(*(_SIGNS.get(c, c) for c in word))}
+    kinds = sorted({c for c in word if len(_SIGNS.get(c, c)) > 1})
+    ways = ({**{c: x[0] for c, x in _SIGNS.items()}, **dict(zip(kinds, chosen))} for chosen in itertools.product(*(_SIGNS[c] for c in kinds)))
+    return {word.translate(str.maketrans(way)) for way in ways}
+
+
 @lru_cache(maxsize=100_000)
 def _readings(word: str) -> list[str]:
     """What may have been printed where a scanner read `word` (lower case): one confusion, or all its signs and one more."""
     signs = [c for c in word if c in _SIGNS]
     out: set[str] = set()
     if signs:
-        if len(signs) > 4:
-            return []
-        plain = {"".join(x) for x in itertools.product(*(_SIGNS[c] if c in _SIGNS else c for c in word))}
+        plain = _plain(word)
         # A mark at the end may be punctuation after all.
-        plain |= {"".join(x) for x in itertools.product(*(_SIGNS[c] if c in _SIGNS else c for c in word[:-1]))} if word[-1] == "!" and len(signs) > 1 else set()
+        plain |= _plain(word[:-1]) if word[-1] == "!" and len(signs) > 1 else set()
         out |= plain
         bases = plain
     else:
@@ -539,8 +590,8 @@ def examine(texts: list[str], model: LineModel, counts: WordCounts) -> list[tupl
         if s:
             wanted |= s.words()
     known = counts.of(list(wanted))
-    # Readings are asked for only where a word is rare or odd.
-    most = max(known.values(), default=0) / 25
+    # Readings are asked for only where a word is rare or odd: none counts 25 times as much as one that is more frequent.
+    most = counts.top / 25
     doubtful = {w: _readings(w) for w in wanted if not w.isalpha() or known.get(w, 0) <= most}
     known.update(counts.of([r for rs in doubtful.values() for r in rs if r not in known]))
     count = lambda w: known.get(w, 0)
@@ -592,7 +643,7 @@ def examine(texts: list[str], model: LineModel, counts: WordCounts) -> list[tupl
 def restored(scan: Scan, cut: dict, wrong: dict) -> str:
     """The text in continuous paragraphs, without furniture, cut words joined and misread words put right."""
     paragraphs: list[str] = []
-    text, glue, broken = "", "", False
+    text, glue = "", ""
     fixes: dict[int, list[tuple[str, str]]] = defaultdict(list)
     for (i, t), fix in wrong.items():
         if t:
@@ -622,7 +673,6 @@ def restored(scan: Scan, cut: dict, wrong: dict) -> str:
             continue
         text += ("" if glue or not text or line[:1] in ",.;:!?" and glue else " ") + line
         glue = ""
-    del broken
     if text:
         paragraphs.append(text)
     return "\n\n".join(paragraphs)

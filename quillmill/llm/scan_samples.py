@@ -100,7 +100,26 @@ def _plain(maker: Maker) -> tuple[list[str], list[int]]:
     return body, [BODY] * len(body)
 
 
+def _listing(maker: Maker) -> tuple[list[str], list[int]]:
+    """Menus, tables, code and the like, of few kinds and so with repeated lines."""
+    r, body = maker.r, []
+    kinds = r.sample(range(19), r.choice((1, 1, 2, 3)))
+    for _ in range(r.randint(2, 12)):
+        if body and r.random() < 0.4:
+            body.append("")
+        if r.random() < 0.15:
+            body += [maker.fill("A N N").title(), ""]
+        body += maker.other(r.choice(kinds)) if r.random() < 0.85 else _wrapped(maker, 70)
+    return body, [BODY] * len(body)
+
+
 def labelled_pages(count: int, seed: int = 5) -> list[tuple[list[str], list[int]]]:
     """(lines, label of each line); two of three texts come from a scanner."""
     maker = Maker(seed)
     return [(_scan if maker.r.random() < 0.67 else _plain)(maker) for _ in range(count)]
+
+
+def labelled_listings(count: int, seed: int = 6) -> list[tuple[list[str], list[int]]]:
+    """Texts whose lines look like furniture and are none."""
+    maker = Maker(seed)
+    return [_listing(maker) for _ in range(count)]
