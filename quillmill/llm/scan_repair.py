@@ -27,7 +27,7 @@ from quillmill.plans.vectors import Shipped, fold_counts
 #: Labelled pages for the line model, and their seed.
 TRAINING_PAGES, TRAINING_SEED = 400, 5
 #: Characters of text for each cell of a row of the word-count sketch, and the least and most cells (powers of two) of each of its two rows.
-CELL_CHARS, LEAST_CELLS, MOST_CELLS = 64, 16, 24
+CELL_CHARS, LEAST_CELLS, MOST_CELLS = 8, 16, 23
 
 BREAK = 2
 _HYPHENS = "-¬\xad‐"
@@ -527,7 +527,8 @@ def _parts(token: str) -> tuple[str, ...]:
         return ()
     token = token.strip("'’-—–")
     parts = re.split(r"[-’'–—]", token)
-    return tuple(p.lower() for p in parts if len(p) > 1 and any(c.isalpha() for c in p) and not _CODE.fullmatch(p))
+    # No word is longer than 40 letters; encoded data are.
+    return tuple(p.lower() for p in parts if 1 < len(p) <= 40 and any(c.isalpha() for c in p) and not _CODE.fullmatch(p))
 
 
 _INNER = re.compile(r"(?<![\w@+!|$-])(?=[\w@+!|$]*[a-z])(?:[A-Za-z]?[a-z]+[0159@+!6|$][a-z0159@+!6|$]*[a-z0159+@6]?|[0159@+!6][a-z]{2,})(?![\w-])")
