@@ -11,12 +11,14 @@ within the steps is missed.  A text with no implausible character is not searche
 
 from __future__ import annotations
 
+import codecs
 import heapq
 import html
 import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
+from contextlib import suppress
 from functools import lru_cache
 
 import pyarrow as pa
@@ -141,19 +143,20 @@ def word_cost(word: str) -> tuple[float, float]:
 
 
 @lru_cache(maxsize=None)
-def _to_byte(charset: str) -> dict[str, int]:
+def _to_byte(charset: str) -> dict[int, int]:
     table = {}
     for b in range(256):
         try:
-            table[bytes([b]).decode(charset)] = b
+            table[ord(bytes([b]).decode(charset))] = b
         except UnicodeDecodeError:
-            table[chr(b)] = b  # as programs do that decode byte for byte
+            table[b] = b  # as programs do that decode byte for byte
     return table
 
 
 @lru_cache(maxsize=None)
-def _from_byte(charset: str) -> list[str]:
-    return [bytes([b]).decode(charset, "replace") if charset == "latin-1" else _one(b, charset) for b in range(256)]
+def _from_byte(charset: str) -> str:
+    """The 256 characters of a single-byte set; bytes that it leaves open stand for the characters of their number."""
+    return "".join(_one(b, charset) for b in range(256))
 
 
 def _one(b: int, charset: str) -> str:
@@ -164,27 +167,31 @@ def _one(b: int, charset: str) -> str:
 
 
 STEPS: list[tuple[str, str]] = [("escape", "")] + [(w, r) for w in WRONG for r in RIGHT if w != r]
+#: By wrong set: the steps that encode with it, and what each decodes with.
+_BY_WRONG = [(w, [(n, r) for n, (x, r) in enumerate(STEPS) if x == w]) for w in WRONG]
+_TO_UTF8 = [(w, [(n, r) for n, r in rights if r == "utf-8"]) for w, rights in _BY_WRONG]
 
 
-@lru_cache(maxsize=400_000)
-def _turn(word: str, step: int) -> str:
-    """The word after one step, or as it was where the step does not apply."""
-    wrong, right = STEPS[step]
-    if wrong == "escape":
-        plain = html.unescape(word) if "&" in word else word
-        return re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), plain) if "\\u" in plain else plain
-    table = _to_byte(wrong)
-    try:
-        raw = bytes([table[c] for c in word])
-    except KeyError:
-        return word
-    if right == "utf-8":
+def _unescaped(word: str) -> str:
+    plain = html.unescape(word) if "&" in word else word
+    return re.sub(r"\\u([0-9a-fA-F]{4})", lambda m: chr(int(m[1], 16)), plain) if "\\u" in plain else plain
+
+
+def _turned(word: str, mode: int) -> Iterator[tuple[int, str]]:
+    """The word after each step that applies to it; of mode, see _FOLLOW."""
+    if "&" in word or "\\u" in word:
+        yield 0, _unescaped(word)
+    for wrong, rights in () if mode == 2 else _TO_UTF8 if mode else _BY_WRONG:
         try:
-            return raw.decode("utf-8")
-        except UnicodeDecodeError:
-            return word
-    out = _from_byte(right)
-    return "".join([out[b] for b in raw])
+            raw = codecs.charmap_encode(word, "strict", _to_byte(wrong))[0]
+        except UnicodeEncodeError:
+            continue
+        for step, right in rights:
+            if right == "utf-8":
+                with suppress(UnicodeDecodeError):
+                    yield step, raw.decode("utf-8")
+            else:
+                yield step, codecs.charmap_decode(raw, "strict", _from_byte(right))[0]
 
 
 def _charge(step: int) -> float:
@@ -196,11 +203,15 @@ def _cost(words: tuple[str, ...]) -> float:
     return sum(word_cost(w)[0] for w in words)
 
 
-@lru_cache(maxsize=400_000)
+@lru_cache(maxsize=200_000)
+def _changes(word: str, mode: int = 0) -> dict[int, str]:
+    """What each step that may follow makes of the word, where that is not less plausible: parts of a text may be right as they are."""
+    most = word_cost(word)[0] + 1e-9
+    return {step: there for step, there in _turned(word, mode) if there != word and word_cost(there)[0] <= most}
+
+
 def _better(word: str, step: int) -> str:
-    """The word after one step, unless that makes it less plausible: parts of a text may be right as they are."""
-    there = _turn(word, step)
-    return there if there is word or word_cost(there)[0] <= word_cost(word)[0] + 1e-9 else word
+    return _changes(word).get(step, word)
 
 
 @lru_cache(maxsize=200_000)
@@ -209,10 +220,9 @@ def _least(word: str, mode: int) -> float:
     least, seen, todo = word_cost(word)[0], {(word, mode)}, [(word, mode)]
     while todo and least > 0:
         now, before = todo.pop()
-        for step in _FOLLOW[before]:
-            there = _better(now, step)
+        for step, there in _changes(now, before).items():
             state = (there, _mode(before, step))
-            if there is not now and there != now and state not in seen:
+            if state not in seen:
                 seen.add(state)
                 least = min(least, word_cost(there)[0])
                 todo.append(state)
@@ -225,7 +235,7 @@ def _mode(before: int, step: int) -> int:
 
 _CHARGES = [_charge(s) for s in range(len(STEPS))]
 #: Steps by what came before: text goes wrong again and again as UTF-8, but only once, and then last, between single-byte sets.
-_FOLLOW = (list(range(len(STEPS))), [s for s in range(len(STEPS)) if _CHARGES[s] != STEP_SINGLE], [s for s in range(len(STEPS)) if STEPS[s][0] == "escape"])
+_FOLLOW = (set(range(len(STEPS))), {s for s in range(len(STEPS)) if _CHARGES[s] != STEP_SINGLE}, {s for s in range(len(STEPS)) if STEPS[s][0] == "escape"})
 
 
 def _strangest(word: str) -> tuple[float, float, str]:
@@ -246,11 +256,12 @@ def search(words: list[str]) -> tuple[list[int], float]:
     seen = {(hash(start), 0)}
     while heap and heap[0][0] < best - 1e-9:
         _, _, charged, mode, state, path = heapq.heappop(heap)
-        for step in _FOLLOW[mode]:
+        changes = [_changes(w, mode) for w in state]
+        for step in sorted(set().union(*changes)):
             spent = charged + _CHARGES[step]
             if spent >= best - 1e-9:
                 continue
-            there = tuple([_better(w, step) for w in state])
+            there = tuple([c.get(step, w) for c, w in zip(changes, state)])
             after = _mode(mode, step)
             if there == state or (key := (hash(there), after)) in seen:
                 continue
