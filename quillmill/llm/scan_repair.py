@@ -41,17 +41,37 @@ _BARE = re.compile(rf"{_EDGE}(?:\d{{1,4}}|[ivxlc]{{1,7}}){_EDGE}", re.I)
 _NUMBER = re.compile(r"\d+")
 _TITLED = re.compile(r"(?:\d{1,4}\s{2,}\S.*\S|\S.*\S\s{2,}\d{1,4})")
 _INSIDE = re.compile(r"[^\W\d_]{4}[.!?;] +\w\w")
-_END = re.compile(r"[.!?:;…][\"”»)’]*$")
+_DIGIT = re.compile(r"\d")
+_LONE_NUMBER = re.compile(r"(?<![^\W\d_@!+])\d+(?![^\W\d_@!+])")
+# Characters that scanners take for one another, made one.
+_ALIKE = str.maketrans("105@+!9638|$eci", "losatlgbeblsccl")
+
+
+def _ended(line: str) -> bool:
+    """Whether a line ends in a stop, closing marks behind it or not."""
+    return line.rstrip("\"”»)’")[-1:] in _STOPS and bool(line)
+
+
+_STOPS = tuple(".!?:;…")
+
+
+def _form(x: str) -> int:
+    """1 for an explicit page number, 2 for a bare number, 3 for a title with a number at one end, 0 for other lines."""
+    if not _DIGIT.search(x) and len(x) > 40:
+        return 0
+    return 1 if _EXPLICIT.fullmatch(x) else 2 if _BARE.fullmatch(x) else 3 if _TITLED.fullmatch(x) else 0
 
 
 @lru_cache(maxsize=100_000)
 def _folded(line: str) -> str:
     """The line with numbers made equal and confusable characters made one."""
     text = " ".join(line.lower().split())
-    text = re.sub(r"(?<![^\W\d_@!+])\d+(?![^\W\d_@!+])", "#", text)
+    if _DIGIT.search(text):
+        text = _LONE_NUMBER.sub("#", text)
     for a, b in (("rn", "m"), ("ri", "n"), ("ii", "u"), ("vv", "w"), ("cl", "d")):
-        text = text.replace(a, b)
-    return text.translate(str.maketrans("105@+!9638|$ec", "losatlgbeblscc")).replace("i", "l")
+        if a in text:
+            text = text.replace(a, b)
+    return text.translate(_ALIKE)
 
 
 def _roman(text: str) -> int | None:
@@ -116,7 +136,7 @@ def _symbols_and_keys(lines: list[str]) -> tuple[list[tuple[int, ...] | None], d
     for i in known:
         x = bare[i]
         if len(x) < 90:
-            form[i] = 1 if _EXPLICIT.fullmatch(x) else 2 if _BARE.fullmatch(x) else 3 if _TITLED.fullmatch(x) else 0
+            form[i] = _form(x)
     keys: dict[int, str] = {i: ("##" if form[i] == 2 else _folded(bare[i])) for i in known if len(bare[i]) < 110}
     # Bare numbers that are counted on from page to page are no copies of those in lists.
     bare_at = [i for i, k in keys.items() if k == "##"]
@@ -144,7 +164,7 @@ def _symbols_and_keys(lines: list[str]) -> tuple[list[tuple[int, ...] | None], d
     share: dict[str, tuple[int, int, int, int]] = {}
     for k, at in places.items():
         at.sort()
-        cuts = [1 for i in at if before[i] is not None and not _END.search(bare[before[i]]) and len(bare[before[i]]) > 0.55 * width]
+        cuts = [1 for i in at if before[i] is not None and not _ended(bare[before[i]]) and len(bare[before[i]]) > 0.55 * width]
         cutting = 0 if len(cuts) < 0.15 * len(at) else 1 if len(cuts) < 0.45 * len(at) else 2
         gaps = [b - a for a, b in itertools.pairwise(at)]
         even = 0
@@ -155,21 +175,21 @@ def _symbols_and_keys(lines: list[str]) -> tuple[list[tuple[int, ...] | None], d
         seq = 2 if not runs else 1 if sum(runs) >= 0.5 * len(runs) else 0
         close = 1 if gaps and min(gaps) < 4 else 0
         share[k] = (cutting, even, seq, close)
+    beside = {i for j in loose for i in (j - 2, j - 1, j + 1, j + 2) if keys.get(i) != keys.get(j)}
     out: list[tuple[int, ...] | None] = [None] * len(lines)
     for i in known:
         k = keys.get(i)
         rep = min(len(places[k]), 3) - 1 if k is not None else 0
         cutting, even, seq, close = share[k] if k is not None else (0, 0, 2, 0)
-        near = any(j in loose and j != i and keys.get(j) != k for j in range(max(0, i - 2), min(len(lines), i + 3)))
         out[i] = (
             rep * 4 + form[i],
             cutting if rep or form[i] else 0,
             even * 2 + close,
             seq if form[i] else 3,
-            int(len(lines[i]) - len(lines[i].lstrip()) >= 5),
-            int(near),
+            int(lines[i][:5].isspace() and len(lines[i]) > 4),
+            int(i in beside),
             int(len(bare[i]) < 0.7 * width),
-            int(bool(_END.search(bare[i]))),
+            int(_ended(bare[i])),
             int(i in (known[0], known[-1])),
         )
     return out, keys
@@ -205,6 +225,7 @@ class LineModel:
                         table[label, value] += 1
         logs = lambda t: np.log(t / t.sum(axis=1, keepdims=True)).tolist()
         self.emit, self.move = [logs(t) for t in emit], logs(move)
+        self._known: dict[tuple[int, ...], tuple[float, float]] = {}
         told = np.full((2, self.EVIDENCE), 0.5)
         for (symbols, keys), (lines, labels) in zip([*seen, *(_symbols_and_keys(lines) for lines, _ in listings)], [*pages, *listings]):
             for symbol, what, label in zip(symbols, evidence(lines, symbols, keys, self._first(symbols)), labels):
@@ -213,27 +234,37 @@ class LineModel:
         self.told = logs(told)
 
     def _layout(self, symbol: tuple[int, ...]) -> tuple[float, float]:
-        return sum([t[BODY][v] for t, v in zip(self.emit, symbol)]), sum([t[FURNITURE][v] for t, v in zip(self.emit, symbol)])
+        known = self._known.get(symbol)  # there are few different ones
+        if known is None:
+            known = self._known[symbol] = (sum([t[BODY][v] for t, v in zip(self.emit, symbol)]), sum([t[FURNITURE][v] for t, v in zip(self.emit, symbol)]))
+        return known
 
     def _first(self, symbols: list[tuple[int, ...] | None]) -> list[int]:
         return self._decoded([None if s is None else self._layout(s) for s in symbols])
 
     def _decoded(self, own: list[tuple[float, float] | None]) -> list[int]:
         """The likeliest states (Viterbi) where each line has a log likelihood as body and as furniture; None is a break."""
-        move, nothing = self.move, float("-inf")
-        score = [nothing, nothing, 0.0]  # a file begins behind a break
-        back: list[list[int]] = []
+        (bb, bf, bx), (fb, ff, fx), (xb, xf, xx) = self.move
+        body = furniture = nothing = float("-inf")
+        pause = 0.0  # a file begins behind a break
+        back: list[tuple[int, int]] = []  # where a line came from as body (or as a break), and as furniture
         for at in own:
-            now, came = [nothing] * 3, [0] * 3
-            for state in (BREAK,) if at is None else (BODY, FURNITURE):
-                came[state] = max(range(3), key=lambda p: score[p] + move[p][state])
-                now[state] = score[came[state]] + move[came[state]][state] + (0.0 if at is None else at[state])
-            score = now
-            back.append(came)
-        state, path = max(range(3), key=score.__getitem__), []
+            if at is None:
+                b, f, x = body + bx, furniture + fx, pause + xx
+                pause = max(b, f, x)
+                back.append((BODY if b == pause else FURNITURE if f == pause else BREAK, BREAK))
+                body = furniture = nothing
+                continue
+            b, f, x = body + bb, furniture + fb, pause + xb
+            best = max(b, f, x)
+            b2, f2, x2 = body + bf, furniture + ff, pause + xf
+            best2 = max(b2, f2, x2)
+            back.append((BODY if b == best else FURNITURE if f == best else BREAK, BODY if b2 == best2 else FURNITURE if f2 == best2 else BREAK))
+            body, furniture, pause = best + at[0], best2 + at[1], nothing
+        state, path = max((body, BODY), (furniture, FURNITURE), (pause, BREAK), key=lambda x: x[0])[1], []
         for came in reversed(back):
             path.append(state)
-            state = came[state]
+            state = came[state == FURNITURE]
         return path[::-1]
 
     def labels(self, lines: list[str]) -> list[int]:
@@ -297,7 +328,7 @@ def evidence(lines: list[str], symbols: list[tuple[int, ...] | None], keys: dict
     for at in titles:
         before = [next((text[j] for j in range(i - 1, max(-1, i - 5), -1) if text[j] and j not in numbers), "") for i in at]
         after = [next((text[j] for j in range(i + 1, min(len(text), i + 5)) if text[j] and j not in numbers), "") for i in at]
-        cut = sum(bool(b) and not _END.search(b) and len(b) > max(25, 0.55 * width) and (a[:1].islower() or len(a) > max(25, 0.55 * width)) for b, a in zip(before, after))
+        cut = sum(bool(b) and not _ended(b) and len(b) > max(25, 0.55 * width) and (a[:1].islower() or len(a) > max(25, 0.55 * width)) for b, a in zip(before, after))
         held = cut >= 0.3 * len(at) and not _is_passage(text, at, width) or any(j in numbers for i in at for j in range(i - 3, i + 4))
         for i in at:
             out[i] = _TITLE_HELD if held else _TITLE_LOOSE
@@ -560,8 +591,11 @@ def _quick(lines: list[str], text: str) -> bool:
     """Whether a file may come from a scanner at all; files that fail have nothing to find."""
     if _ODD.search(text) or "¬" in text or "\xad" in text:
         return True
-    seen = Counter(_folded(x) for x in lines if 0 < len(x) < 90)
-    return any(n > 1 for n in seen.values()) or any(_EXPLICIT.fullmatch(x.strip()) or _BARE.fullmatch(x.strip()) or _TITLED.fullmatch(x.strip()) for x in lines if x) or any(x.rstrip()[-1:] in _HYPHENS for x in lines if x.rstrip())
+    bare = [x for x in map(str.strip, lines) if x]
+    if any(x[-1] in _HYPHENS for x in bare) or any(map(_form, bare)):
+        return True
+    short = [_folded(x) for x in lines if 0 < len(x) < 90]
+    return len(set(short)) < len(short)
 
 
 def examine(texts: list[str], model: LineModel, counts: WordCounts) -> list[tuple[Scan, dict, dict] | None]:
@@ -656,7 +690,7 @@ def restored(scan: Scan, cut: dict, wrong: dict) -> str:
             continue
         if label == BREAK:
             # A blank line at a page's edge is no paragraph's end if the sentence goes on.
-            if text and not (i in beside and not _END.search(text.rstrip())) and not glue:
+            if text and not (i in beside and not _ended(text.rstrip())) and not glue:
                 paragraphs.append(text)
                 text = ""
             continue
