@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-from quillmill.functions.vectors import as_double
+from quillmill.operators.nearest import VectorIndex, dense_topk
+
+__all__ = ["VectorIndex", "dense_topk"]
 
 # BM25 constants, boosts and blend weights.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 SECTION_BOOST, FILENAME_BOOST = 0.10, 0.05
 RERANK_WEIGHTS = (0.25, 0.75)
 
-#: Queries above this many are scored in blocks; a block of query vectors is what each task holds.
-QUERY_BLOCK = 4096
-
-
 def top_by(df: DataFrame, partition: list[str], order: list[Column], k: int, rank: str | None = None) -> DataFrame:
     """The first k rows of each partition; Spark cuts to k rows in each task before it shuffles."""
     name = rank or "_rank"
@@ -28,78 +22,6 @@ def top_by(df: DataFrame, partition: list[str], order: list[Column], k: int, ran
     return out if rank else out.drop(name)
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str, vector_col: str, query_id: str = "query_id", query_vector: str = "query_vector", collection: str | None = None, digits: int | None = 6) -> DataFrame:
-    """The k nearest vectors by cosine similarity, exactly, for each query (and collection).
-
-    Query vectors are brought to the driver in blocks of QUERY_BLOCK and shipped to the tasks; each Arrow batch is one
-    matrix product and keeps its own k best rows for each query and collection, so that only those are shuffled.  Ties go to the lower id.  Null
-    and empty vectors, and vectors of another length than the query's, match nothing; a zero vector has similarity 0.
-    """
-    spark = vectors.sparkSession
-    base = vectors.select(F.col(id_col).alias("_id"), (F.col(collection) if collection else F.lit(None).cast("string")).alias("_group"), as_double(F.col(vector_col)).alias("_v")).where("_id is not null and size(_v) > 0")
-    ids, group = base.schema["_id"].dataType.simpleString(), base.schema["_group"].dataType.simpleString()
-    wanted = queries.select(F.col(query_id).alias("_q"), as_double(F.col(query_vector)).alias("_w")).where("_q is not null and size(_w) > 0")
-    qtype = wanted.schema["_q"].dataType.simpleString()
-    arrow = to_arrow_type(wanted.schema["_q"].dataType)
-
-    def scored(names: list, matrix: np.ndarray) -> DataFrame:
-        shared = spark.sparkContext.broadcast((names, matrix))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own, q = shared.value
-            for batch in batches:
-                rows = batch.column(2).to_pylist()
-                fit = [i for i, v in enumerate(rows) if len(v) == q.shape[1] and None not in v]
-                if not fit:
-                    continue
-                m = np.array([rows[i] for i in fit])
-                length = np.sqrt((m * m).sum(axis=1))
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    sims = np.where(length[:, None] > 0, (m @ q.T) / length[:, None], 0.0)
-                if digits is not None:
-                    sims = np.round(sims, digits) + 0.0
-                groups = np.array([str(g) for g in batch.column(1).take(pa.array(fit)).to_pylist()])
-                order_ids = np.argsort(np.argsort(np.array(batch.column(0).take(pa.array(fit)).to_pylist(), dtype=object), kind="stable"))
-                at, which, value = [], [], []
-                for g in np.unique(groups):
-                    inside = np.flatnonzero(groups == g)
-                    for j in range(sims.shape[1]):
-                        s = sims[inside, j]
-                        best = inside if len(inside) <= k else inside[np.lexsort((order_ids[inside], -s))[:k]]
-                        at += [fit[i] for i in best]
-                        which += [j] * len(best)
-                        value += sims[best, j].tolist()
-                take = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([own[j] for j in which], arrow), batch.column(0).take(take), batch.column(1).take(take), pa.array(value, pa.float64())], ["_q", "_id", "_group", "similarity"])
-
-        return base.mapInArrow(run, f"_q {qtype}, _id {ids}, _group {group}, similarity double")
-
-    blocks: dict[int, tuple[list, list]] = {}
-    parts: list[DataFrame] = []
-
-    def close(size: int) -> None:
-        names, rows = blocks.pop(size)
-        q = np.array(rows)
-        length = np.sqrt((q * q).sum(axis=1, keepdims=True))
-        parts.append(scored(names, q / np.where(length > 0, length, 1.0)))
-
-    for row in wanted.toLocalIterator():
-        names, rows = blocks.setdefault(len(row["_w"]), ([], []))
-        names.append(row["_q"])
-        rows.append(row["_w"])
-        if len(names) >= QUERY_BLOCK:
-            close(len(row["_w"]))
-    for size in list(blocks):
-        close(size)
-    if not parts:
-        return spark.createDataFrame([], f"{query_id} {qtype}, {id_col} {ids}{f', {collection} {group}' if collection else ''}, similarity double")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    best = top_by(found, ["_q", "_group"] if collection else ["_q"], [F.desc("similarity"), F.asc("_id")], k)
-    return best.select(F.col("_q").alias(query_id), F.col("_id").alias(id_col), *([F.col("_group").alias(collection)] if collection else []), "similarity")
-
-
 def tokens(text: Column) -> Column:
     """Lower-cased runs of ASCII letters, digits and underscores; null has none."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9_]+"), F.lit(0))
@@ -108,21 +30,24 @@ def tokens(text: Column) -> Column:
 def bm25(candidates: DataFrame, queries: DataFrame, *, keys: list[str], doc_id: str, text_col: str, query_id: str = "query_id", query_text: str = "query", score: str = "sparse_score") -> DataFrame:
     """Add the Okapi BM25 score of each candidate; the corpus is the candidates of the same `keys`, query included.
 
-    Term statistics are aggregated before any join, query terms count with repeats, and a negative inverse document frequency becomes
-    EPSILON times the mean over all distinct terms.  Candidates without words score 0.
+    Candidates are tokenised once, and all statistics come from one table of term counts.  Query terms count with repeats, and a negative inverse document
+    frequency becomes EPSILON times the mean over all distinct terms.  Candidates without words score 0.
     """
-    docs = candidates.select(*keys, doc_id, tokens(F.col(text_col)).alias("_t"))
+    candidates = candidates.withColumn("_t", tokens(F.col(text_col))).persist(StorageLevel.MEMORY_AND_DISK)
+    docs = candidates.select(*keys, doc_id, "_t")
     sizes = docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg(F.size("_t")).alias("_avg"))
-    tf = docs.select(*keys, doc_id, F.size("_t").alias("_len"), F.explode("_t").alias("_term")).groupBy(*keys, doc_id, "_len", "_term").agg(F.count(F.lit(1)).alias("_tf"))
+    tf = docs.select(*keys, doc_id, F.size("_t").alias("_len"), F.explode("_t").alias("_term")).groupBy(*keys, doc_id, "_len", "_term").agg(F.count(F.lit(1)).alias("_tf")).persist(StorageLevel.MEMORY_AND_DISK)
     df = tf.groupBy(*keys, "_term").agg(F.count(F.lit(1)).alias("_df"))
     idf = df.join(sizes, keys).withColumn("_idf", F.log(F.col("_n") - F.col("_df") + 0.5) - F.log(F.col("_df") + 0.5))
     mean = idf.groupBy(*keys).agg(F.avg("_idf").alias("_mean"))
-    idf = idf.join(mean, keys).select(*keys, "_term", "_avg", F.when(F.col("_idf") < 0, EPSILON * F.col("_mean")).otherwise(F.col("_idf")).alias("_idf"))
+    # Of the terms only those that are asked for go on.
+    named = queries.select(query_id, F.explode(tokens(F.col(query_text))).alias("_term")).distinct()
+    idf = idf.join(named, [query_id, "_term"], "left_semi").join(mean, keys).select(*keys, "_term", "_avg", F.when(F.col("_idf") < 0, EPSILON * F.col("_mean")).otherwise(F.col("_idf")).alias("_idf"))
     asked = queries.select(query_id, F.explode(tokens(F.col(query_text))).alias("_term")).groupBy(query_id, "_term").agg(F.count(F.lit(1)).alias("_times"))
     hit = tf.join(asked, [query_id, "_term"]).join(idf, [*keys, "_term"])
     part = F.col("_times") * F.col("_idf") * F.col("_tf") * (K1 + 1) / (F.col("_tf") + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
     sums = hit.groupBy(*keys, doc_id).agg(F.sum(part).alias(score))
-    return candidates.join(sums, [*keys, doc_id], "left").withColumn(score, F.coalesce(score, F.lit(0.0)))
+    return candidates.drop("_t").join(sums, [*keys, doc_id], "left").withColumn(score, F.coalesce(score, F.lit(0.0)))
 
 
 def metadata_boost(query: Column, section: Column, filename: Column) -> Column:

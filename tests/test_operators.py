@@ -195,3 +195,54 @@ def test_embedding(spark):
     assert embed_with_retries(flaky, ["x"], (0, 0, 0)) == [[1.0]]
     with pytest.raises(RuntimeError):
         embed_with_retries(lambda t: [], ["x"], (0, 0))
+
+
+def test_dense_equals_brute_force(spark, monkeypatch):
+    """Groups of several blocks, queries in several blocks, ties, vectors of two lengths and rows without a group."""
+    import random
+
+    import numpy as np
+
+    from quillmill.operators import nearest
+
+    r = random.Random(6)
+    vector = lambda d: [float(r.choice((-1, 0, 1))) for _ in range(d)]
+    rows = [(i, r.choice(("a", "a", "b", None, "None")), vector(r.choice((4, 4, 5)))) for i in range(300)]
+    asked = [(i, vector(r.choice((4, 5)))) for i in range(40)]
+    v = spark.createDataFrame(rows, "id long, g string, v array<float>")
+    q = spark.createDataFrame(asked, "query_id long, query_vector array<float>")
+
+    def cosine(a, b):
+        a, b = np.array(a), np.array(b)
+        n = np.sqrt((a * a).sum() * (b * b).sum())
+        return round(float(a @ b / n), 6) + 0.0 if n else 0.0
+
+    want = set()
+    for key, w in asked:
+        for g in ("a", "b", None, "None"):
+            near = sorted((-cosine(x, w), i) for i, own, x in rows if own == g and len(x) == len(w))[:7]
+            want |= {(key, i, g, -s + 0.0) for s, i in near}
+    for block, query, most in ((1 << 16, 1 << 10, 1 << 26), (16, 8, 1 << 26), (16, 8, 0)):
+        monkeypatch.setattr(nearest, "BLOCK_ROWS", block)
+        monkeypatch.setattr(nearest, "QUERY_ROWS", query)
+        monkeypatch.setattr(nearest, "BROADCAST_BYTES", most)
+        got = R.dense_topk(v, q, 7, id_col="id", vector_col="v", collection="g").collect()
+        assert {(x.query_id, x.id, x.g, x.similarity) for x in got} == want and len(got) == len(want)
+
+
+def test_index_recall(spark):
+    """Every row is in the index; of the ten nearest at least nine in ten are found in the cells visited."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(30, 16))
+    data = centers[rng.integers(0, 30, 3000)] + 0.6 * rng.normal(size=(3000, 16))
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(data)], "id long, v array<float>")
+    q = v.where("id % 50 = 0").selectExpr("id as query_id", "v as query_vector")
+    exact = {(r.query_id, r.id) for r in R.dense_topk(v, q, 10, id_col="id", vector_col="v").collect()}
+    index = R.VectorIndex(v, id_col="id", vector_col="v", cells=32, sample=1000)
+    assert index.vectors.count() == 3000
+    found = {(r.query_id, r.id) for r in index.topk(q, 10, probes=8).collect()}
+    assert len(exact) == len(found) == 600 and len(exact & found) / 600 >= 0.9
+    assert {(r.query_id, r.id) for r in index.topk(q, 10, probes=32).collect()} == exact
+    assert R.VectorIndex(v.limit(0), id_col="id", vector_col="v").topk(q, 3).count() == 0
