@@ -114,6 +114,14 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(_table(spark, sf_dir, "documents"))
 
 
+def p6_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the containers: every text that is not blank is there once, its parts follow one another, only the last is not full, and no container holds too much."""
+    placed = p6_containers(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    fits = placed.groupBy("container").agg((F.sum("tokens") <= 2048).alias("fits"))
+    parts = placed.join(fits, "container").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("part_no").alias("parts"), F.max("part_no").alias("last"), F.min("fits").alias("fits"), F.sum(((F.col("tokens") < 2048) | (F.col("first_token") != F.col("part_no") * 2048)).cast("int")).alias("short"))
+    return parts.select("doc_id", ((F.col("n") == F.col("parts")) & (F.col("last") + 1 == F.col("parts")) & (F.col("short") <= 1)).alias("once"), "fits")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
@@ -175,6 +183,7 @@ placed as (select *, row_number() over w as seq, (count(*) filter (kind = 'human
 fine as (select session_id from (select session_id, exchange, count(*) as n from placed group by all) group by session_id having bool_and(exchange > 0 and n > 1))
 select session_id, seq, exchange, id, kind as role, content, created_at from placed where session_id in (select session_id from fine) and session_id not in (select session_id from bad)""",
     "p5_coverage": f"""select distinct tab, rec_key, n::int as words, true as fits, true as shared from (select tab, rec_key, len(regexp_extract_all(text, '{_WORDS}')) as n from ({_RECORDS}) where text is not null and rec_key is not null) where n > 0""",
+    "p6_whole": "select distinct doc_id, true as once, true as fits from documents where doc_id is not null and regexp_replace(text, '[\\s\\x1c-\\x1f\\x{85}\\p{Z}]+', '', 'g') <> ''",
     "p7_found": f"""with i as (select item_id, {_TERMS.format("passage")} as w from eval_items where passage is not null), d as (select doc_id, {_TERMS.format("text")} as w from documents where text is not null),
 gi as materialized (select distinct item_id, array_to_string(w[k : k + 11], ' ') as g from (select *, unnest(range(1, len(w) - 10)) as k from i where len(w) >= 12)),
 gd as (select doc_id, array_to_string(w[k : k + 11], ' ') as g from (select *, unnest(range(1, len(w) - 10)) as k from d where len(w) >= 12))
@@ -188,7 +197,7 @@ select doc_id, count(*) as removed, count(*) > 0.5 * n as dropped from t group b
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_statistics, p3_found, p3_conversations, p4_found, p4_text, p5_found, p5_pieces, p5_coverage, p6_containers, p7_found, p7_removed, p7_counts, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_statistics, p3_found, p3_conversations, p4_found, p4_text, p5_found, p5_pieces, p5_coverage, p6_containers, p6_whole, p7_found, p7_removed, p7_counts, p8_found, p8_restored)}
 
 
 def oracle_sql() -> dict[str, str]:

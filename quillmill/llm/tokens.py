@@ -1,38 +1,31 @@
-"""Token counts with a public byte-level BPE; the vocabulary file stays where it is."""
+"""Token counts with a public byte-level BPE; the vocabulary file is named by its path and sent to the executors."""
 
 from __future__ import annotations
 
-import base64
-from functools import lru_cache
+import os
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark import SparkFiles
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: Where the rank file lies unless a path is given.
-RANK_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-
-# Fixed value: the published pre-tokenisation pattern of this vocabulary.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
+from quillmill.functions.tokens import encoding
 
-@lru_cache(maxsize=2)
-def encoding(path: str):
-    """The encoder of a rank file, made once in each Python worker."""
-    import tiktoken
-
-    with open(path, "rb") as file:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+#: Where the rank file lies on the driver unless a path is given.
+RANK_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def token_counts(text: Column, path: str | None = None) -> Column:
     """Number of tokens of each text; 0 for null and for texts of white space only."""
     file = path or RANK_FILE
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        spark.sparkContext.addFile(file)
+    name = os.path.basename(file)
 
     @F.arrow_udf("int")
     def count(texts: pa.Array) -> pa.Array:
-        encode = encoding(file).encode_ordinary
+        encode = encoding(SparkFiles.get(name)).encode_ordinary
         return pa.array([len(encode(t)) if t and not t.isspace() else 0 for t in texts.to_pylist()], pa.int32())
 
     return count(text)
