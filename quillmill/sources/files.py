@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillmill.sources.pdf import pdf_pages
+
 # File types that are read, and their MIME types.
 EXTENSIONS = ("pdf", "docx", "txt", "md", "html", "csv")
 MIME_TYPES = {"pdf": "application/pdf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "txt": "text/plain", "md": "text/markdown", "html": "text/html", "csv": "text/csv"}
@@ -138,10 +140,11 @@ PdfReader = Callable[[bytes], list[str]]
 
 
 def _pdf_pages(content: bytes) -> list[str]:
+    """Pages by pdfplumber where it is installed, else by the reader of our own."""
     try:
         import pdfplumber
-    except ImportError as error:
-        raise RuntimeError("no PDF reader is installed; pass one") from error
+    except ImportError:
+        return pdf_pages(content)
     with pdfplumber.open(io.BytesIO(content)) as pdf:
         return [page.extract_text() or "" for page in pdf.pages]
 
