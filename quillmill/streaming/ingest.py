@@ -99,6 +99,10 @@ class Ingestor:
         """Start a query that takes failed files of the folder up again at each interval."""
         return self._every(interval, checkpoint, lambda number: self.retry(scan_folder(self.spark, self.root), f"sweep-{uuid.uuid4().hex}"))
 
+    def rescan(self, checkpoint: str, interval: str = "60 seconds", quiet_seconds: float = 2.0):
+        """Start a query that looks through the whole folder at each interval: files changed in place have a new hash and are taken in; those changed just now wait."""
+        return self._every(interval, checkpoint, lambda number: self.run_batch(scan_folder(self.spark, self.root, quiet_seconds), f"rescan-{uuid.uuid4().hex}"))
+
     def watch_diagnostics(self, report: Callable[[DataFrame, DataFrame], None], checkpoint: str, interval: str = "60 seconds"):
         """Start a query that hands the diagnostics to `report` at each interval."""
         return self._every(interval, checkpoint, lambda number: report(*self.diagnostics()))

@@ -66,6 +66,25 @@ def test_sweep_and_diagnostics(spark, tmp_path):
     assert seen[-1] == {"done": 1} and ingestor.chunks.read().count() == 1
 
 
+def test_changed_files_are_taken_in(spark, tmp_path):
+    root = tmp_path / "in"
+    root.mkdir()
+    (root / "a.txt").write_text("First text.")
+    ingestor = Ingestor(spark, str(root), str(tmp_path / "store"), sleep=lambda s: None)
+    query = ingestor.rescan(str(tmp_path / "r"), "1 second", 0.0)
+    try:
+        for want, text in ((1, "Second text, written over the first."), (2, None)):
+            for _ in range(60):
+                time.sleep(1)
+                if ingestor.chunks.read().count() == want:
+                    break
+            if text:
+                (root / "a.txt").write_text(text)
+    finally:
+        query.stop()
+    assert {r.text.split("\n\n")[1] for r in ingestor.chunks.read().collect()} == {"First text.", "Second text, written over the first."}
+
+
 @pytest.mark.parametrize("lateness", [None, "1 day"])
 def test_conversation_state(spark, tmp_path, lateness):
     """Redeliveries are dropped, lower ids that come late are counted."""
