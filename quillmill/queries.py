@@ -66,6 +66,14 @@ def agent_retrieve(spark, sf_dir):
     return retrieval.agent_retrieve(hits).select("query_id", "content", "collection", "distance", "rank")
 
 
+@_query(f"select query_id, vec_id, similarity from ({_PAIRS}) qualify row_number() over (partition by query_id order by similarity desc, vec_id) <= 3")
+def index_topk(spark, sf_dir):
+    """The index with all its cells visited: every row is in it, so the result is exact."""
+    e = _t(spark, sf_dir, "embeddings")
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return retrieval.VectorIndex(e, id_col="vec_id", vector_col="embedding", cells=16).topk(queries, 3, probes=16)
+
+
 @_query("""select vec_id, i::int as pos, round(x / n, 6) + 0.0 as value from (select vec_id, unnest(v) as x, generate_subscripts(v, 1) - 1 as i, n from
 (select vec_id, list_transform(embedding, lambda y: cast(y as double) * 3) as v, sqrt(list_sum(list_transform(embedding, lambda y: (cast(y as double) * 3) ** 2))) as n from embeddings))""")
 def l2_normalized(spark, sf_dir):
