@@ -248,21 +248,36 @@ def _passes(items: DataFrame, item_col: str, text_col: str, min_terms: int, bloc
         built.unpersist()
 
 
+class _Automata:
+    """Automata as they are shipped; each process opens them once."""
+
+    def __init__(self, packed: list[bytes]):
+        self._packed, self._opened = packed, None
+
+    def __getstate__(self) -> list[bytes]:
+        return self._packed
+
+    def __setstate__(self, packed: list[bytes]) -> None:
+        self._packed, self._opened = packed, None
+
+    @property
+    def opened(self) -> list[LeakIndex]:
+        if self._opened is None:
+            self._opened = [pickle.loads(x) for x in self._packed]
+        return self._opened
+
+
 def _scanner(spark: SparkSession, automata: list[bytes], item_type):
-    shared = spark.sparkContext.broadcast(automata)
+    shared = spark.sparkContext.broadcast(_Automata(automata))
     kind = to_arrow_type(item_type)
 
-    opened: list[LeakIndex] = []
-
     @F.arrow_udf(f"struct<hits:array<struct<item:{item_type.simpleString()},longest:int,terms:int>>,spans:array<struct<char_from:int,chars:int,first:int,terms:int>>,terms:int>")
     def scan(text: pa.Array) -> pa.Array:
-        if not opened:
-            opened.extend(pickle.loads(x) for x in shared.value)
         rows: list[dict | None] = []
         for batch in small_batches([pa.RecordBatch.from_arrays([text], ["t"])], 0):
             low, places = zip(*(_lowered(t or "") for t in batch.column(0).to_pylist()))
             terms, found = Terms(list(low)), [None] * len(low)
-            for index in opened:
+            for index in shared.value.opened:
                 index.scan(terms, found, places)
             rows += found
         for entry in rows:

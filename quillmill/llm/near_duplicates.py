@@ -248,6 +248,12 @@ class NearDuplicates:
         self._kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
         return df
 
+    def _release(self, *done: DataFrame) -> None:
+        """Let go of what later steps need no more."""
+        for df in done:
+            df.unpersist()
+        self._kept = [k for k in self._kept if all(k is not d for d in done)]
+
     def close(self) -> None:
         """Release what was kept; to be called once results are written."""
         while self._kept:
@@ -277,7 +283,7 @@ class NearDuplicates:
         t = self.threshold
         address = F.shiftrightunsigned("where", 16)
         # Kept partitioned and sorted by address, in a number of partitions that is named and so stays: both sides of the self-join read it as it is.
-        blocks = self._keep(self.blocks().repartition(self._width, address).sortWithinPartitions(address))
+        blocks = self._blocks_kept = self._keep(self.blocks().repartition(self._width, address).sortWithinPartitions(address))
         bits = lambda c, shift, mask: F.shiftright(c, shift).bitwiseAND(F.lit(mask))
         side = lambda x: blocks.select(address.alias("block"), bits("where", 1, BIG).alias(f"size_{x}"), bits("where", 0, 1).alias(f"large_{x}"), F.shiftrightunsigned("who", 16).alias(f"slot_{x}"), bits("who", 1, BIG).alias(f"pos_{x}"), bits("who", 0, 1).alias(f"small_{x}"))
         sa, sb = F.col("size_a"), F.col("size_b")
@@ -292,9 +298,10 @@ class NearDuplicates:
 
     def _near(self) -> DataFrame:
         """(slot_a, slot_b) of the candidates whose folded fingerprints are close enough."""
-        met = self._keep(self.candidates())
+        met = self._met = self._keep(self.candidates())
         total = met.count()
-        folds = self._keep(self._firsts.select("slot", (F.length("bits") / 8).cast("int").alias("n"), *_FOLDS).repartition(self._width, "slot"))
+        self._release(self._blocks_kept)
+        folds = self._folds = self._keep(self._firsts.select("slot", (F.length("bits") / 8).cast("int").alias("n"), *_FOLDS).repartition(self._width, "slot"))
         folded = lambda x: folds.select(F.col("slot").alias(f"slot_{x}"), F.col("n").alias(f"n_{x}"), *(F.col(f).alias(f"{f}_{x}") for f in _FOLDS))
         # A class with very many neighbours is spread by its neighbours.
         both = salted_join(salted_join(met, folded("a"), "slot_a", "slot_b", total), folded("b"), "slot_b", "slot_a", total, counted=met)
@@ -305,6 +312,7 @@ class NearDuplicates:
         """(digest_a, digest_b, similarity): all pairs of different classes at or over the threshold."""
         near = self._keep(self._near())
         total = near.count()
+        self._release(self._met, self._folds)
         size = 1 << min(MOST_WANTED, max(16, (WANTED_LOAD * total).bit_length()))
 
         def cells(batch: pa.RecordBatch) -> np.ndarray:
