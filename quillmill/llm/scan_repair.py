@@ -55,6 +55,7 @@ def _ended(line: str) -> bool:
 _STOPS = tuple(".!?:;…")
 
 
+@lru_cache(maxsize=16_384)
 def _form(x: str) -> int:
     """1 for an explicit page number, 2 for a bare number, 3 for a title with a number at one end, 0 for other lines."""
     if not _DIGIT.search(x) and len(x) > 40:
@@ -464,7 +465,8 @@ _TOKEN = re.compile(r"[^\s,.;:()\"“”„«»¿?/]+(?:[^\s]*[^\s,.;:()\"“”
 _CODE = re.compile(r"[A-Z]{1,4}-?\d[\dA-Z-]*|[\d.,%:/+-]+|\d+(?:st|nd|rd|th|x|h|s|m|kg|km|cm|mm|%|°)?|x\d+|[A-Za-z]?\d{1,2}")
 #: A word that may go on in the next line of text.
 _CUT = re.compile(rf"[^\W_][{_HYPHENS}][^\S\n]*\n\s*[^\s,.;:()\"“”„«»?!/]")
-_ODD = re.compile(r"[^\W\d_][0-9@+!|$]|[0-9@+!|$][^\W\d_]")
+# The sign comes first, so that nearly every character fails at once.
+_ODD = re.compile(r"[0-9@+!|$](?:(?<=[^\W\d_].)|(?=[^\W\d_]))")
 
 
 def _plain(word: str) -> set[str]:
@@ -545,9 +547,8 @@ class Scan:
             for x in (a.lower() + b.lower(), a.lower(), b.lower(), f"{a.lower()}-{b.lower()}"):
                 out.add(x)
             out.update(_readings((a + b).lower()))
-        for _, t in self.tokens:
-            for w in _parts(t):
-                out.add(w)
+        for t in {t for _, t in self.tokens}:
+            out.update(_parts(t))
         return out
 
 
@@ -659,10 +660,12 @@ def examine(texts: list[str], model: LineModel, counts: WordCounts) -> list[tupl
                 cut[i] = fixed if a.islower() else fixed[:1].upper() + fixed[1:]
                 keep = next((k for k, (x, y) in enumerate(zip(low, fixed)) if x != y), len(low))
                 wrong[i if keep < len(a) else s.follow[i], ""] = fixed
-        for i, t in s.tokens:
+        put_right: dict[str, str] = {}
+        for t in {t for _, t in s.tokens}:
             for w in _parts(t):
                 if (fix := right(w)) is not None:
-                    wrong[i, t] = re.sub(re.escape(w), lambda m, fix=fix: fix.upper() if m[0].isupper() and len(m[0]) > 2 and not any(c in _SIGNS for c in m[0]) else fix[:1].upper() + fix[1:] if m[0][:1].isupper() else fix, t, count=1, flags=re.I)
+                    put_right[t] = re.sub(re.escape(w), lambda m, fix=fix: fix.upper() if m[0].isupper() and len(m[0]) > 2 and not any(c in _SIGNS for c in m[0]) else fix[:1].upper() + fix[1:] if m[0][:1].isupper() else fix, t, count=1, flags=re.I)
+        wrong.update(((i, t), put_right[t]) for i, t in s.tokens if t in put_right)
         furniture = sum(x == FURNITURE for x in s.labels)
         signs = sum(1 for _, t in wrong if any(c in _SIGNS for c in t) and _ODD.search(t))
         soft = sum(s.lines[i].rstrip()[-1] != "-" for i in cut)
