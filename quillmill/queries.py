@@ -13,6 +13,7 @@ from quillmill.functions.embedding import embed_texts, plan_batches
 from quillmill.functions.vectors import l2_normalize
 from quillmill.operators import retrieval, sessions, state
 from quillmill.plans.lineage import cut
+from quillmill.plans.spread import spread
 from quillmill.sources import files
 from quillmill.streaming.windows import windowed_counts
 
@@ -277,7 +278,7 @@ def table_rows(spark, sf_dir):
 
 @_query()
 def clean_full(spark, sf_dir):
-    return _t(spark, sf_dir, "raw_documents").select("file_path", "file_hash", cleaning.clean(F.col("raw_text")).alias("text"))
+    return spread(_t(spark, sf_dir, "raw_documents")).select("file_path", "file_hash", cleaning.clean(F.col("raw_text")).alias("text"))
 
 
 # --- chunking ---------------------------------------------------------------------------------------------------------
@@ -309,7 +310,7 @@ def chunk_ids(spark, sf_dir):
 
 @_query()
 def chunk_documents(spark, sf_dir):
-    r = _t(spark, sf_dir, "raw_documents").withColumn("text", cleaning.clean(F.col("raw_text")))
+    r = spread(_t(spark, sf_dir, "raw_documents")).withColumn("text", cleaning.clean(F.col("raw_text")))
     return chunking.chunk_documents(r).select("chunk_id", "file_hash", "chunk_index", "total_chunks", "section_path", "text")
 
 

@@ -8,6 +8,7 @@ from quillmill.functions.termhash import Terms, shingle_hashes
 from quillmill.plans.components import connected_components
 from quillmill.plans.ordered import running_totals
 from quillmill.plans.skew import salted_join
+from quillmill.plans.spread import spread
 from quillmill.plans.vectors import fold_counts, fold_vectors
 
 
@@ -77,3 +78,10 @@ def test_salted_join(spark):
     assert sorted(map(tuple, salted_join(rows, other, "k", "v", 2000, key_rows=100).collect())) == want
     assert sorted(map(tuple, salted_join(rows, other, "k", "v", 2000).collect())) == want
     assert sorted(map(tuple, salted_join(rows.where("v > 50"), other, "k", "v", 2000, counted=rows, key_rows=100).collect())) == [x for x in want if x[1] > 50]
+
+
+def test_spread(spark):
+    cores = spark.sparkContext.defaultParallelism
+    few, many = spark.range(100).coalesce(1), spark.range(100).repartition(cores + 3)
+    assert spread(few).rdd.getNumPartitions() == cores and spread(few).count() == 100
+    assert spread(many) is many
