@@ -17,21 +17,27 @@ from quillmill.llm.quality import prose_shares, text_statistics
 from quillmill.llm.scan_repair import ScannedText
 from quillmill.llm.splitting import split_records
 from quillmill.plans.ordered import running_totals
+from quillmill.plans.spread import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Those columns of a table of texts, with work for every core."""
+    return spread(_table(spark, sf_dir, name).select(*columns))
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunks and raw_documents as records (tab, rec_key, file_hash, chunk_index, doc_type, text)."""
-    c = _table(spark, sf_dir, "chunks").select(F.lit("chunks").alias("tab"), F.col("chunk_id").alias("rec_key"), "file_hash", "chunk_index", "doc_type", "text")
-    r = _table(spark, sf_dir, "raw_documents").select(F.lit("raw_documents").alias("tab"), F.col("file_hash").alias("rec_key"), "file_hash", F.lit(0).alias("chunk_index"), "doc_type", F.col("raw_text").alias("text"))
+    c = _texts(spark, sf_dir, "chunks", "chunk_id", "file_hash", "chunk_index", "doc_type", "text").select(F.lit("chunks").alias("tab"), F.col("chunk_id").alias("rec_key"), "file_hash", "chunk_index", "doc_type", "text")
+    r = _texts(spark, sf_dir, "raw_documents", "file_hash", "doc_type", "raw_text").select(F.lit("raw_documents").alias("tab"), F.col("file_hash").alias("rec_key"), "file_hash", F.lit(0).alias("chunk_index"), "doc_type", F.col("raw_text").alias("text"))
     return c.unionByName(r)
 
 
 def _chunk_duplicates(spark: SparkSession, sf_dir: str) -> NearDuplicates:
-    return NearDuplicates(_table(spark, sf_dir, "chunks"), "chunk_id", "text", "file_hash", width=3, threshold=0.6, min_terms=20)
+    return NearDuplicates(_texts(spark, sf_dir, "chunks", "chunk_id", "text", "file_hash"), "chunk_id", "text", "file_hash", width=3, threshold=0.6, min_terms=20)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +75,7 @@ def p3_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scanned(spark: SparkSession, sf_dir: str) -> ScannedText:
-    return ScannedText(_table(spark, sf_dir, "raw_documents"), "file_hash", "raw_text")
+    return ScannedText(_texts(spark, sf_dir, "raw_documents", "file_hash", "raw_text"), "file_hash", "raw_text")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +117,7 @@ def p5_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_texts(_table(spark, sf_dir, "documents"))
+    return pack_texts(_texts(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def p6_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,11 +129,11 @@ def p6_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+    return leaks(_texts(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
 def p7_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
+    return remove_leaks(_texts(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "eval_items"))
 
 
 def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,11 +142,11 @@ def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wrongly_decoded(_table(spark, sf_dir, "documents")).select("doc_id").distinct()
+    return wrongly_decoded(_texts(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id").distinct()
 
 
 def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wrongly_decoded(_table(spark, sf_dir, "documents"))
+    return wrongly_decoded(_texts(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 _TERMS = "list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
