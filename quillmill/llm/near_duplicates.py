@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions.termhash import Terms, distinct_by_owner, mix64, shingle_hashes, small_batches
+from quillmill.plans import skew
 from quillmill.plans.components import connected_components
 from quillmill.plans.skew import salted_join
 from quillmill.plans.vectors import Shipped, fold_counts, fold_vectors
@@ -264,10 +265,15 @@ class NearDuplicates:
         """Partitions of what is kept; named as a number, they stay as they are and joins rely on them."""
         return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
-    @property
-    def members(self) -> DataFrame:
-        """(digest, rec_id, group_hash), distinct."""
-        return self._rows.select("digest", "rec_id", "group_hash").distinct()
+    def _members(self, *columns: str) -> tuple[DataFrame, DataFrame | None]:
+        """(digest, columns), distinct, of all classes but those of very many copies, which lie together by digest; and of these few, if any, which lie spread."""
+        rows, total = self._rows.select("digest", *columns), self._rows.count()
+        cold, hot = rows, None
+        if total > skew.KEY_ROWS:
+            named = self._keep(skew.hot_keys(rows, "digest", total).select("digest"))  # at most skew.MOST_KEYS rows
+            if not named.isEmpty():
+                cold, hot = rows.join(F.broadcast(named), "digest", "left_anti"), self._keep(rows.join(F.broadcast(named), "digest").distinct())
+        return self._keep(cold.repartition(self._width, "digest").distinct()), hot
 
     def _order(self) -> Order:
         total = self._firsts.agg(F.sum(F.length("bits"))).first()[0] or 0
@@ -340,8 +346,9 @@ class NearDuplicates:
 
         Every row of a class meets every other in the result; classes of many copies are cut into parts, and parts meet in tasks of their own.
         """
-        m = self._keep(self._rows.select("digest", "rec_id", "group_hash").repartition(self._width, "digest").distinct())
-        sizes = m.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+        m, hot = self._members("rec_id", "group_hash")
+        counted = lambda df: df.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+        sizes = counted(m) if hot is None else counted(m).unionByName(counted(hot))
         links = self.class_pairs()
         if per_copy:
             links = links.unionByName(sizes.where("n > 1").select(F.col("digest").alias("digest_a"), F.col("digest").alias("digest_b"), F.lit(1.0).alias("similarity")))
@@ -357,7 +364,11 @@ class NearDuplicates:
             cut_up = links.where("parts_a is not null or parts_b is not null")
             for x in "ab":
                 cut_up = cut_up.withColumn(f"part_{x}", F.explode(F.sequence(F.lit(0), F.coalesce(f"parts_{x}", F.lit(1)) - 1))).drop(f"parts_{x}")
-            placed = m.join(parts, "digest", "left").withColumn("part", F.pmod(F.hash("rec_id"), F.coalesce("parts", F.lit(1))))
+            placed = m.join(parts, "digest", "left")
+            if hot is not None:
+                own = self._keep(counted(hot).select("digest", F.ceil(F.col("n") / COPIES).cast("int").alias("parts")))  # at most skew.MOST_KEYS rows
+                placed = placed.unionByName(hot.join(F.broadcast(own), "digest"))
+            placed = placed.withColumn("part", F.pmod(F.hash("rec_id"), F.coalesce("parts", F.lit(1))))
             across = single.join(member(m, "a"), "digest_a").join(member(m, "b"), "digest_b")
             across = across.unionByName(cut_up.join(member(placed, "a"), ["digest_a", "part_a"]).join(member(placed, "b"), ["digest_b", "part_b"]).drop("part_a", "part_b"))
         far = F.coalesce(F.col("ga") != F.col("gb"), F.lit(True))
@@ -372,16 +383,22 @@ class NearDuplicates:
         of the same class (itself included), links the number of other classes at or over the
         threshold.  Groups take no notice of `group_col`.
         """
-        edges = self.class_pairs().select(F.hex("digest_a").alias("src"), F.hex("digest_b").alias("dst"))
-        edges = self._keep(edges)
-        size = self.members.groupBy("digest").agg(F.countDistinct("rec_id").alias("copies"), F.min("rec_id").alias("least"))
-        nodes = size.select(F.hex("digest").alias("node"), "copies", "least")
-        degree = edges.select(F.col("src").alias("node")).unionAll(edges.select(F.col("dst").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-        component = connected_components(edges, "src", "dst")
-        named = nodes.join(degree, "node", "left").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        heads = named.groupBy("component").agg(F.min("least").alias("group_id"))
-        out = named.join(heads, "component").select("node", "group_id", "copies", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
-        return self.members.select(F.hex("digest").alias("node"), "rec_id").distinct().join(out, "node").select("rec_id", "group_id", "copies", "links")
+        edges = self._keep(self.class_pairs().select(F.col("digest_a").alias("src"), F.col("digest_b").alias("dst")))
+        m, hot = self._members("rec_id")
+        sized = lambda df: df.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("rec_id").alias("least"))
+        sizes = self._keep(sized(m))
+        every = sizes if hot is None else sizes.unionByName(self._keep(sized(hot)))
+        # Only classes with neighbours take part in components; all others are groups of their own.
+        degree = edges.select(F.col("src").alias("digest")).unionAll(edges.select(F.col("dst").alias("digest"))).groupBy("digest").agg(F.count(F.lit(1)).alias("links"))
+        linked = connected_components(edges, "src", "dst").withColumnRenamed("node", "digest").join(degree, "digest").join(every.select("digest", "least"), "digest")
+        linked = self._keep(linked)
+        heads = linked.groupBy("component").agg(F.min("least").alias("group_id"))
+        named = linked.join(heads, "component").select("digest", "group_id", "links")
+        rows = m.join(sizes, "digest").join(named, "digest", "left")
+        if hot is not None:
+            few = sized(hot).join(named, "digest", "left")  # at most skew.MOST_KEYS rows
+            rows = rows.unionByName(hot.join(F.broadcast(few), "digest"))
+        return rows.select("rec_id", F.coalesce("group_id", "least").alias("group_id"), "copies", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
 
 def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, group_col: str | None = None, **options) -> DataFrame:

@@ -60,8 +60,13 @@ def test_hot_blocks_are_split(spark, monkeypatch):
     monkeypatch.setattr(skew, "KEY_ROWS", 2)
     rows = corpus(9) + [(f"y{i}", f"g{i % 3}", "same text again and again here") for i in range(9)]
     assert (near_duplicates.Order(np.full(1 << 16, 0) + np.eye(1, 1 << 16, 5, dtype=int)[0] * 100).parts(np.array([0, 53])) > [0, 20]).all()
-    got = NearDuplicates(spark.createDataFrame(rows, SCHEMA), "chunk_id", "text", "file_hash", width=2, threshold=0.5).pairs().collect()
-    assert {(r.id_a, r.id_b) for r in got} == brute(rows, 2, 0.5, 1)
+    nd = NearDuplicates(spark.createDataFrame(rows, SCHEMA), "chunk_id", "text", "file_hash", width=2, threshold=0.5)
+    got = nd.pairs().collect()
+    assert {(r.id_a, r.id_b) for r in got} == brute(rows, 2, 0.5, 1) and len(got) == len({(r.id_a, r.id_b) for r in got})
+    split = {tuple(r) for r in nd.groups().collect()}
+    monkeypatch.undo()
+    assert split == {tuple(r) for r in NearDuplicates(spark.createDataFrame(rows, SCHEMA), "chunk_id", "text", "file_hash", width=2, threshold=0.5).groups().collect()}
+    nd.close()
 
 
 def test_very_long_texts(spark):
