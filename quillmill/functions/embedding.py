@@ -9,7 +9,7 @@ import urllib.request
 import warnings
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,20 +17,32 @@ from quillmill.plans.ordered import running_totals
 
 # Seconds waited before each try.
 DELAYS = (0, 2, 5, 10)
+#: Words whose hash the stand-in keeps at most.
+KNOWN_WORDS = 1 << 16
+#: Texts whose vectors a task holds at once.
+ROWS_AT_ONCE = 1 << 10
 
 Embedder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 
 
 def hash_embedder(dimensions: int = 64) -> Embedder:
     """A stand-in for a model: every word moves one coordinate chosen by its hash."""
+    known: dict[str, tuple[int, float]] = {}
+
+    def move(word: str) -> tuple[int, float]:
+        h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+        if len(known) >= KNOWN_WORDS:
+            known.clear()
+        known[word] = found = h % dimensions, 1.0 if h >> 63 else -1.0
+        return found
 
     def embed(texts: Sequence[str]) -> list[list[float]]:
         out = []
         for text in texts:
             vector = [0.0] * dimensions
             for word in text.lower().split():
-                h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little")
-                vector[h % dimensions] += 1.0 if h >> 63 else -1.0
+                at, by = known.get(word) or move(word)
+                vector[at] += by
             length = sum(x * x for x in vector) ** 0.5
             out.append([x / length for x in vector] if length else vector)
         return out
@@ -95,21 +107,25 @@ def embed_with_retries(embed: Embedder, texts: Sequence[str], delays: Sequence[f
 def embed_texts(df: DataFrame, text_col: str, out_col: str = "embedding", embed: Embedder | None = None, batch_size: int = 1, delays: Sequence[float] = DELAYS) -> DataFrame:
     """Add a unit vector of each text; null texts count as empty.  Concurrency is the number of tasks."""
     embed = embed or hash_embedder()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = batch[text_col].fillna("").tolist()
-            vectors: list[list[float]] = []
-            for i in range(0, len(texts), batch_size):
-                vectors += embed_with_retries(embed, texts[i : i + batch_size], delays)
-            unit = []
-            for v in vectors:
-                length = sum(x * x for x in v) ** 0.5
-                unit.append([x / length for x in v] if length else v)
-            yield batch.assign(**{out_col: unit})
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != out_col) + f", `{out_col}` array<float>"
-    return df.drop(out_col).mapInPandas(run, schema)
+    rows = df.drop(out_col)
+    at = rows.columns.index(text_col)
+    # Few rows at once: vectors are lists of numbers until they are handed on.
+    step = max(batch_size, ROWS_AT_ONCE // batch_size * batch_size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, step):
+                batch = whole.slice(lo, step)
+                texts = [t or "" for t in batch.column(at).to_pylist()]
+                unit = []
+                for i in range(0, len(texts), batch_size):
+                    for v in embed_with_retries(embed, texts[i : i + batch_size], delays):
+                        length = sum(x * x for x in v) ** 0.5
+                        unit.append([x / length for x in v] if length else v)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(unit, pa.list_(pa.float32()))], [*batch.schema.names, out_col])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + f", `{out_col}` array<float>"
+    return rows.mapInArrow(run, schema)
 
 
 def plan_batches(df: DataFrame, partition: list[str], order: list[str], tokens: str, size: int) -> DataFrame:

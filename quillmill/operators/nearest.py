@@ -2,7 +2,8 @@
 
 Vectors are gathered into matrices by group, and a large group into several; queries into matrices of their own.  A block of queries meets
 every block of vectors of its length (and, with an index, of the cells it asks for), and each meeting is one matrix product that keeps the k best rows of
-each query.  A group that is one block needs no further step; of the others the best of all blocks are chosen.  No vector passes through the driver.
+each query.  A group that is one block needs no further step; of the others the best of all blocks are chosen.  Through the driver pass the vectors of queries
+that are broadcast, no others.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from quillmill.functions.vectors import as_double
 
 #: Rows of a block of vectors, and of queries; bytes of query blocks that are broadcast at most (beyond, they are shuffled).
-BLOCK_ROWS, QUERY_ROWS, BROADCAST_BYTES = 1 << 16, 1 << 10, 1 << 26
+BLOCK_ROWS, QUERY_ROWS, BROADCAST_BYTES = 1 << 15, 1 << 10, 1 << 25
 
 
 def _matrices(keys: int, id_type: pa.DataType, most: int):
@@ -36,36 +37,68 @@ def _matrices(keys: int, id_type: pa.DataType, most: int):
             ids, rows = open_.pop(dim)
             named = pa.array(ids, id_type)
             order = pc.sort_indices(named)
-            m = np.array(rows, dtype=np.float64)[order.to_numpy()]
+            m = np.concatenate(rows)[order.to_numpy()].astype(np.float64)
             length = np.sqrt((m * m).sum(axis=1, keepdims=True))
-            m = m / np.where(length > 0, length, 1.0)
+            m /= np.where(length > 0, length, 1.0)
             columns = [pa.array([k], t) for k, t in zip(now, schema)]
-            return pa.RecordBatch.from_arrays([*columns, pa.array([dim], pa.int32()), pa.array([named.take(order).to_pylist()], pa.list_(id_type)), pa.array([m.tobytes()], pa.binary())], [*names, "dim", "ids", "matrix"])
+            return pa.RecordBatch.from_arrays([*columns, pa.array([dim], pa.int32()), pa.array([named.take(order).to_pylist()], pa.list_(id_type)), pa.array([m.data], pa.binary())], [*names, "dim", "ids", "matrix"])
 
         for batch in batches:
             if not names:
                 names, schema = batch.schema.names[:keys], [batch.schema.field(k).type for k in range(keys)]
-            rows = zip(*(batch.column(k).to_pylist() for k in range(keys + 2)))
-            for key, same in groupby(rows, key=lambda r: r[:keys]):
+            own = list(zip(*(batch.column(k).to_pylist() for k in range(keys))))
+            ids, dims, flat = batch.column(keys).to_pylist(), pc.list_value_length(batch.column(keys + 1)).to_numpy().astype(np.int64), batch.column(keys + 1).flatten()
+            first = np.cumsum(dims) - dims
+            whole = np.ones(len(ids), dtype=bool)
+            if flat.null_count:
+                whole[np.repeat(np.arange(len(ids)), dims)[flat.is_null().to_numpy(zero_copy_only=False)]] = False
+            values = flat.to_numpy(zero_copy_only=False)
+            for key, same in groupby(range(len(ids)), key=own.__getitem__):
                 if key != now:
                     for dim in list(open_):
                         yield close(dim)
                     now = key
-                for row in same:
-                    v = row[keys + 1]
-                    if None in v:
-                        continue
-                    ids, vectors = open_.setdefault(len(v), ([], []))
-                    ids.append(row[keys])
-                    vectors.append(v)
-                    if len(ids) >= most:
-                        yield close(len(v))
+                at = np.array(list(same))
+                at = at[whole[at]]
+                for dim in map(int, np.unique(dims[at])):
+                    alike = at[dims[at] == dim]
+                    while len(alike):
+                        held, vectors = open_.setdefault(dim, ([], []))
+                        part, alike = np.split(alike, [most - len(held)])
+                        held += [ids[i] for i in part]
+                        vectors.append(values[first[part][:, None] + np.arange(dim)])
+                        if len(held) >= most:
+                            yield close(dim)
         for dim in list(open_):
             yield close(dim)
 
     return run
 
 
+def _best_rows(sims: np.ndarray, k: int, digits: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k largest rounded values of each line: (line, place, value); ties go to the lower places."""
+    lines, n = sims.shape
+    if n > k:
+        # A line's places are dealt to sets; the k-th largest of the maxima of sets is a value that at least k places reach.  Rounding moves none by as much as the last digit.
+        sets = max(k, n // 64)
+        most = sims[:, :sets].copy()
+        for lo in range(sets, n - sets + 1, sets):
+            np.fmax(most, sims[:, lo : lo + sets], out=most)
+        most[np.isnan(most)] = -np.inf
+        least = np.partition(most, sets - k, axis=1)[:, sets - k] - (0.0 if digits is None else 10.0**-digits)
+        line, place = np.nonzero(sims >= least[:, None])
+    else:
+        line, place = (x.ravel() for x in np.indices(sims.shape))
+    value = sims[line, place]
+    value = (value if digits is None else np.round(value, digits)) + 0.0
+    if n > k:
+        order = np.lexsort((place, -value, line))
+        first = np.searchsorted(line, np.arange(lines))
+        order = order[np.arange(len(order)) - first[line] < k]
+        line, place, value = line[order], place[order], value[order]
+    return line, place, value
+
+
 def _best_of_meetings(k: int, digits: int | None):
     """Rows (dim, ids, matrix, group, asked, questions) to the k best ids of each question and block."""
 
@@ -76,28 +109,26 @@ def _best_of_meetings(k: int, digits: int | None):
                 ids, asked = batch.column(1)[i].values, batch.column(4)[i].values
                 m = np.frombuffer(batch.column(2)[i].as_buffer(), dtype=np.float64).reshape(-1, dim)
                 w = np.frombuffer(batch.column(5)[i].as_buffer(), dtype=np.float64).reshape(-1, dim)
-                step = max(1, (1 << 22) // len(m))
+                step = max(1, (1 << 20) // len(m))
                 for at in range(0, len(w), step):
-                    sims = m @ w[at : at + step].T
-                    if digits is not None:
-                        sims = np.round(sims, digits)
-                    sims += 0.0
-                    if len(m) > k:
-                        kth = np.partition(sims, len(m) - k, axis=0)[len(m) - k]
-                        more, equal = sims > kth, sims == kth
-                        # Ties go to the lower ids, which come first.
-                        take = more | (equal & (np.cumsum(equal, axis=0) <= k - more.sum(axis=0)))
-                        row, col = np.nonzero(take)
-                    else:
-                        row, col = (x.ravel() for x in np.indices(sims.shape))
-                    n = len(row)
-                    yield pa.RecordBatch.from_arrays([asked.take(pa.array(at + col)), ids.take(pa.array(row)), pa.repeat(batch.column(3)[i], n), pa.array(sims[row, col])], ["_q", "_id", "_group", "similarity"])
+                    col, row, sims = _best_rows(w[at : at + step] @ m.T, k, digits)
+                    yield pa.RecordBatch.from_arrays([asked.take(pa.array(at + col)), ids.take(pa.array(row)), pa.repeat(batch.column(3)[i], len(row)), pa.array(sims)], ["_q", "_id", "_group", "similarity"])
 
     return run
 
 
+def _meetings(matrices: Iterator[pa.RecordBatch], known: dict[tuple, list[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """Each matrix (_cell, _group, _salt, dim, ids, matrix) beside each block of questions of its cell and length, one after the other: it is not copied."""
+    for batch in matrices:
+        cell, group, _, dim, ids, matrix = batch.columns
+        for questions in known.get((cell[0].as_py(), dim[0].as_py()), ()):
+            yield pa.RecordBatch.from_arrays([dim, ids, matrix, group, *questions.columns], ["dim", "ids", "matrix", "_group", "asked", "questions"])
+
+
 def _rows(df: DataFrame, id_col: str, vector_col: str, *more) -> DataFrame:
-    return df.select(*more, F.col(id_col).alias("_id"), as_double(F.col(vector_col)).alias("_v")).where("_id is not null and size(_v) > 0")
+    # Single precision stays until it is computed with: it takes half the room.
+    narrow = df.schema[vector_col].dataType.simpleString() == "array<float>"
+    return df.select(*more, F.col(id_col).alias("_id"), (F.col(vector_col) if narrow else as_double(F.col(vector_col))).alias("_v")).where("_id is not null and size(_v) > 0")
 
 
 def _top(vectors: DataFrame, queries: DataFrame, k: int, digits: int | None, cells: bool) -> DataFrame:
@@ -105,28 +136,38 @@ def _top(vectors: DataFrame, queries: DataFrame, k: int, digits: int | None, cel
     spark = vectors.sparkSession
     id_type, q_type, group = vectors.schema["_id"].dataType, queries.schema["_id"].dataType, vectors.schema["_group"].dataType
     on = ["_cell", "_group"]
-    # A group is cut into as many blocks as it has rows for.
-    sizes = vectors.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).select(F.col("_cell").alias("_c"), F.col("_group").alias("_g"), F.ceil(F.col("_n") / BLOCK_ROWS).cast("int").alias("_parts"))
-    placed = vectors.join(sizes, F.col("_cell").eqNullSafe(F.col("_c")) & F.col("_group").eqNullSafe(F.col("_g"))).withColumn("_salt", F.pmod(F.hash("_id"), F.col("_parts")))
+    # A group is cut into as many blocks as it has rows for.  Of groups with more rows than a block there are few, so they are broadcast and no vector moves for it.
+    large = vectors.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BLOCK_ROWS).select(F.col("_cell").alias("_c"), F.col("_group").alias("_g"), F.ceil(F.col("_n") / BLOCK_ROWS).cast("int").alias("_many"))
+    met = vectors.join(F.broadcast(large), F.col("_cell").eqNullSafe(F.col("_c")) & F.col("_group").eqNullSafe(F.col("_g")), "left")
+    placed = met.withColumn("_parts", F.coalesce("_many", F.lit(1))).withColumn("_salt", F.pmod(F.hash("_id"), F.col("_parts")))
     keys = ["_cell", "_group", "_salt"]
     kinds = lambda cols, df: ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in cols)
     tail = lambda t: f"dim int, ids array<{t.simpleString()}>, matrix binary"
-    asked = queries.select("_cell", "_id", "_v").repartition("_cell").sortWithinPartitions("_cell") if cells else queries.select("_cell", "_id", "_v")
+    size = queries.agg(F.sum(8 * F.size("_v") + 16)).first()[0] or 0
+    few = size <= BROADCAST_BYTES
+    asked = queries.select("_cell", "_id", "_v")
+    if few or cells:
+        asked = (asked.repartition(1) if few else asked.repartition("_cell")).sortWithinPartitions("_cell")
     questions = asked.mapInArrow(_matrices(1, to_arrow_type(q_type), QUERY_ROWS), f"_cell int, {tail(q_type)}").select("_cell", "dim", F.col("ids").alias("asked"), F.col("matrix").alias("questions"))
     meet = ["_cell", "dim"]
-    size = queries.agg(F.sum(8 * F.size("_v") + 16)).first()[0] or 0
+    out = f"_q {q_type.simpleString()}, _id {id_type.simpleString()}, _group {group.simpleString()}, similarity double"
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # By chance of the hash a part may hold more than its share; whole parts hold no more than a block.
+    matrices, best = _matrices(3, to_arrow_type(id_type), 2 * BLOCK_ROWS), _best_of_meetings(k, digits)
+    if few:
+        known: dict[tuple, list[pa.RecordBatch]] = {}
+        for r in questions.collect():  # BROADCAST_BYTES at most
+            known.setdefault((r["_cell"], r["dim"]), []).append(pa.RecordBatch.from_arrays([pa.array([r.asked], pa.list_(to_arrow_type(q_type))), pa.array([bytes(r.questions)], pa.binary())], ["asked", "questions"]))
+        sent = spark.sparkContext.broadcast(known)
 
     def found(rows: DataFrame) -> DataFrame:
         lying = rows.select(*keys, "_id", "_v").repartition("_cell", "_group", "_salt").sortWithinPartitions(*keys)
-        # By chance of the hash a part may hold more than its share; whole parts hold no more than a block.
-        blocks = lying.mapInArrow(_matrices(3, to_arrow_type(id_type), 2 * BLOCK_ROWS), f"{kinds(keys, lying)}, {tail(id_type)}").select("_cell", "dim", "ids", "matrix", "_group")
-        if size <= BROADCAST_BYTES:
-            met = blocks.join(F.broadcast(questions), meet)
-        else:
-            # Blocks of vectors stay apart by salt; each block of questions goes to every salt.
-            met = blocks.withColumn("_p", F.pmod(F.xxhash64("_group", "ids"), F.lit(width))).join(questions.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))), [*meet, "_p"])
-        return met.select("dim", "ids", "matrix", "_group", "asked", "questions").mapInArrow(_best_of_meetings(k, digits), f"_q {q_type.simpleString()}, _id {id_type.simpleString()}, _group {group.simpleString()}, similarity double")
+        if few:
+            return lying.mapInArrow(lambda batches: best(_meetings(matrices(batches), sent.value)), out)
+        blocks = lying.mapInArrow(matrices, f"{kinds(keys, lying)}, {tail(id_type)}").select("_cell", "dim", "ids", "matrix", "_group")
+        # Blocks of vectors stay apart by salt; each block of questions goes to every salt.
+        met = blocks.withColumn("_p", F.pmod(F.xxhash64("_group", "ids"), F.lit(width))).join(questions.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))), [*meet, "_p"])
+        return met.select("dim", "ids", "matrix", "_group", "asked", "questions").mapInArrow(best, out)
 
     if cells:
         return _best(found(placed), k)
@@ -181,7 +222,7 @@ class VectorIndex:
     def _in_cells(self, rows: DataFrame, probes: int) -> DataFrame:
         """(_cell, _id, _v): a row for each of the `probes` nearest cells."""
         centers = rows.sparkSession.sparkContext.broadcast(self.centroids)  # `cells` rows
-        kind = rows.schema["_id"].dataType
+        kind, vector = (rows.schema[c].dataType.simpleString() for c in ("_id", "_v"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = centers.value
@@ -194,7 +235,7 @@ class VectorIndex:
                 at = pa.array(np.repeat(np.array(fit), near.shape[1]))
                 yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at)], ["_cell", "_id", "_v"])
 
-        return rows.mapInArrow(run, f"_cell int, _id {kind.simpleString()}, _v array<double>")
+        return rows.mapInArrow(run, f"_cell int, _id {kind}, _v {vector}")
 
     def topk(self, queries: DataFrame, k: int, *, query_id: str = "query_id", query_vector: str = "query_vector", probes: int = 16, digits: int | None = 6) -> DataFrame:
         """The k nearest vectors in the cells that each query visits; vectors of another length than the sample's are in no cell."""

@@ -6,6 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmill.operators import lexical
 from quillmill.operators.nearest import VectorIndex, dense_topk
 
 __all__ = ["VectorIndex", "dense_topk"]
@@ -50,9 +51,13 @@ def bm25(candidates: DataFrame, queries: DataFrame, *, keys: list[str], doc_id:
     return candidates.drop("_t").join(sums, [*keys, doc_id], "left").withColumn(score, F.coalesce(score, F.lit(0.0)))
 
 
+def _boost_words(query: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(query, F.lit(""))), F.lit(r"(?U)[^\s\x1c-\x1f]+"), F.lit(0))
+
+
 def metadata_boost(query: Column, section: Column, filename: Column) -> Column:
     """Boosts if a word of the query is part of the section path or of the file name, each in lower case."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(query, F.lit(""))), F.lit(r"(?U)[^\s\x1c-\x1f]+"), F.lit(0))
+    words = _boost_words(query)
     inside = lambda c: F.exists(words, lambda w: F.contains(F.lower(F.coalesce(c, F.lit(""))), w))
     return F.when(inside(section), SECTION_BOOST).otherwise(0.0) + F.when(inside(filename), FILENAME_BOOST).otherwise(0.0)
 
@@ -63,21 +68,27 @@ def keep_best(df: DataFrame, partition: list[str], key: str, order: list[Column]
     return top_by(named, [*partition, key], order, 1).unionByName(df.where(F.col(key).isNull()))
 
 
-def hybrid_retrieve(chunks: DataFrame, queries: DataFrame, *, k_dense: int = 30, k_final: int = 8, digits: int = 6) -> DataFrame:
+def candidate_scores(chunks: DataFrame, queries: DataFrame, details: DataFrame, *, k_dense: int = 30, digits: int = 6) -> DataFrame:
+    """Dense candidates per collection (dense_score) with their BM25 score among the candidates of the query and collection, and their boost.
+
+    chunks: chunk_id, collection, embedding; queries: query_id, query, query_vector; details: chunk_id, collection, text, section_path, filename.
+    """
+    dense = dense_topk(chunks, queries, k_dense, id_col="chunk_id", vector_col="embedding", collection="collection", digits=digits).withColumnRenamed("similarity", "dense_score")
+    return lexical.scored_candidates(dense, queries, details, _boost_words(F.col("query")), k1=K1, b=B, epsilon=EPSILON, boosts=(SECTION_BOOST, FILENAME_BOOST))
+
+
+def hybrid_retrieve(chunks: DataFrame, queries: DataFrame, *, k_dense: int = 30, k_final: int = 8, digits: int = 6, details: DataFrame | None = None) -> DataFrame:
     """Dense candidates per collection, BM25 over these, boosts, one ranking per query.
 
-    chunks: chunk_id, collection, text, section_path, filename, embedding; queries: query_id, query, query_vector.  Blank queries give
-    nothing.  Ties in the score go to the lower collection, then chunk_id.
+    chunks: chunk_id, collection, text, section_path, filename, embedding (if `details` are given, all but the embedding are taken from these); queries: query_id,
+    query, query_vector.  Blank queries give nothing.  Ties in the score go to the lower collection, then chunk_id.
     """
     asked = queries.where("trim(query) <> ''")
-    dense = dense_topk(chunks, asked, k_dense, id_col="chunk_id", vector_col="embedding", collection="collection", digits=digits).withColumnRenamed("similarity", "dense_score")
-    detail = chunks.select("chunk_id", "collection", "text", "section_path", "filename").dropDuplicates(["chunk_id", "collection"])
-    rows = dense.join(detail, ["chunk_id", "collection"])
-    scored = bm25(rows, asked, keys=["query_id", "collection"], doc_id="chunk_id", text_col="text")
-    boosted = scored.join(asked.select("query_id", "query"), "query_id").withColumn("metadata_boost", metadata_boost(F.col("query"), F.col("section_path"), F.col("filename")))
-    total = boosted.withColumn("sparse_score", F.round("sparse_score", digits)).withColumn("score", F.round(F.col("dense_score") + F.col("sparse_score") + F.col("metadata_boost"), digits))
+    scored = candidate_scores(chunks, asked, chunks if details is None else details, k_dense=k_dense, digits=digits)
+    total = scored.withColumn("sparse_score", F.round("sparse_score", digits)).withColumn("score", F.round(F.col("dense_score") + F.col("sparse_score") + F.col("metadata_boost"), digits))
     order = [F.desc("score"), F.asc("collection"), F.asc("chunk_id")]
-    best = top_by(keep_best(total, ["query_id"], "chunk_id", order), ["query_id"], order, k_final, "rank")
+    # Rows lie by query for both steps; no chunk_id is null here.
+    best = top_by(top_by(total.repartition("query_id"), ["query_id", "chunk_id"], order, 1), ["query_id"], order, k_final, "rank")
     return best.select("query_id", "rank", "chunk_id", "collection", "score", "dense_score", "sparse_score", "metadata_boost")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,6 @@ from quillmill.functions import chunking, cleaning, payload
 from quillmill.functions.embedding import embed_texts, plan_batches
 from quillmill.functions.vectors import l2_normalize
 from quillmill.operators import retrieval, sessions, state
-from quillmill.plans.lineage import cut
 from quillmill.plans.spread import spread
 from quillmill.sources import files
 from quillmill.streaming.windows import windowed_counts
@@ -105,23 +105,31 @@ scored as (select d.*, round(coalesce(s, 0.0), 6) as sparse_score,
   from dense d left join sparse using (query_id, collection, chunk_id))"""
 
 
-def _hybrid_inputs(spark: SparkSession, sf_dir: str, every: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Documents that have a vector or, with `every`, all: those without one get the stand-in's."""
-    d, e = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "embeddings")
+#: Ids of vectors that are broadcast at most, to find the documents that have none without moving texts.
+_FEW_IDS = 1 << 20
+
+
+def _hybrid_inputs(spark: SparkSession, sf_dir: str, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vectors, questions and texts of the documents that have a vector or, with `every`, of all: those without one get the stand-in's."""
+    d, e = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    details = d.where("collection is not null").select(F.col("doc_id").cast("string").alias("chunk_id"), "collection", "text", F.col("source").alias("section_path"), F.expr("source || '/' || doc_id || '.' || doc_type").alias("filename"))
+    narrow = ["doc_id", "collection", F.expr("case when doc_id % 50 = 0 and trim(text) <> '' then text end").alias("query")]
+    columns = ["doc_id", "collection", "query", "embedding"]
+    both = d.select(*narrow).join(e.where("size(embedding) > 0") if every else e, F.col("doc_id") == F.col("vec_id")).select(*columns)
     if every:
-        e = e.where("size(embedding) > 0").select("vec_id", "embedding")
-        missing = d.join(e, d.doc_id == e.vec_id, "left_anti").select(F.col("doc_id").alias("vec_id"), "text")
-        e = cut(e.unionByName(embed_texts(missing, "text", batch_size=64).select("vec_id", "embedding")))
-    both = d.join(e, d.doc_id == e.vec_id)
-    corpus = both.where("collection is not null").select(F.col("doc_id").cast("string").alias("chunk_id"), "collection", "text", F.col("source").alias("section_path"), F.expr("source || '/' || doc_id || '.' || doc_type").alias("filename"), "embedding")
-    asked = both.where("doc_id % 50 = 0 and trim(text) <> ''").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"), F.col("embedding").alias("query_vector"))
-    return corpus, asked
+        ids = e.where("size(embedding) > 0").select("vec_id")
+        missing = d.join(F.broadcast(ids) if ids.count() <= _FEW_IDS else ids, F.col("doc_id") == F.col("vec_id"), "left_anti").select(*narrow, "text")
+        both = both.unionByName(embed_texts(missing, "text", batch_size=64).select(*columns)).persist(StorageLevel.MEMORY_AND_DISK)
+    corpus = both.where("collection is not null").select(F.col("doc_id").cast("string").alias("chunk_id"), "collection", "embedding")
+    asked = both.where("query is not null").select(F.col("doc_id").alias("query_id"), "query", F.col("embedding").alias("query_vector"))
+    return corpus, asked, details
 
 
 @_query(f"""with {_HYBRID} select query_id, (row_number() over (partition by query_id order by score desc, collection, chunk_id))::int as rank, chunk_id, collection, score, dense_score, sparse_score, metadata_boost
 from (select *, round(dense_score + sparse_score + metadata_boost, 6) as score from scored) qualify rank <= 8""")
 def hybrid_retrieve(spark, sf_dir):
-    return retrieval.hybrid_retrieve(*_hybrid_inputs(spark, sf_dir))
+    corpus, asked, details = _hybrid_inputs(spark, sf_dir)
+    return retrieval.hybrid_retrieve(corpus, asked, details=details)
 
 
 @_query(f"with {_HYBRID} select query_id, collection, chunk_id, sparse_score from scored")
@@ -132,7 +140,8 @@ def bm25_scores(spark, sf_dir):
 @_query()
 def hybrid_retrieve_all(spark, sf_dir):
     """hybrid_retrieve over every document, whether or not it has a vector."""
-    return retrieval.hybrid_retrieve(*_hybrid_inputs(spark, sf_dir, every=True))
+    corpus, asked, details = _hybrid_inputs(spark, sf_dir, every=True)
+    return retrieval.hybrid_retrieve(corpus, asked, details=details)
 
 
 @_query()
@@ -141,10 +150,10 @@ def bm25_scores_all(spark, sf_dir):
     return _bm25_scores(*_hybrid_inputs(spark, sf_dir, every=True))
 
 
-def _bm25_scores(corpus: DataFrame, asked: DataFrame) -> DataFrame:
-    dense = retrieval.dense_topk(corpus, asked, 30, id_col="chunk_id", vector_col="embedding", collection="collection")
-    rows = dense.join(corpus.select("chunk_id", "collection", "text"), ["chunk_id", "collection"])
-    return retrieval.bm25(rows, asked, keys=["query_id", "collection"], doc_id="chunk_id", text_col="text").select("query_id", "collection", "chunk_id", F.round("sparse_score", 6).alias("sparse_score"))
+def _bm25_scores(corpus: DataFrame, asked: DataFrame, details: DataFrame) -> DataFrame:
+    # The names of files and sections tell nothing here.
+    texts = details.withColumns({c: F.lit(None).cast("string") for c in ("section_path", "filename")})
+    return retrieval.candidate_scores(corpus, asked, texts).select("query_id", "collection", "chunk_id", F.round("sparse_score", 6).alias("sparse_score"))
 
 
 @_query(f"""select query_id, vec_id, similarity as score, model_score, round(0.25 * similarity + 0.75 * model_score, 8) as final_score,
